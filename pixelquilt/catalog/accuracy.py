@@ -128,15 +128,15 @@ def image_gradients(t: Tables):
     return gradients(t.relief, []).select("r", "c", rnd(F.col("gx")).alias("gx"), rnd(F.col("gy")).alias("gy"))
 
 
-@query("C14 I3", """WITH tr AS (SELECT CASE WHEN o_orderkey % 3 = 0 THEN 'a' ELSE 'b' END AS model, o_custkey AS chip FROM orders WHERE o_custkey % 4 <> 0 OR o_orderkey % 3 <> 0),
- va AS (SELECT c_custkey AS chip FROM customer WHERE c_custkey % 4 = 0), n AS (SELECT count(*) AS n FROM va)
+@query("C14 I3", """WITH tr AS (SELECT CASE WHEN o_orderstatus = 'P' THEN 'a' ELSE 'b' END AS model, o_custkey AS chip FROM orders),
+ va AS (SELECT c_custkey AS chip FROM customer WHERE c_mktsegment = 'BUILDING'), n AS (SELECT count(*) AS n FROM va)
  SELECT m.model, CASE WHEN m.model <> 'c' THEN count(DISTINCT va.chip) END AS overlap, CASE WHEN m.model = 'c' THEN 'unknown' WHEN count(DISTINCT va.chip) = 0 THEN 'held-out'
   WHEN count(DISTINCT va.chip) = max(n.n) THEN 'in-sample' ELSE 'partly in-sample' END AS status
  FROM (VALUES ('a'), ('b'), ('c')) m(model) CROSS JOIN n LEFT JOIN tr ON tr.model = m.model LEFT JOIN va ON va.chip = tr.chip GROUP BY m.model""")
 def held_out_status(t: Tables):
-    train = t.read("orders").where("o_custkey % 4 <> 0 OR o_orderkey % 3 <> 0").select(
-        F.when(F.col("o_orderkey") % 3 == 0, "a").otherwise("b").alias("model"), F.col("o_custkey").alias("chip"))
-    val = t.read("customer").where("c_custkey % 4 = 0").select(F.col("c_custkey").alias("chip"))
+    train = t.read("orders").select(
+        F.when(F.col("o_orderstatus") == "P", "a").otherwise("b").alias("model"), F.col("o_custkey").alias("chip"))
+    val = t.read("customer").where("c_mktsegment = 'BUILDING'").select(F.col("c_custkey").alias("chip"))
     models = t.spark.createDataFrame([("a",), ("b",), ("c",)], "model string")
     return held_out(train, val, models)
 
@@ -191,7 +191,7 @@ VAL = "(SELECT l_suppkey AS chip, l_orderkey AS r, l_partkey * 10 + l_linenumber
 
 @query("F14 C20 I4", f"""SELECT 'gedi_val' AS section, m.model AS layer, count(*) AS n, {R('sqrt(avg((p - label) ** 2))')} AS rmse, {R('avg(p - label)')} AS bias,
  {R('covar_pop(p, label) ** 2 / (var_pop(p) * var_pop(label))')} AS r2 FROM (SELECT *, CASE WHEN model = 'm1' THEN q ELSE q * 1.2 + 3 END AS p FROM {VAL}, (VALUES ('m1'), ('m2')) x(model) WHERE d > 0) m
- WHERE chip % 5 = 0 AND label > 0 AND label <= 80 GROUP BY m.model""")
+ WHERE chip IN (SELECT s_suppkey FROM supplier WHERE s_acctbal < 2000) AND label > 0 AND label <= 80 GROUP BY m.model""")
 def validation_report(t: Tables):
     px = t.read("lineitem").groupBy(F.col("l_suppkey").alias("chip"), F.col("l_orderkey").alias("r"),
                                     (F.col("l_partkey") * 10 + F.col("l_linenumber")).alias("c")).agg(
@@ -199,7 +199,7 @@ def validation_report(t: Tables):
     p = F.when(F.col("d") > 0, F.when(F.col("model") == "m1", F.col("q")).otherwise(F.col("q") * 1.2 + 3))
     preds = px.withColumn("model", F.explode(F.array(*[F.lit(m) for m in ("m1", "m2", "m3")]))).select(
         "model", "chip", "r", "c", p.alias("pred"))
-    val = t.read("supplier").where("s_suppkey % 5 = 0").select(F.col("s_suppkey").alias("chip"))
+    val = t.read("supplier").where("s_acctbal < 2000").select(F.col("s_suppkey").alias("chip"))
     currency = t.spark.createDataFrame([("m1", True, ""), ("m2", True, ""), ("m3", False, "old")],
                                        "model string, current boolean, reason string")
     return P.validation_section(preds, val, px, currency).select("section", "layer", "n", *[

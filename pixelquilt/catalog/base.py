@@ -53,7 +53,7 @@ class Tables:
             F.col("l_orderkey").alias("sid"), F.floor(F.col("l_partkey") / 50).alias("r"),
             (F.col("l_partkey") % 50).alias("c"), F.col("l_suppkey").alias("cell"), F.col("l_shipdate").alias("t"),
             F.col("l_quantity").alias("b1"), F.col("l_extendedprice").alias("b2"),
-            (F.col("l_discount") * 100).alias("prob"),
+            (F.col("l_discount") * 100).alias("prob"), F.nullif(F.col("l_tax"), F.lit(0.0)).alias("aux"),
             F.when(F.col("l_returnflag") == "N", 1).otherwise(0).alias("quality"),
             F.when(F.col("l_linestatus") == "F", 1).otherwise(0).alias("degrade"))
 
@@ -130,7 +130,7 @@ class Tables:
         one = tri.format(x=x, y=y)
         two = tri.format(x=f"({x} + 150)", y=y)
         return self.read("supplier").selectExpr(
-            "s_suppkey AS id",
+            "s_suppkey AS id", "s_acctbal AS balance",
             f"CASE WHEN s_suppkey % 7 = 0 THEN concat('{{\"type\":\"FeatureCollection\",\"features\":["
             f"{{\"type\":\"Feature\",\"properties\":{{}},\"geometry\":', {one}, '}},"
             f"{{\"type\":\"Feature\",\"geometry\":{{\"type\":\"Point\",\"coordinates\":[1,2]}}}},"
@@ -145,7 +145,7 @@ class Tables:
 
 # ---- the same views for SQL ----
 OBS = """(SELECT l_orderkey AS sid, CAST(floor(l_partkey / 50) AS BIGINT) AS r, l_partkey % 50 AS c, l_suppkey AS cell,
- l_shipdate AS t, l_quantity AS b1, l_extendedprice AS b2, l_discount * 100 AS prob,
+ l_shipdate AS t, l_quantity AS b1, l_extendedprice AS b2, l_discount * 100 AS prob, nullif(l_tax, 0) AS aux,
  CASE WHEN l_returnflag = 'N' THEN 1 ELSE 0 END AS quality, CASE WHEN l_linestatus = 'F' THEN 1 ELSE 0 END AS degrade
  FROM lineitem)"""
 SCENE = """(SELECT o_orderkey AS sid, o_orderdate AS t, o_custkey % 20 AS orbit, o_totalprice / 5000 AS cloud,

@@ -160,17 +160,16 @@ def empty_pixels_null(t: Tables):
     return t.emb.select("id", null_if_all_zero(F.col("label"), codes).alias("label"))
 
 
-@query("B15 B16 B17 B18", f"""SELECT r, c, count(CASE WHEN b1 > 30.63993 AND b1 < 45.23993 AND sid % 9 <> 0 THEN 1 END) AS angle,
+@query("B15 B16 B17 B18", f"""SELECT r, c, count(CASE WHEN b1 > 30.63993 AND b1 < 45.23993 AND quality = 1 THEN 1 END) AS angle,
  count(CASE WHEN (CAST(prob * 512 AS BIGINT) & 1024) = 0 AND (CAST(prob * 512 AS BIGINT) & 2048) = 0 THEN 1 END) AS clear,
- count(CASE WHEN sid % 7 <> 0 AND sid % 5 <> 0 THEN 1 END) AS paired,
+ count(aux) AS paired,
  count(CASE WHEN quality = 1 AND degrade = 0 THEN 1 END) AS good FROM {OBS} GROUP BY r, c""")
 def observation_masks(t: Tables):
-    angle = F.when(F.col("sid") % 9 == 0, F.lit(-9999.0)).otherwise(F.col("b1"))
+    angle = F.when(F.col("quality") == 0, F.lit(-9999.0)).otherwise(F.col("b1"))
     qa = F.round(F.col("prob") * 512).cast("bigint")
-    a, b = F.when(F.col("sid") % 7 != 0, F.col("b1")), F.when(F.col("sid") % 5 != 0, F.col("b2"))
     return t.obs.groupBy("r", "c").agg(
         F.count_if(angle_in_range(angle)).alias("angle"), F.count_if(qa_clear(qa)).alias("clear"),
-        F.count_if(pair_valid(a, b)).alias("paired"),
+        F.count_if(pair_valid(F.col("aux"), F.col("b2"))).alias("paired"),
         F.count_if(good_quality(F.col("quality"), F.col("degrade"))).alias("good"))
 
 

@@ -10,14 +10,14 @@ from .base import R, Tables, query  # noqa: F401
 def _sets(t: Tables):
     k = F.col("c_custkey")
     base = t.read("customer")
-    old = base.where(k % 11 != 0).select(k.alias("key"), F.col("c_nationkey").cast("bigint").alias("size"), F.col("c_acctbal").alias("mtime"))
-    new = base.where(k % 13 != 0).select(k.alias("key"), (F.col("c_nationkey") + F.when(k % 7 == 0, 1).otherwise(0)).cast("bigint").alias("size"),
-                                         F.when(k % 17 == 0, F.col("c_acctbal") + 1).otherwise(F.col("c_acctbal")).alias("mtime"))
+    old = base.where("c_acctbal >= 0").select(k.alias("key"), F.col("c_nationkey").cast("bigint").alias("size"), F.col("c_acctbal").alias("mtime"))
+    new = base.where("c_nationkey <> 7").select(k.alias("key"), (F.col("c_nationkey") + F.when(F.col("c_nationkey") == 11, 1).otherwise(0)).cast("bigint").alias("size"),
+                                         F.when(F.col("c_acctbal") > 9000, F.col("c_acctbal") + 1).otherwise(F.col("c_acctbal")).alias("mtime"))
     return old, new
 
 
-@query("C13 D15", """SELECT c_custkey AS key, CASE WHEN c_custkey % 11 = 0 THEN 'new' WHEN c_custkey % 13 = 0 THEN 'missing' ELSE 'changed' END AS change FROM customer
- WHERE NOT (c_custkey % 11 = 0 AND c_custkey % 13 = 0) AND (c_custkey % 11 = 0 OR c_custkey % 13 = 0 OR c_custkey % 7 = 0 OR c_custkey % 17 = 0)""")
+@query("C13 D15", """SELECT c_custkey AS key, CASE WHEN c_acctbal < 0 THEN 'new' WHEN c_nationkey = 7 THEN 'missing' ELSE 'changed' END AS change FROM customer
+ WHERE NOT (c_acctbal < 0 AND c_nationkey = 7) AND (c_acctbal < 0 OR c_nationkey = 7 OR c_nationkey = 11 OR c_acctbal > 9000)""")
 def changed_inputs(t: Tables):
     return I.fingerprint_diff(*_sets(t))
 
@@ -35,19 +35,19 @@ def rebuild_reasons(t: Tables):
     return I.stack_state(states).select("id", "reason")
 
 
-@query("I4", """SELECT o_custkey AS part, 'left over' AS state FROM (SELECT DISTINCT o_custkey FROM orders WHERE o_orderkey % 5 = 0) WHERE o_custkey NOT IN (SELECT c_custkey FROM customer WHERE c_custkey % 3 = 0)
- UNION ALL SELECT c_custkey, 'missing' FROM customer WHERE c_custkey % 3 = 0 AND c_custkey NOT IN (SELECT o_custkey FROM orders WHERE o_orderkey % 5 = 0)""")
+@query("I4", """SELECT o_custkey AS part, 'left over' AS state FROM (SELECT DISTINCT o_custkey FROM orders WHERE o_orderstatus = 'P') WHERE o_custkey NOT IN (SELECT c_custkey FROM customer WHERE c_mktsegment = 'BUILDING')
+ UNION ALL SELECT c_custkey, 'missing' FROM customer WHERE c_mktsegment = 'BUILDING' AND c_custkey NOT IN (SELECT o_custkey FROM orders WHERE o_orderstatus = 'P')""")
 def left_over_parts(t: Tables):
-    present = t.read("orders").where("o_orderkey % 5 = 0").select(F.col("o_custkey").alias("part")).distinct()
-    return I.left_over(present, t.read("customer").where("c_custkey % 3 = 0").select(F.col("c_custkey").alias("part")))
+    present = t.read("orders").where("o_orderstatus = 'P'").select(F.col("o_custkey").alias("part")).distinct()
+    return I.left_over(present, t.read("customer").where("c_mktsegment = 'BUILDING'").select(F.col("c_custkey").alias("part")))
 
 
-EXIST = "(SELECT DISTINCT l_suppkey AS cell, l_linenumber AS layer FROM lineitem WHERE l_partkey % 20 = 3)"
+EXIST = "(SELECT DISTINCT l_suppkey AS cell, l_linenumber AS layer FROM lineitem WHERE l_discount = 0.05 AND l_tax = 0.04)"
 
 
 @query("C17", f"""SELECT s_suppkey AS cell, s_suppkey IN (SELECT cell FROM {EXIST} WHERE layer <= 3 GROUP BY cell HAVING count(*) = 3) AS complete FROM supplier""")
 def complete_cells(t: Tables):
-    have = t.read("lineitem").where("l_partkey % 20 = 3").select(F.col("l_suppkey").alias("cell"), F.col("l_linenumber").cast("string").alias("layer"))
+    have = t.read("lineitem").where("l_discount = 0.05D AND l_tax = 0.04D").select(F.col("l_suppkey").alias("cell"), F.col("l_linenumber").cast("string").alias("layer"))
     cells = t.read("supplier").select(F.col("s_suppkey").alias("cell"))
     need = ["1", "2", "3"]
     full = cells.join(I.complete_cells(have, need), "cell", "left_semi").withColumn("complete", F.lit(True))

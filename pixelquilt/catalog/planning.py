@@ -61,7 +61,7 @@ def cell_categories(t: Tables):
 
 
 EXISTING_SQL = """(SELECT DISTINCT l_suppkey AS cell, CASE l_linenumber WHEN 1 THEN 'Embedding' WHEN 2 THEN 'S1' WHEN 3 THEN 'S2' WHEN 4 THEN 'DEM'
- WHEN 5 THEN 'GEDI' WHEN 6 THEN 'Tolan_1m' ELSE 'ETH' END AS layer FROM lineitem WHERE l_partkey % 40 = 1)"""
+ WHEN 5 THEN 'GEDI' WHEN 6 THEN 'Tolan_1m' ELSE 'ETH' END AS layer FROM lineitem WHERE l_discount = 0.1 AND l_tax = 0.08)"""
 JOB_CELLS_SQL = f"(SELECT ord AS cell, CASE WHEN col < 4 THEN 'aoi' ELSE 'ring' END AS role, water < 0.9 AS use FROM {CELLS})"
 MISSING_SQL = f"""(SELECT c.cell, c.role, w.layer FROM {JOB_CELLS_SQL} c
  JOIN (SELECT unnest(['Embedding', 'DEM', 'S1', 'S2', 'GEDI', 'Tolan_1m', 'UMD', 'ETH']) AS layer) w
@@ -70,7 +70,7 @@ MISSING_SQL = f"""(SELECT c.cell, c.role, w.layer FROM {JOB_CELLS_SQL} c
 
 def _existing(t: Tables) -> DataFrame:
     names = F.array(*[F.lit(x) for x in ("Embedding", "S1", "S2", "DEM", "GEDI", "Tolan_1m", "ETH")])
-    return t.read("lineitem").where("l_partkey % 40 = 1").select(
+    return t.read("lineitem").where("l_discount = 0.1D AND l_tax = 0.08D").select(
         F.col("l_suppkey").alias("cell"), names[F.least("l_linenumber", F.lit(7)) - 1].alias("layer")).distinct()
 
 
@@ -171,15 +171,15 @@ def scene_order(t: Tables):
     return numbered(t.scene.select("sid", "t"), ["t", "sid"]).select("sid", big("ord")[0])
 
 
-@query("I1 I3 I4", f"""SELECT 'both' AS kind, count(*) AS n FROM (SELECT c_nationkey FROM customer INTERSECT SELECT s_nationkey FROM supplier WHERE s_suppkey % 5 = 0)
- UNION ALL SELECT 'only', count(*) FROM (SELECT n_nationkey FROM nation EXCEPT SELECT s_nationkey FROM supplier WHERE s_suppkey % 5 = 0)
- UNION ALL SELECT 'dates', count(*) FROM (SELECT CAST(t AS DATE) FROM {SCENE} WHERE orbit = 3 UNION SELECT CAST(t AS DATE) FROM {OBS} WHERE cell % 10 = 3)""")
+@query("I1 I3 I4", f"""SELECT 'both' AS kind, count(*) AS n FROM (SELECT c_nationkey FROM customer INTERSECT SELECT s_nationkey FROM supplier WHERE s_acctbal > 8000)
+ UNION ALL SELECT 'only', count(*) FROM (SELECT n_nationkey FROM nation EXCEPT SELECT s_nationkey FROM supplier WHERE s_acctbal > 8000)
+ UNION ALL SELECT 'dates', count(*) FROM (SELECT CAST(t AS DATE) FROM {SCENE} WHERE pol = 'P' AND cloud > 95 UNION SELECT CAST(t AS DATE) FROM {OBS} WHERE b1 = 50 AND aux = 0.08)""")
 def set_operations(t: Tables):
-    sup = t.read("supplier").where("s_suppkey % 5 = 0").select(F.col("s_nationkey").alias("k"))
+    sup = t.read("supplier").where("s_acctbal > 8000").select(F.col("s_nationkey").alias("k"))
     both = t.read("customer").select(F.col("c_nationkey").alias("k")).intersect(sup)
     only = t.read("nation").select(F.col("n_nationkey").alias("k")).subtract(sup)
-    dates = t.scene.where("orbit = 3").select(F.to_date("t").alias("d")).union(
-        t.obs.where("cell % 10 = 3").select(F.to_date("t").alias("d"))).distinct()
+    dates = t.scene.where("pol = 'P' AND cloud > 95").select(F.to_date("t").alias("d")).union(
+        t.obs.where("b1 = 50 AND aux = 0.08D").select(F.to_date("t").alias("d"))).distinct()
     count = F.count(F.lit(1)).alias("n")
     return (both.agg(F.lit("both").alias("kind"), count).unionByName(only.agg(F.lit("only").alias("kind"), count))
             .unionByName(dates.agg(F.lit("dates").alias("kind"), count)))

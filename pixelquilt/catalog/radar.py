@@ -1 +1,137 @@
-"""Queries."""
+"""Radar filter sets, speckle filter and composites."""
+from __future__ import annotations
+
+from pyspark.sql import DataFrame, functions as F
+
+from ..operators import radar as A
+from .base import R, RASTER, Tables, big, query, rnd
+
+SCENES = """(SELECT o_orderkey AS id, o_orderdate + INTERVAL (o_orderkey % 1440) MINUTE AS t, CASE WHEN o_orderpriority = '1-URGENT' THEN 'EW' ELSE 'IW' END AS mode,
+ o_custkey % 20 AS orbit_stop, CASE WHEN o_orderkey % 10 = 0 THEN (o_custkey + 1) % 20 ELSE o_custkey % 20 END AS orbit_start,
+ CASE WHEN o_orderstatus = 'P' THEN ['VV'] ELSE ['VV', 'VH'] END AS pols,
+ [(o_custkey // 20) % 6, (o_custkey // 20) % 6 + 1, (o_custkey // 20) % 6 + 2] AS slots FROM orders)"""
+
+
+def _scenes(t: Tables) -> DataFrame:
+    k, c = F.col("o_orderkey"), F.col("o_custkey")
+    base = F.floor(c / 20) % 6
+    return t.read("orders").select(
+        k.alias("id"), (F.col("o_orderdate") + F.make_dt_interval(mins=(k % 1440).cast("int"))).alias("t"),
+        F.when(F.col("o_orderpriority") == "1-URGENT", "EW").otherwise("IW").alias("mode"), (c % 20).alias("orbit_stop"),
+        F.when(k % 10 == 0, (c + 1) % 20).otherwise(c % 20).alias("orbit_start"),
+        F.when(F.col("o_orderstatus") == "P", F.array(F.lit("VV"))).otherwise(F.array(F.lit("VV"), F.lit("VH"))).alias("pols"),
+        F.array(base, base + 1, base + 2).alias("slots"))
+
+
+FILTER_SQL = f"""WITH s AS {SCENES.replace('o_orderdate +', "o_orderdate + INTERVAL 20 YEAR +")},
+ cand AS (SELECT id AS j, t AS tj, CAST(t AS DATE) AS dj, orbit_stop AS orbit, unnest(pols) AS pol, slots AS cs FROM s WHERE mode = 'IW' AND t >= TIMESTAMP '2014-01-01'),
+ q AS (SELECT id AS i, t AS ti, orbit_stop, orbit_start, pols[len(pols)] AS pol, slots AS qs FROM s),
+ pr AS (SELECT q.i, q.ti, q.qs, c.j, c.tj, c.dj, c.cs FROM q JOIN cand c ON c.pol = q.pol AND c.orbit = q.orbit_stop WHERE list_has_any(c.cs, q.qs)
+  UNION ALL SELECT q.i, q.ti, q.qs, c.j, c.tj, c.dj, c.cs FROM q JOIN cand c ON c.pol = q.pol AND c.orbit = q.orbit_start WHERE q.orbit_start <> q.orbit_stop AND list_has_any(c.cs, q.qs)),
+ near AS (SELECT * FROM (SELECT i, qs, j, tj, dj, true AS before, row_number() OVER (PARTITION BY i ORDER BY tj DESC, j DESC) AS rk FROM pr WHERE tj < CAST(ti AS DATE) + INTERVAL 1 DAY
+   UNION ALL SELECT i, qs, j, tj, dj, false, row_number() OVER (PARTITION BY i ORDER BY tj, j) FROM pr WHERE tj >= ti) WHERE rk <= 50),
+ two AS (SELECT DISTINCT i, j, qs, tj, unnest([dj, CAST(dj + INTERVAL 1 DAY AS DATE)]) AS d FROM near),
+ cov AS (SELECT two.i, two.j FROM two JOIN pr ON pr.i = two.i AND pr.dj = two.d AND pr.tj >= two.tj AND pr.tj < two.tj + INTERVAL 1 DAY GROUP BY two.i, two.j, two.qs
+  HAVING len(list_intersect(flatten(list(pr.cs)), two.qs)) / len(two.qs) > 0.95),
+ dates AS (SELECT i, before, dj, min(rk) AS rk FROM near JOIN cov USING (i, j) GROUP BY ALL),
+ nb AS (SELECT i, count(*) FILTER (before) AS n FROM dates GROUP BY i),
+ sel AS (SELECT i, dj FROM (SELECT i, dj, row_number() OVER (PARTITION BY i ORDER BY rk) AS k FROM dates JOIN nb USING (i) WHERE n >= 10 AND before) WHERE k <= 10
+  UNION ALL SELECT i, dj FROM (SELECT i, dj, row_number() OVER (PARTITION BY i ORDER BY dj) AS k FROM (SELECT DISTINCT i, dj FROM dates JOIN nb USING (i) WHERE n < 10)) WHERE k <= 10)
+ SELECT sel.i AS id, count(DISTINCT pr.j) AS members, CAST(sum(pr.j * 7 % 1009) AS BIGINT) AS check_sum, count(DISTINCT sel.dj) AS dates,
+  strftime(min(sel.dj), '%Y-%m-%d') AS first, strftime(max(sel.dj), '%Y-%m-%d') AS last FROM sel JOIN pr ON pr.i = sel.i AND pr.dj = sel.dj GROUP BY sel.i"""
+
+
+@query("C5 G6 H3 I2 E32", FILTER_SQL)
+def filter_sets(t: Tables):
+    later = _scenes(t).withColumn("t", F.col("t") + F.expr("INTERVAL '20' YEAR"))
+    out = A.filter_sets(later)
+    total = F.aggregate("members", F.lit(0).cast("bigint"), lambda a, m: a + m * 7 % 1009)
+    return out.select("id", F.size("members").cast("bigint").alias("members"), total.alias("check_sum"),
+                      F.size("dates").cast("bigint").alias("dates"), F.date_format(F.array_min("dates"), "yyyy-MM-dd").alias("first"),
+                      F.date_format(F.array_max("dates"), "yyyy-MM-dd").alias("last"))
+
+
+# one acquisition per nation over the raster; its filter set are the acquisitions of its region
+ACQ = "(SELECT n_nationkey AS id, TIMESTAMP '2019-12-01' + INTERVAL (n_nationkey * 15) DAY AS t, n_regionkey AS reg, -10.0 - n_nationkey % 3 AS heading FROM nation)"
+PX = f"""(SELECT a.id, a.t, a.reg, a.heading, p.r, p.c, 0.02 + ((p.class * 7 + a.id * 13 + p.r * 3 + p.c) % 97) / 1000.0::DOUBLE AS vv,
+ 0.01 + ((p.class * 5 + a.id * 11 + p.r + p.c * 2) % 89) / 2000.0::DOUBLE AS vh, CASE WHEN (p.class + a.id) % 23 = 0 THEN 0 WHEN (p.class + a.id) % 19 = 0 THEN 0.6 ELSE 1 END AS w,
+ CASE WHEN (p.r + p.c + a.id) % 41 = 0 THEN -9999.0 ELSE 30.0 + (p.c + a.id) % 16 END AS angle, CASE WHEN p.r < 2 THEN 0 ELSE 1 END AS foot,
+ p.v + p.class AS elev FROM {ACQ} a CROSS JOIN {RASTER} p)"""
+
+
+def _acq(t: Tables) -> DataFrame:
+    n = F.col("n_nationkey")
+    acq = t.read("nation").select(n.alias("id"), (F.lit("2019-12-01").cast("timestamp_ntz") + F.make_dt_interval(days=(n * 15).cast("int"))).alias("t"),
+                                  F.col("n_regionkey").alias("reg"), (F.lit(-10.0) - n % 3).alias("heading"))
+    # the ids of one region: five rows of the fixed table
+    sets = acq.groupBy("reg").agg(F.collect_list("id").alias("members"))
+    return acq.join(sets, "reg")
+
+
+def _px(t: Tables, acq: DataFrame) -> DataFrame:
+    """Dense scene pixels: the 25 acquisitions attached to every raster pixel as an array, then opened."""
+    i, r, c, k = F.col("a.id"), F.col("r"), F.col("c"), F.col("class")
+    scenes = acq.agg(F.collect_list(F.struct("id", "t", "reg", "heading")).alias("s")).scalar()
+    px = t.raster.withColumn("a", F.explode(scenes))
+    vv = F.lit(0.02) + ((k * 7 + i * 13 + r * 3 + c) % 97) / F.lit(1000.0)
+    vh = F.lit(0.01) + ((k * 5 + i * 11 + r + c * 2) % 89) / F.lit(2000.0)
+    w = F.when((k + i) % 23 == 0, 0.0).when((k + i) % 19 == 0, 0.6).otherwise(1.0)
+    angle = F.when((r + c + i) % 41 == 0, F.lit(-9999.0)).otherwise(F.lit(30.0) + (c + i) % 16)
+    return px.select("a.*", "r", "c", vv.alias("vv"), vh.alias("vh"), w.alias("w"), angle.alias("angle"),
+                     F.when(r < 2, 0).otherwise(1).alias("foot"), (F.col("v") + k).alias("elev"))
+
+
+def _box(v: str, mask: str) -> str:
+    return f"""SELECT id, r, c, sum(h) OVER (PARTITION BY id, c ORDER BY r RANGE BETWEEN 7 PRECEDING AND 7 FOLLOWING) / 225 AS box FROM (
+ SELECT id, r, c, sum(CASE WHEN {mask} THEN {v} ELSE 0 END) OVER (PARTITION BY id, r ORDER BY c RANGE BETWEEN 7 PRECEDING AND 7 FOLLOWING) AS h FROM px)"""
+
+
+_EDGE = "angle > 30.63993 AND angle < 45.23993"
+_LIN = lambda b: f"CAST(CAST(pow(10.0::DOUBLE, CAST(CAST(10 * log10(CAST(CAST({b} AS FLOAT) AS DOUBLE)) AS FLOAT) AS DOUBLE) / 10) AS FLOAT) AS DOUBLE)"
+CHAIN = f"""WITH px AS MATERIALIZED (SELECT * FROM {PX}),
+ {', '.join(f"bm_{b} AS ({_box(b, 'w > 0')}), bl_{b} AS ({_box(_LIN(b), f'w > 0 AND {_EDGE}')})" for b in ('vv', 'vh'))},
+ ratio AS (SELECT p.id AS sid, p.reg, p.r, p.c, CASE WHEN p.w > 0 THEN 1 ELSE 0 END AS n, {', '.join(f"CASE WHEN p.w > 0 AND m_{b}.box <> 0 THEN p.{b} / m_{b}.box ELSE 0 END * p.w AS x_{b}" for b in ('vv', 'vh'))}
+  FROM px p JOIN bm_vv m_vv USING (id, r, c) JOIN bm_vh m_vh USING (id, r, c)),
+ sums AS (SELECT reg, r, c, sum(n) AS cnt, sum(x_vv) AS s_vv, sum(x_vh) AS s_vh FROM ratio GROUP BY ALL),
+ q AS (SELECT p.*, {', '.join(f"CASE WHEN p.w > 0 AND {_EDGE} THEN CASE WHEN cnt = 0 THEN 0 ELSE l_{b}.box / cnt END * s_{b} END AS q_{b}" for b in ('vv', 'vh'))}
+  FROM px p JOIN bl_vv l_vv USING (id, r, c) JOIN bl_vh l_vh USING (id, r, c) JOIN sums s ON s.reg = p.reg AND s.r = p.r AND s.c = p.c),
+ g AS (SELECT *, (lead(elev) OVER x - lag(elev) OVER x) / 2 / 10 AS gx, (lag(elev) OVER y - lead(elev) OVER y) / 2 / 10 AS gy FROM q
+  WINDOW x AS (PARTITION BY id, r ORDER BY c), y AS (PARTITION BY id, c ORDER BY r)),
+ d AS (SELECT *, gx IS NOT NULL AND gy IS NOT NULL AS t_ok, (degrees(atan2(-gx, -gy)) + 720) % 360 AS aspect, sqrt(gx * gx + gy * gy) AS tan_s, radians(angle) AS th FROM g),
+ a AS (SELECT *, atan(coalesce(tan_s, 0) * cos(radians(heading) + radians(CASE WHEN t_ok AND foot > 0 THEN CASE WHEN aspect <= 180 THEN aspect ELSE aspect - 360 END ELSE 0 END))) AS al FROM d),
+ f AS (SELECT *, CASE WHEN t_ok AND {_EDGE} AND al < th AND al > -(pi() / 2 - th) THEN tan(pi() / 2 - th + al) / tan(pi() / 2 - th) / cos(th) END AS k FROM a),
+ db AS (SELECT id, t, r, c, CASE WHEN q_vv * k > 0 THEN 10 * log10(q_vv * k) END AS vv, CASE WHEN q_vh * k > 0 THEN 10 * log10(q_vh * k) END AS vh FROM f)"""
+
+
+def _db(t: Tables) -> DataFrame:
+    acq = _acq(t)
+    px = _px(t, acq)
+    ratios = A.member_ratios(px.withColumnRenamed("id", "sid"), ["sid"])
+    sums = A.member_join(acq, ratios)
+    main = px.select("id", "t", "heading", "r", "c", "vv", "vh", F.col("w").alias("m"), "angle", "foot", "elev",
+                     F.lit(1).alias("tv"))
+    return A.acquisition_db(main, sums)
+
+
+@query("C6 E24 F8", f"{CHAIN} SELECT p.id, p.r, p.c, CAST(cnt AS BIGINT) AS cnt, {R('s_vv')} AS isum FROM px p JOIN sums USING (reg, r, c)")
+def member_sums(t: Tables):
+    acq = _acq(t)
+    ratios = A.member_ratios(_px(t, acq).withColumnRenamed("id", "sid"), ["sid"])
+    return A.member_join(acq, ratios).select("id", "r", "c", big("cnt")[0], rnd(F.col("isum_vv")).alias("isum"))
+
+
+@query("F8 F9 X4 X9 B15", f"{CHAIN} SELECT id, r, c, {R('vv', 4)} AS vv, {R('vh', 4)} AS vh FROM db")
+def acquisition_decibels(t: Tables):
+    return _db(t).select("id", "r", "c", rnd(F.col("vv"), 4).alias("vv"), rnd(F.col("vh"), 4).alias("vh"))
+
+
+@query("F9 E23", f"""{CHAIN} SELECT r, c, band, count(v) AS n, {R('median(v)', 4)} AS median FROM (SELECT r, c, 'vv' AS band, vv AS v FROM db UNION ALL SELECT r, c, 'vh', vh FROM db)
+ WHERE v IS NOT NULL GROUP BY ALL""")
+def annual_radar(t: Tables):
+    return A.radar_composite(_db(t)).select("r", "c", "band", "n", rnd(F.col("median"), 4).alias("median"))
+
+
+@query("F9 E25 X2", f"""{CHAIN} SELECT CAST(floor((month(t) % 12) / 3) AS INT) AS season, r, c, band, count(v) AS n, {R('median(v)', 4)} AS median FROM (
+ SELECT t, r, c, 'vv' AS band, vv AS v FROM db UNION ALL SELECT t, r, c, 'vh', vh FROM db) WHERE v IS NOT NULL GROUP BY ALL""")
+def seasonal_radar(t: Tables):
+    return A.radar_composite(_db(t), seasonal=True).select("season", "r", "c", "band", "n", rnd(F.col("median"), 4).alias("median"))

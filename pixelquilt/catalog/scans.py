@@ -35,24 +35,24 @@ def _layer_px(t: Tables):
 
 
 @query("A1 A17", f"""SELECT 'cell' || CAST(CAST(floor(r / 8) AS BIGINT) AS VARCHAR) AS cell, count(*) AS n,
- {R('sum(v / 2)', 4)} AS total FROM {RASTER} WHERE class % 3 = 1 AND r < 24 GROUP BY 1""")
+ {R('sum(v / 2)', 4)} AS total FROM {RASTER} WHERE class % 3 = 1 AND floor(r / 8) IN (SELECT floor(r / 8) FROM {RASTER} WHERE v > 950) GROUP BY 1""")
 def scan_one_layer(t: Tables):
     path = fresh_path(t.spark, "layers")
     _layer_px(t).write.partitionBy("layer").parquet(path)
     px = scan_layer(t.spark, path, "S1", ["VH"])
-    cells = t.spark.range(3).select(F.concat(F.lit("cell"), F.col("id").cast("string")).alias("cell"))
+    cells = t.raster.where("v > 950").select(F.concat(F.lit("cell"), F.floor(F.col("r") / 8).cast("string")).alias("cell"))
     return clip_to_cells(px, cells).groupBy("cell").agg(F.count(F.lit(1)).alias("n"), rnd(F.sum("v"), 4).alias("total"))
 
 
-@query("A2", """WITH px AS (SELECT CAST(floor(p_partkey / 100) AS BIGINT) AS k, p_partkey AS p FROM part),
- cell AS (SELECT k, count(*) AS n, min(p % 10) AS c0, max(p % 10) AS c1 FROM px
-   WHERE NOT (k % 7 = 0 AND p % 100 = 42) GROUP BY k)
+@query("A2", """WITH px AS (SELECT CAST(floor(p_partkey / 100) AS BIGINT) AS k, p_partkey AS p FROM part
+  WHERE NOT (p_size = 50 AND p_type = 'ECONOMY')),
+ cell AS (SELECT k, count(*) AS n FROM px GROUP BY k)
  SELECT 'cell' || CAST(k AS VARCHAR) AS cell, 'S1' AS layer, CASE WHEN n <> 100 THEN 'not one whole cell'
   WHEN k % 11 = 0 THEN 'origin' WHEN k % 13 = 0 THEN 'epsg' WHEN k % 5 = 0 THEN 'bands' END AS reason FROM cell
  WHERE n <> 100 OR k % 11 = 0 OR k % 13 = 0 OR k % 5 = 0""")
 def check_layer_grid(t: Tables):
-    p = t.read("part").select(F.floor(F.col("p_partkey") / 100).alias("k"), F.col("p_partkey").alias("p"))
-    p = p.where(~((F.col("k") % 7 == 0) & (F.col("p") % 100 == 42)))
+    whole = t.read("part").where("NOT (p_size = 50 AND p_type = 'ECONOMY')")
+    p = whole.select(F.floor(F.col("p_partkey") / 100).alias("k"), F.col("p_partkey").alias("p"))
     shift = F.when(F.col("k") % 11 == 0, 5.0).otherwise(0.0)
     r, c = F.floor(F.col("p") % 100 / 10), F.col("p") % 10
     name = F.concat(F.lit("cell"), F.col("k").cast("string"))
@@ -235,13 +235,14 @@ def tile_chips(t: Tables):
         F.col("v") * (F.col("pr") + 1) * (F.col("pc") + 2)), 2).alias("total")).select(*big("cr", "cc"), "n", "total")
 
 
-@query("A13 E32", """WITH cache AS (SELECT l_suppkey AS cell, arg_max(l_discount, l_orderkey * 100 + l_linenumber * 10000000000 + l_partkey)
-  AS water FROM lineitem WHERE l_suppkey % 3 <> 0 AND l_linenumber <= 2 GROUP BY l_suppkey)
+@query("A13 E32", """WITH cache AS (SELECT l_suppkey AS cell, arg_max(l_quantity / 100, l_orderkey * 100 + l_linenumber * 10000000000 + l_partkey)
+  AS water FROM lineitem WHERE l_discount = 0.1 AND l_tax = 0.08 AND l_returnflag = 'A' AND l_linestatus = 'F' GROUP BY l_suppkey)
  SELECT cell, water FROM cache UNION ALL SELECT s_suppkey, 0.5 FROM supplier WHERE s_suppkey NOT IN (SELECT cell FROM cache)""")
 def landcover_cache(t: Tables):
     order = F.col("l_orderkey") * 100 + F.col("l_linenumber") * F.lit(10000000000) + F.col("l_partkey")
-    cache = t.read("lineitem").where("l_suppkey % 3 <> 0 AND l_linenumber <= 2").select(
-        F.col("l_suppkey").alias("cell"), F.col("l_discount").alias("water"), F.lit(0.0).alias("built"),
+    cache = t.read("lineitem").where(
+        "l_discount = 0.1D AND l_tax = 0.08D AND l_returnflag = 'A' AND l_linestatus = 'F'").select(
+        F.col("l_suppkey").alias("cell"), (F.col("l_quantity") / 100).alias("water"), F.lit(0.0).alias("built"),
         F.lit(0.0).alias("tree"), order.alias("ord"))
     cells = t.read("supplier").select(F.col("s_suppkey").alias("cell"))
     lookup = cells.select("cell", F.lit(0.5).alias("water"), F.lit(0.0).alias("built"), F.lit(0.0).alias("tree"))

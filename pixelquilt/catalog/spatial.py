@@ -118,7 +118,7 @@ def scene_footprints(t: Tables):
 
 
 @query("C15", f"""SELECT {R('avg(CASE WHEN i.r IS NOT NULL THEN 1.0 ELSE 0 END)')} AS inside, 'partial' AS note FROM {RASTER} p
- LEFT JOIN (SELECT DISTINCT r, c FROM {INSIDE} WHERE id % 4 = 1) i ON i.r = p.r AND i.c = p.c WHERE p.class > 10""")
+ LEFT JOIN (SELECT DISTINCT r, c FROM {INSIDE} WHERE id IN (SELECT s_suppkey FROM supplier WHERE s_acctbal > 5000)) i ON i.r = p.r AND i.c = p.c WHERE p.class > 10""")
 def region_shares(t: Tables):
-    region = S.span_pixels(S.polygon_spans(area_edges(t).where("id % 4 = 1"), 0.0, 0.0))
+    region = S.span_pixels(S.polygon_spans(scan_polygons(t.area_docs.where("balance > 5000")), 0.0, 0.0))
     return S.region_share(t.raster.where("class > 10"), region, 12).select(rnd(F.col("inside")).alias("inside"), "note")

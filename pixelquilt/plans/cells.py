@@ -4,6 +4,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, Window, functions as F
 
 from ..schema import CELL_CATEGORIES, CELL_M, CELL_PX, RES
+from ..session import stash
 from ..sources.geojson import category
 
 # fixed values: planning rules and cost figures
@@ -38,6 +39,7 @@ def ring_distance(cells: DataFrame, train_cells: int, ring_max_km: float, water_
 
     The growing loop is one running sum over at most cap / 1 km + 1 distance steps.
     """
+    cells = stash(cells, "cells")                      # read three times below
     cap = max(ring_max_km * 1000.0, 0.0)
     aoi = F.col("area") >= MIN_AREA
     usable = ~F.coalesce(F.col("water") >= water_max, F.lit(False))
@@ -60,6 +62,7 @@ def plan_cells(cells: DataFrame, train_cells: int = 400, ring_max_km: float = 50
                water_max: float = 0.95) -> DataFrame:
     """Study-area cells (overlap of at least 1 m2) and the ring cells within the ring distance; ring cells that are
     mostly water stay in the plan with use = false."""
+    cells = stash(cells, "cells")
     D = ring_distance(cells, train_cells, ring_max_km, water_max).select("D")
     aoi = F.col("area") >= MIN_AREA
     dist = F.rint("dist").cast("int")
@@ -73,7 +76,7 @@ def plan_cells(cells: DataFrame, train_cells: int = 400, ring_max_km: float = 50
 def area_only_plan(cells: DataFrame, max_cells: int = AREA_ONLY_CELLS) -> DataFrame:
     """Plan without ring or land cover; more than `max_cells` cells (or none) is an error."""
     none = F.lit(None).cast("double")
-    kept = cells.where(F.col("area") >= MIN_AREA)
+    kept = stash(cells, "cells").where(F.col("area") >= MIN_AREA)
     n = kept.agg(F.count(F.lit(1)).alias("n")).scalar()
     ok = F.when(n > max_cells, F.raise_error(F.lit("the study area covers too many cells")).cast("boolean")) \
         .otherwise(F.lit(True))
