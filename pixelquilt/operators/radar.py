@@ -6,7 +6,8 @@ from pyspark.sql import Column, DataFrame, Window, functions as F
 from ..functions.calendar import season_of
 from ..functions.radiometry import (angle_in_range, db_round_trip, safe_div, slope_towards_sensor, terrain_factor,
                                     terrain_visible, to_db)
-from ..scale import numbered
+from ..scale import numbered, spread
+from ..session import stash
 from .composite import histogram_median
 from .focal import boxcar, terrain
 
@@ -18,7 +19,7 @@ def _streams(scenes: DataFrame) -> DataFrame:
     """Candidate scenes once per (orbit, polarisation, footprint slot) they belong to."""
     return (scenes.where("mode = 'IW'").where(F.col("t") >= F.lit(FIRST_DAY).cast("timestamp_ntz"))
             .select("id", "t", F.col("orbit_stop").alias("orbit"), F.explode("pols").alias("pol"), "slots")
-            .select("id", "t", "orbit", "pol", F.explode("slots").alias("slot"))
+            .select("id", "t", "orbit", "pol", "slots", F.explode("slots").alias("slot"))
             .withColumn("day", F.to_date("t")))
 
 
@@ -30,6 +31,40 @@ def _queries(scenes: DataFrame) -> DataFrame:
             .withColumn("day", F.to_date("ti")))
 
 
+def _covered(pairs: DataFrame, scenes: DataFrame, cand: DataFrame) -> DataFrame:
+    """Pairs (i, j, tj, ...) whose candidate j lies on a date that covers the footprint of i: more than 95 % of its
+    tiles are seen by the acquisition's orbits within a day of j.
+
+    First and last time per orbit, polarisation, tile and day decide that: a tile is seen within [t, t + 1 day) when
+    it is seen late enough on the day of t or early enough on the next. The tiles of one orbit and day travel as an
+    array, so a pair of acquisition and candidate stays one row.
+    """
+    spans = (cand.groupBy("orbit", "pol", "day", "slot").agg(F.min("t").alias("lo"), F.max("t").alias("hi"))
+             .groupBy("orbit", "pol", "day").agg(F.collect_list(F.struct("slot", "lo", "hi")).alias("here")))
+    after = spans.select("orbit", "pol", F.date_sub("day", 1).alias("day"), F.col("here").alias("next"))
+    days = spans.join(after, ["orbit", "pol", "day"], "full_outer")
+    asked = (pairs.withColumn("day", F.to_date("tj"))
+             .join(scenes.select(F.col("id").alias("i"), F.element_at("pols", -1).alias("pol"), "slots",
+                                 "orbit_stop", "orbit_start"), "i"))
+    two = F.col("orbit_start") != F.col("orbit_stop")
+    rated = asked
+    for side, key in (("a", F.col("orbit_stop")), ("b", F.when(two, F.col("orbit_start")))):
+        table = days.select(F.col("orbit").alias(f"_o{side}"), "pol", "day", F.col("here").alias(f"_h{side}"),
+                            F.col("next").alias(f"_n{side}"))
+        rated = rated.withColumn(f"_o{side}", key).join(table, [f"_o{side}", "pol", "day"], "left")
+
+    def seen(slot: Column) -> Column:
+        end = F.col("tj") + F.expr("INTERVAL 1 DAY")
+        tests = []
+        for side in "ab":
+            tests += [F.exists(f"_h{side}", lambda x: (x["slot"] == slot) & (x["hi"] >= F.col("tj"))),
+                      F.exists(f"_n{side}", lambda x: (x["slot"] == slot) & (x["lo"] < end))]
+        return F.coalesce(tests[0], F.lit(False)) | F.coalesce(tests[1], F.lit(False)) \
+            | F.coalesce(tests[2], F.lit(False)) | F.coalesce(tests[3], F.lit(False))
+    share = F.size(F.filter("slots", seen)) / F.size("slots")
+    return rated.where(share > OVERLAP_SHARE).select(*pairs.columns)
+
+
 def filter_sets(scenes: DataFrame, images: int = IMAGES, nearest: int = NEAREST) -> DataFrame:
     """(id, members, dates): the multi-temporal filter set of every acquisition.
 
@@ -43,7 +78,8 @@ def filter_sets(scenes: DataFrame, images: int = IMAGES, nearest: int = NEAREST)
     acquisition's run of candidates ends or begins, and only the at most `nearest` positions of that run are fetched.
     """
     stream = ["orbit", "pol", "slot"]
-    cand = numbered(_streams(scenes), [*stream, "t", "id"], "idx").withColumn("idx", F.col("idx").cast("long"))
+    cand = stash(numbered(_streams(scenes), [*stream, "t", "id"], "idx").withColumn("idx", F.col("idx").cast("long")),
+                 "scenes")
     days = cand.groupBy(*stream, "day").agg(F.min("idx").alias("d0"), F.max("idx").alias("d1"))
     firsts = cand.groupBy(*stream).agg(F.min("idx").alias("s0"), F.max("idx").alias("s1"))
     q = _queries(scenes)
@@ -65,28 +101,19 @@ def filter_sets(scenes: DataFrame, images: int = IMAGES, nearest: int = NEAREST)
     back = F.when(F.col("last").isNotNull(), F.sequence(F.greatest("s0", F.col("last") - nearest + 1), F.col("last")))
     ahead_end = F.least(F.col("s1"), first_after + nearest - 1)
     ahead = F.when(first_after <= ahead_end, F.sequence(first_after, F.greatest(first_after, ahead_end)))
-    near = (runs.select("i", "ti", "day", F.explode(F.concat(
+    near = (spread(runs, "i").select("i", F.explode(F.concat(
         F.transform(F.coalesce(back, F.array().cast("array<bigint>")),
                     lambda k: F.struct(k.alias("idx"), F.lit(True).alias("before"))),
         F.transform(F.coalesce(ahead, F.array().cast("array<bigint>")),
                     lambda k: F.struct(k.alias("idx"), F.lit(False).alias("before"))))).alias("_k"))
-            .select("i", "ti", "_k.*").join(cand.select("idx", F.col("id").alias("j"), F.col("t").alias("tj")), "idx")
-            .select("i", "before", "j", "tj").distinct())
-    newest = Window.partitionBy("i", "before").orderBy(F.desc("tj"), F.desc("j"))
-    oldest = Window.partitionBy("i", "before").orderBy("tj", "j")
-    picked = (near.withColumn("rank", F.when(F.col("before"), F.row_number().over(newest))
-                              .otherwise(F.row_number().over(oldest))).where(F.col("rank") <= nearest))
-    # overlap test: footprint slots covered by the acquisition's streams within a day of the candidate
-    asked_slots = q.select("i", "n_slots", *stream)
-    probe = (picked.select("i", "j", "tj").distinct().join(asked_slots, "i")
-             .withColumn("day", F.explode(F.array(F.to_date("tj"), F.date_add(F.to_date("tj"), 1)))))
-    cover = (probe.join(cand.select(*stream, "day", F.col("t").alias("tk")), [*stream, "day"])
-             .where((F.col("tk") >= F.col("tj")) & (F.col("tk") < F.col("tj") + F.expr("INTERVAL 1 DAY")))
-             .groupBy("i", "j").agg(F.count_distinct("slot").alias("_c"), F.first("n_slots").alias("_n"))
-             .where(F.col("_c") / F.col("_n") > OVERLAP_SHARE).select("i", "j"))
-    dates = (picked.join(cover, ["i", "j"], "left_semi")
+            .select("i", "_k.*").join(cand.select("idx", F.col("id").alias("j"), F.col("t").alias("tj")), "idx")
+            .groupBy("i", "before", "j").agg(F.first("tj").alias("tj")))
+    age = F.unix_micros(F.col("tj").cast("timestamp"))
+    order = Window.partitionBy("i", "before").orderBy(F.when(F.col("before"), -age).otherwise(age), "j")
+    picked = near.withColumn("rank", F.row_number().over(order)).where(F.col("rank") <= nearest)
+    dates = (_covered(picked, scenes, cand)
              .groupBy("i", "before", F.to_date("tj").alias("date")).agg(F.min("rank").alias("rank")))
-    # at most 2 * nearest dates per acquisition from here on
+    dates = stash(dates, "dates")                       # at most 2 * nearest per acquisition from here on
     ordered = dates.withColumn("_n", F.sum(F.col("before").cast("int")).over(Window.partitionBy("i")))
     enough = ordered.where((F.col("_n") >= images) & F.col("before"))
     newest_dates = (enough.withColumn("_r", F.row_number().over(Window.partitionBy("i").orderBy("rank")))

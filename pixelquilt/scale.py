@@ -147,6 +147,14 @@ def numbered(df: DataFrame, order: list, name: str = "ord") -> DataFrame:
             .drop("_part", "_pos", "_id", "_offset"))
 
 
+def spread(df: DataFrame, *keys: str) -> DataFrame:
+    """Hash-partition by the keys into spark.sql.shuffle.partitions before rows multiply. A fixed number, because the
+    adaptive coalescing would size the partitions by the small input of the step instead of its large output; and
+    aggregations or windows by these keys (and more) after it need no further shuffle."""
+    n = int(df.sparkSession.conf.get("spark.sql.shuffle.partitions"))
+    return df.repartition(n, *keys)
+
+
 def portable_hash(key: Column, seed: int) -> Column:
     """31-bit mixing of an integer key that other SQL engines can reproduce; two linear-congruential rounds."""
     a = (F.pmod(key.cast("long"), F.lit(2147483647)) * 1103515245 + seed * 12345 + 1013904223) % 2147483648
