@@ -4,6 +4,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, functions as F
 
 from ..operators import radar as A
+from ..scale import spread
 from .base import R, RASTER, Tables, big, query, rnd
 
 SCENES = """(SELECT o_orderkey AS id, o_orderdate + INTERVAL (o_orderkey % 1440) MINUTE AS t, CASE WHEN o_orderpriority = '1-URGENT' THEN 'EW' ELSE 'IW' END AS mode,
@@ -72,7 +73,7 @@ def _px(t: Tables, acq: DataFrame) -> DataFrame:
     """Dense scene pixels: the 25 acquisitions attached to every raster pixel as an array, then opened."""
     i, r, c, k = F.col("a.id"), F.col("r"), F.col("c"), F.col("class")
     scenes = acq.agg(F.collect_list(F.struct("id", "t", "reg", "heading")).alias("s")).scalar()
-    px = t.raster.withColumn("a", F.explode(scenes))
+    px = spread(t.raster, "r").withColumn("a", F.explode(scenes))
     vv = F.lit(0.02) + ((k * 7 + i * 13 + r * 3 + c) % 97) / F.lit(1000.0)
     vh = F.lit(0.01) + ((k * 5 + i * 11 + r + c * 2) % 89) / F.lit(2000.0)
     w = F.when((k + i) % 23 == 0, 0.0).when((k + i) % 19 == 0, 0.6).otherwise(1.0)
@@ -128,10 +129,10 @@ def acquisition_decibels(t: Tables):
 @query("F9 E23", f"""{CHAIN} SELECT r, c, band, count(v) AS n, {R('median(v)', 4)} AS median FROM (SELECT r, c, 'vv' AS band, vv AS v FROM db UNION ALL SELECT r, c, 'vh', vh FROM db)
  WHERE v IS NOT NULL GROUP BY ALL""")
 def annual_radar(t: Tables):
-    return A.radar_composite(_db(t)).select("r", "c", "band", "n", rnd(F.col("median"), 4).alias("median"))
+    return A.radar_composite(_db(t), probe=t.raster).select("r", "c", "band", "n", rnd(F.col("median"), 4).alias("median"))
 
 
 @query("F9 E25 X2", f"""{CHAIN} SELECT CAST(floor((month(t) % 12) / 3) AS INT) AS season, r, c, band, count(v) AS n, {R('median(v)', 4)} AS median FROM (
  SELECT t, r, c, 'vv' AS band, vv AS v FROM db UNION ALL SELECT t, r, c, 'vh', vh FROM db) WHERE v IS NOT NULL GROUP BY ALL""")
 def seasonal_radar(t: Tables):
-    return A.radar_composite(_db(t), seasonal=True).select("season", "r", "c", "band", "n", rnd(F.col("median"), 4).alias("median"))
+    return A.radar_composite(_db(t), seasonal=True, probe=t.raster).select("season", "r", "c", "band", "n", rnd(F.col("median"), 4).alias("median"))

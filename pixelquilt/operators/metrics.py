@@ -5,6 +5,7 @@ from pyspark.sql import Column, DataFrame, Window, functions as F
 
 from ..scale import group_quantiles
 from ..schema import CELL_PX, LABEL_CAP
+from ..session import stash
 
 # fixed values: evaluation conventions
 SAMPLE_PIXELS = 5_000_000
@@ -26,18 +27,26 @@ def pooled_accuracy(pairs: DataFrame, keys: list[str] = (), pred: str = "pred",
                  _r2(pred, ref).alias("r2")).where("n_px > 0"))
 
 
-def paired_accuracy(pairs: DataFrame, keys: list[str] = (), pred: str = "pred", ref: str = "ref") -> DataFrame:
-    """n, rmse, bias, r2; r2 is capped at 1 and missing when a variance is at rounding level. No pairs: n = 0."""
+def paired_sums(pred: str = "pred", ref: str = "ref") -> list[Column]:
+    """Aggregates of complete pairs for finish_paired."""
     both = F.col(pred).isNotNull() & F.col(ref).isNotNull()
     p, t = F.when(both, F.col(pred)), F.when(both, F.col(ref))
-    sums = pairs.groupBy(*keys).agg(
-        F.count_if(both).alias("n"), F.avg(p - t).alias("bias"), F.sqrt(F.avg((p - t) * (p - t))).alias("rmse"),
-        F.avg(p).alias("_mp"), F.avg(t).alias("_mt"), F.var_pop(p).alias("_vp"), F.var_pop(t).alias("_vt"),
-        F.covar_pop(p, t).alias("_c"))
+    return [F.count_if(both).alias("n"), F.avg(p - t).alias("bias"), F.sqrt(F.avg((p - t) * (p - t))).alias("rmse"),
+            F.avg(p).alias("_mp"), F.avg(t).alias("_mt"), F.var_pop(p).alias("_vp"), F.var_pop(t).alias("_vt"),
+            F.covar_pop(p, t).alias("_c")]
+
+
+def finish_paired(sums: DataFrame) -> DataFrame:
+    """r2 from the moments: capped at 1, missing when a variance is at rounding level."""
     spread = ((F.col("n") > 1) & (F.col("_vp") > 1e-12 * (1 + F.col("_mp") * F.col("_mp")))
               & (F.col("_vt") > 1e-12 * (1 + F.col("_mt") * F.col("_mt"))))
     r2 = F.when(spread, F.least(F.lit(1.0), F.col("_c") * F.col("_c") / F.when(spread, F.col("_vp") * F.col("_vt"))))
-    return sums.select(*keys, "n", "rmse", "bias", r2.alias("r2"))
+    return sums.withColumn("r2", r2).drop("_mp", "_mt", "_vp", "_vt", "_c")
+
+
+def paired_accuracy(pairs: DataFrame, keys: list[str] = (), pred: str = "pred", ref: str = "ref") -> DataFrame:
+    """n, rmse, bias, r2 of complete pairs. No pairs: n = 0."""
+    return finish_paired(pairs.groupBy(*keys).agg(*paired_sums(pred, ref))).select(*keys, "n", "rmse", "bias", "r2")
 
 
 def flat_accuracy(pairs: DataFrame, keys: list[str] = (), pred: str = "pred", ref: str = "ref") -> DataFrame:
@@ -74,10 +83,13 @@ def chip_accuracy(px: DataFrame, keys: list[str] = ("chip",), cap80: bool = True
 
 
 def chip_summary(chips: DataFrame, keys: list[str] = ()) -> DataFrame:
-    """Medians over chips of rmse, mae, me and r2 (chips without r2 ignored), and the mean rmse."""
-    return group_quantiles(chips, list(keys), {
+    """Medians over chips of rmse, mae, me and r2 (chips without r2 ignored), the mean rmse, and the pixels and mean
+    error of all chips together. The chip table is written first: it is tiny beside the pixels it comes from."""
+    n = F.sum("n")
+    return group_quantiles(stash(chips, "chips"), list(keys), {
         "rmse_median": ("rmse", 0.5), "mae_median": ("mae", 0.5), "me_median": ("me", 0.5),
-        "r2_median": ("r2", 0.5)}, [F.count(F.lit(1)).alias("n_chips"), F.avg("rmse").alias("rmse_mean")])
+        "r2_median": ("r2", 0.5)}, [F.count(F.lit(1)).alias("n_chips"), F.avg("rmse").alias("rmse_mean"),
+                                    n.alias("n_px"), (F.sum(F.col("n") * F.col("me")) / n).alias("me_pooled")])
 
 
 def lattice_step(n: Column, sample: int = SAMPLE_PIXELS) -> Column:
@@ -89,15 +101,26 @@ def on_lattice(k: Column) -> Column:
     return (F.col("r") % k == 0) & (F.col("c") % k == 0)
 
 
-def zonal_statistics(layers: DataFrame, mask: DataFrame, sample: int = SAMPLE_PIXELS) -> DataFrame:
+def lattice_of(inside: DataFrame, sample: int = SAMPLE_PIXELS) -> DataFrame:
+    """One row (k): step of the percentile lattice for the pixels of a mask."""
+    return inside.agg(lattice_step(F.count(F.lit(1)), sample).alias("k"))
+
+
+def zonal_statistics(layers: DataFrame, mask: DataFrame, sample: int = SAMPLE_PIXELS,
+                     aggregates: list[Column] = ()) -> DataFrame:
     """Per layer inside the mask: n_px and mean of every pixel, p10 / p50 / p90 of the lattice pixels (about `sample`
-    of them). layers: (layer, r, c, v); mask: (r, c). The lattice step is a one-row subquery."""
+    of them), and further constant-size aggregates. layers: (layer, r, c, v, ...); mask: (r, c).
+
+    All pixels are read once for the sums and once for the lattice, which is written to a table of at most about
+    `sample` rows per layer; only that table is ranked.
+    """
     inside = mask.select("r", "c").distinct()
-    step = inside.agg(lattice_step(F.count(F.lit(1)), sample).alias("k"))
-    px = (layers.join(inside, ["r", "c"], "left_semi").where("v IS NOT NULL")
-          .withColumn("_k", step.scalar()).withColumn("_s", F.when(on_lattice(F.col("_k")), F.col("v"))))
-    return group_quantiles(px, ["layer"], {"p10": ("_s", 0.1), "p50": ("_s", 0.5), "p90": ("_s", 0.9)},
-                           [F.count(F.lit(1)).alias("n_px"), F.avg("v").alias("mean")])
+    px = layers.join(inside, ["r", "c"], "left_semi").where("v IS NOT NULL")
+    sums = px.groupBy("layer").agg(F.count(F.lit(1)).alias("n_px"), F.avg("v").alias("mean"), *aggregates)
+    k = lattice_of(inside, sample).first()["k"]
+    points = stash(px.where(on_lattice(F.lit(k))).select("layer", "v"), "lattice")
+    quantiles = group_quantiles(points, ["layer"], {"p10": ("v", 0.1), "p50": ("v", 0.5), "p90": ("v", 0.9)})
+    return sums.join(quantiles, "layer", "left")
 
 
 def chip_keep(reference: DataFrame, min_share: float = MIN_SHARE, tile: int = CELL_PX) -> DataFrame:
@@ -158,9 +181,10 @@ def scale_sample(px: DataFrame, per_layer: int = SCALE_PIXELS) -> DataFrame:
     offsets = rows.select("layer", "r", F.coalesce(F.sum("_n").over(along), F.lit(0)).alias("_off"),
                           F.greatest(F.floor(F.sum("_n").over(whole) / per_layer), F.lit(1)).alias("_k"))
     place = Window.partitionBy("layer", "r").orderBy("c")
-    return (present.join(offsets, ["layer", "r"])
+    kept = (present.join(offsets, ["layer", "r"])
             .withColumn("_i", F.col("_off") + F.row_number().over(place) - 1)
             .where(F.col("_i") % F.col("_k") == 0).drop("_off", "_k", "_i"))
+    return stash(kept, "sample")                       # fewer than 2 * per_layer rows of a layer
 
 
 def crop_box(px: DataFrame) -> DataFrame:

@@ -9,7 +9,7 @@ from ..functions.radiometry import (angle_in_range, db_round_trip, safe_div, slo
 from ..scale import numbered, spread
 from ..session import stash
 from .composite import histogram_median
-from .focal import boxcar, terrain
+from .focal import boxcar, boxcar_and_terrain
 
 # fixed values: filter-set recipe
 IMAGES, NEAREST, OVERLAP_SHARE, FIRST_DAY = 10, 50, 0.95, "2014-01-01"
@@ -152,11 +152,7 @@ def member_join(acquisitions: DataFrame, ratios: DataFrame, keys: list[str] = ("
             .agg(F.sum("n").alias("cnt"), *[F.sum(f"x_{b}").alias(f"isum_{b}") for b in bands]))
 
 
-def quegan(acq_px: DataFrame, sums: DataFrame, keys: list[str] = ("id",), bands: list[str] = ("vv", "vh"),
-           size: int = 15) -> DataFrame:
-    """Filtered value q_<band> = boxcar(band) / count * sum of ratios, NULL where the pixel itself is not valid.
-    acq_px: keys, r, c, bands (linear, NULL = masked); dense."""
-    box = boxcar(acq_px, list(keys), list(bands), size)
+def _filtered(box: DataFrame, sums: DataFrame, keys: list[str], bands: list[str]) -> DataFrame:
     joined = box.join(sums, [*keys, "r", "c"], "left")
     cnt = F.coalesce("cnt", F.lit(0))
     return joined.select(*box.columns, *[
@@ -164,6 +160,13 @@ def quegan(acq_px: DataFrame, sums: DataFrame, keys: list[str] = ("id",), bands:
         .alias(f"q_{b}") for b in bands])
 
 
+def quegan(acq_px: DataFrame, sums: DataFrame, keys: list[str] = ("id",), bands: list[str] = ("vv", "vh"),
+           size: int = 15) -> DataFrame:
+    """Filtered value q_<band> = boxcar(band) / count * sum of ratios, NULL where the pixel itself is not valid.
+    acq_px: keys, r, c, bands (linear, NULL = masked); dense."""
+    return _filtered(boxcar(acq_px, list(keys), list(bands), size), sums, list(keys), list(bands))
+
+
 def acquisition_db(acq_px: DataFrame, sums: DataFrame, keys: list[str] = ("id",), bands: list[str] = ("vv", "vh"),
                    size: int = 15, sx: Column | float = 10.0, sy: Column | float = 10.0,
                    rot: Column | float = 0.0) -> DataFrame:
@@ -175,8 +178,8 @@ def acquisition_db(acq_px: DataFrame, sums: DataFrame, keys: list[str] = ("id",)
     rest = [c for c in acq_px.columns if c not in bands]
     lin = acq_px.select(*rest, *[F.when((F.col("m") > 0) & edge & (F.col(b) > 0), db_round_trip(F.col(b))).alias(b)
                                  for b in bands])
-    filtered = quegan(lin, sums, keys, bands, size)
-    sloped = terrain(filtered, list(keys), sx, sy, rot, "elev")
+    box = boxcar_and_terrain(lin, list(keys), list(bands), size, "elev", sx, sy, rot)
+    sloped = _filtered(box, sums, list(keys), list(bands))
     t_ok = (F.col("tv") > 0) & F.col("slope").isNotNull()
     alpha = slope_towards_sensor(F.coalesce("slope", F.lit(0.0)), F.coalesce("aspect", F.lit(0.0)), F.col("heading"),
                                  t_ok & (F.col("foot") > 0))
@@ -187,10 +190,12 @@ def acquisition_db(acq_px: DataFrame, sums: DataFrame, keys: list[str] = ("id",)
         F.when(keep, to_db(F.when(F.col("_edge"), F.col(f"q_{b}") * factor))).alias(b) for b in bands])
 
 
-def radar_composite(db: DataFrame, keys: list[str] = (), bands: list[str] = ("vv", "vh"),
-                    seasonal: bool = False) -> DataFrame:
-    """(keys, [season,] r, c, band, median, n): median of the acquisitions in dB."""
+def radar_composite(db: DataFrame, keys: list[str] = (), bands: list[str] = ("vv", "vh"), seasonal: bool = False,
+                    probe: DataFrame | None = None) -> DataFrame:
+    """(keys, [season,] r, c, band, median, n): median of the acquisitions in dB. probe: pixels of the acquisitions
+    before the chain (keys, r, c), which bound the number of values without running it twice."""
     by = [*keys, *(["season"] if seasonal else []), "r", "c", "band"]
     src = db.withColumn("season", season_of(F.col("t"))) if seasonal else db
     pairs = F.array(*[F.struct(F.lit(b).alias("band"), F.col(b).alias("v")) for b in bands])
-    return histogram_median(src.select(*by[:-1], F.explode(pairs).alias("_p")).select(*by[:-1], "_p.*"), by, "v")
+    long = src.select(*by[:-1], F.explode(pairs).alias("_p")).select(*by[:-1], "_p.*")
+    return histogram_median(long, by, "v", probe=probe, probe_keys=[*keys, "r", "c"] if probe is not None else None)

@@ -3,9 +3,10 @@ from __future__ import annotations
 
 from pyspark.sql import DataFrame, functions as F
 
-from ..operators.metrics import (chip_accuracy, chip_keep, chip_summary, paired_accuracy, pooled_accuracy,
-                                 zonal_statistics, evaluated_pairs, SAMPLE_PIXELS)
+from ..operators.metrics import (SAMPLE_PIXELS, chip_accuracy, chip_keep, chip_summary, finish_paired,
+                                 paired_accuracy, paired_sums, zonal_statistics)
 from ..schema import CELL_PX, LABEL_CAP, METRIC_COLUMNS
+from ..session import stash
 
 
 def _rows(df: DataFrame, section: str) -> DataFrame:
@@ -32,44 +33,37 @@ def on_mosaic_grid(meta: DataFrame) -> DataFrame:
 
 def study_area_section(layers: DataFrame, mask: DataFrame, labels: DataFrame,
                        sample: int = SAMPLE_PIXELS) -> DataFrame:
-    """Statistics of every layer inside the mask and its agreement with the labels (0, 80]; a labels row with the
-    number of labels above the cap."""
-    px = aligned(layers, mask)
-    lab = aligned(labels.withColumn("layer", F.lit("GEDI")), mask)
+    """Statistics of every layer inside the mask and its agreement with the labels (0, 80], in one aggregation over
+    the pixels; a labels row with the number of labels above the cap."""
+    inside = stash(mask.select("r", "c").distinct(), "mask")           # two columns, read for every part below
+    lab = stash(aligned(labels.withColumn("layer", F.lit("GEDI")), inside), "labels")
     good = lab.where((F.col("v") > 0) & (F.col("v") <= LABEL_CAP))
     over = lab.agg(F.count_if(F.col("v") > LABEL_CAP).alias("n")).scalar()
-    pairs = px.join(good.select("r", "c", F.col("v").alias("ref")), ["r", "c"], "left")
-    agree = paired_accuracy(pairs.withColumnRenamed("v", "pred"), ["layer"])
-    zonal = zonal_statistics(px, mask, sample)
-    stats = zonal.join(agree, "layer", "left").withColumn("note", F.lit(""))
-    label_row = (zonal_statistics(good, mask, sample).withColumnRenamed("n_px", "n")
+    pairs = layers.join(good.select("r", "c", F.col("v").alias("ref")), ["r", "c"], "left")
+    stats = finish_paired(zonal_statistics(pairs, inside, sample, paired_sums("v", "ref")))
+    label_row = (zonal_statistics(good, inside, sample).withColumnRenamed("n_px", "n")
                  .withColumn("note", F.format_string("%d labels above the cap left out", over)))
-    return _rows(stats, "study_area").unionByName(_rows(label_row, "study_area"))
+    return _rows(stats.withColumn("note", F.lit("")), "study_area").unionByName(_rows(label_row, "study_area"))
 
 
 def reference_section(layers: DataFrame, mask: DataFrame, reference: DataFrame, tile: int = CELL_PX,
                       min_share: float = 0.01) -> DataFrame:
     """Chip accuracy of every layer against the reference heights: the same kept chips for every layer; n and bias
     pooled, rmse and r2 chip medians."""
-    ref = aligned(reference.withColumn("layer", F.lit("ALS")), mask).drop("layer")
-    chips = chip_keep(ref, min_share, tile)
+    ref = stash(aligned(reference.withColumn("layer", F.lit("ALS")), mask).drop("layer"), "reference")
+    chips = stash(chip_keep(ref, min_share, tile), "kept")
     dropped = chips.agg(F.count_if(~F.col("kept")).alias("n")).scalar()
     kept = chips.where("kept").select("cr", "cc")
-
-    def chipped(df: DataFrame) -> DataFrame:
-        return df.withColumn("cr", F.floor(F.col("r") / tile)).withColumn("cc", F.floor(F.col("c") / tile))
-    cells = chipped(ref).join(kept, ["cr", "cc"], "left_semi").withColumnRenamed("v", "ref")
-    names = layers.select("layer").distinct()           # one row per layer
-    # every reference cell meets every layer's value; a missing value counts as 0 in the evaluation. The layer
-    # list is short and attached as an array, so no pairs beyond cells x layers are formed.
-    listed = names.agg(F.collect_set("layer").alias("l")).scalar()
-    want = cells.withColumn("layer", F.explode(listed))
-    px = want.join(aligned(layers, mask).withColumnRenamed("v", "pred"), ["layer", "r", "c"], "left")
-    summary = chip_summary(chip_accuracy(px, ["layer", "cr", "cc"]), ["layer"])
-    pooled = pooled_accuracy(evaluated_pairs(px), ["layer"])
-    out = (pooled.join(summary, "layer")
-           .select("layer", F.col("n_px").alias("n"), F.col("rmse_median").alias("rmse"), F.col("me").alias("bias"),
-                   F.col("r2_median").alias("r2"),
+    cells = (ref.withColumn("cr", F.floor(F.col("r") / tile)).withColumn("cc", F.floor(F.col("c") / tile))
+             .join(kept, ["cr", "cc"], "left_semi").withColumnRenamed("v", "ref"))
+    # every reference cell once per layer (the layer names are an array, one entry per layer); a layer without a
+    # value there counts as 0 in the evaluation
+    listed = layers.agg(F.collect_set("layer").alias("l")).scalar()
+    px = (cells.withColumn("layer", F.explode(listed))
+          .join(layers.select("layer", "r", "c", F.col("v").alias("pred")), ["layer", "r", "c"], "left"))
+    out = (chip_summary(chip_accuracy(px, ["layer", "cr", "cc"]), ["layer"])
+           .select("layer", F.col("n_px").alias("n"), F.col("rmse_median").alias("rmse"),
+                   F.col("me_pooled").alias("bias"), F.col("r2_median").alias("r2"),
                    F.format_string("%d chips, %d with too few cells left out", "n_chips", dropped).alias("note")))
     return _rows(out, "als")
 
