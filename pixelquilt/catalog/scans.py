@@ -4,7 +4,7 @@ from __future__ import annotations
 from pyspark.sql import functions as F
 
 from ..functions.geodesy import utm_epsg
-from ..operators.layout import chips_of, kept_chips, mosaic_layout, pad_tiles
+from ..operators.layout import chips_of, kept_chips, mosaic_layout, pad_tiles, place_cells
 from ..operators.metrics import paired_accuracy
 from ..plans.cells import upsert_landcover
 from ..schema import METRIC_COLUMNS
@@ -15,7 +15,7 @@ from ..sources.sinks import (chip_table, materialise_map, summary_json, train_in
                              write_train_stack)
 from .base import CELLS, EDGES, MASK, OBS, PAIRS, R, RASTER, Tables, big, query, rnd
 
-ROLE_SQL = "CASE WHEN col BETWEEN 2 AND 6 AND row BETWEEN 2 AND 5 THEN 'aoi' ELSE 'ring' END"
+ROLE_SQL = "CASE WHEN col BETWEEN 2 AND 3 OR (col BETWEEN 2 AND 6 AND row <= 1) THEN 'aoi' ELSE 'ring' END"
 STACK_CELLS = """(SELECT 'cell' || CAST(s_suppkey AS VARCHAR) AS cell, s_acctbal, s_suppkey,
  row_number() OVER (ORDER BY s_acctbal DESC, s_suppkey) - 1 AS chip FROM supplier WHERE s_acctbal > 0)"""
 STACK_PX = """(SELECT 'cell' || CAST(l_suppkey AS VARCHAR) AS cell, l_linenumber AS r, l_partkey % 8 AS c,
@@ -160,8 +160,10 @@ def mosaic_positions(t: Tables):
 def mosaic_table(t: Tables):
     _, px = _stack_inputs(t)
     path = fresh_path(t.spark, "mosaic")
-    write_mosaic(px, _mosaic_cells(t), {"x0": 0.0, "y1": 0.0}, path)
-    return (t.spark.read.parquet(path).groupBy("mr", "mc")
+    grid = {"x0": 0.0, "y1": 0.0}
+    write_mosaic(px, _mosaic_cells(t), grid, path)
+    schema = place_cells(px, mosaic_layout(_mosaic_cells(t), grid)).schema
+    return (t.spark.read.schema(schema).parquet(path).groupBy("mr", "mc")
             .agg(F.count(F.lit(1)).alias("n"), F.sum(F.col("annual")[0]).alias("total"), F.min("gr").alias("top"))
             .select(*big("mr", "mc", "n", "total", "top")))
 

@@ -117,7 +117,8 @@ def scene_footprints(t: Tables):
     return S.footprint_pairs(scenes, cells)
 
 
-@query("C15", f"""SELECT {R('avg(CASE WHEN i.r IS NOT NULL THEN 1.0 ELSE 0 END)')} AS inside, 'partial' AS note FROM {RASTER} p
+@query("C15", f"""SELECT {R('avg(CASE WHEN i.r IS NOT NULL THEN 1.0 ELSE 0 END)')} AS inside,
+ CASE WHEN count(i.r) = 0 THEN 'outside' WHEN count(i.r) < 0.999 * count(*) THEN 'partial' ELSE 'inside' END AS note FROM {RASTER} p
  LEFT JOIN (SELECT DISTINCT r, c FROM {INSIDE} WHERE id IN (SELECT s_suppkey FROM supplier WHERE s_acctbal > 5000)) i ON i.r = p.r AND i.c = p.c WHERE p.class > 10""")
 def region_shares(t: Tables):
     region = S.span_pixels(S.polygon_spans(scan_polygons(t.area_docs.where("balance > 5000")), 0.0, 0.0))
