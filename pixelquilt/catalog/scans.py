@@ -237,7 +237,7 @@ def tile_chips(t: Tables):
         F.col("v") * (F.col("pr") + 1) * (F.col("pc") + 2)), 2).alias("total")).select(*big("cr", "cc"), "n", "total")
 
 
-@query("A13 E32", """WITH cache AS (SELECT l_suppkey AS cell, arg_max(l_quantity / 100, l_orderkey * 100 + l_linenumber * 10000000000 + l_partkey)
+@query("A13 E32 U1", """WITH cache AS (SELECT l_suppkey AS cell, arg_max(l_quantity / 100, l_orderkey * 100 + l_linenumber * 10000000000 + l_partkey)
   AS water FROM lineitem WHERE l_discount = 0.1 AND l_tax = 0.08 AND l_returnflag = 'A' AND l_linestatus = 'F' GROUP BY l_suppkey)
  SELECT cell, water FROM cache UNION ALL SELECT s_suppkey, 0.5 FROM supplier WHERE s_suppkey NOT IN (SELECT cell FROM cache)""")
 def landcover_cache(t: Tables):

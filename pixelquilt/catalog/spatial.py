@@ -26,15 +26,15 @@ def pixels_in_polygons(t: Tables):
 
 @query("C2 B14", f"SELECT r, c, v, r IN (SELECT r FROM {INSIDE} i WHERE i.r = p.r AND i.c = p.c) AS inside FROM {RASTER} p")
 def area_mask(t: Tables):
-    any_part = S.span_pixels(S.polygon_spans(area_edges(t), 0.0, 0.0)).select("r", "c").distinct().withColumn("_in", F.lit(True))
+    any_part = S.span_pixels(S.polygon_spans(area_edges(t), 0.0, 0.0), keys=[]).withColumn("_in", F.lit(True))
     return t.raster.join(any_part, ["r", "c"], "left").select("r", "c", "v", F.coalesce("_in", F.lit(False)).alias("inside"))
 
 
 @query("C19 I1 E32", f"SELECT r, count(DISTINCT c) AS n FROM {INSIDE} GROUP BY r")
 def dissolved_area(t: Tables):
     rows = t.raster.agg(F.max("r").alias("r")).scalar()
-    px = S.span_pixels(S.polygon_spans(area_edges(t), 0.0, 0.0), width=50).where((F.col("r") >= 0) & (F.col("r") <= rows))
-    return px.select("r", "c").distinct().groupBy("r").agg(F.count(F.lit(1)).alias("n"))
+    px = S.span_pixels(S.polygon_spans(area_edges(t), 0.0, 0.0), width=50, keys=[]).where((F.col("r") >= 0) & (F.col("r") <= rows))
+    return px.groupBy("r").agg(F.count(F.lit(1)).alias("n"))
 
 
 @query("E29 X10", f"""SELECT id, {R('sum(a) / 2', 3)} AS area, {R('sum(cx) / sum(a) / 3')} AS x, {R('sum(cy) / sum(a) / 3')} AS y FROM (
@@ -58,7 +58,8 @@ STUDY = f"""(SELECT CAST(a.x AS DOUBLE) AS x1, CAST(a.y AS DOUBLE) AS y1, CAST(b
 def study_edges(t: Tables) -> DataFrame:
     v = t.read("region").selectExpr("r_regionkey AS k", f"CAST({_XS} AS DOUBLE) AS x", f"CAST({_YS} AS DOUBLE) AS y")
     nxt = v.select(((F.col("k") + 4) % 5).alias("k"), F.col("x").alias("x2"), F.col("y").alias("y2"))
-    return v.join(nxt, "k").select(F.lit(0).alias("id"), F.lit("0").alias("part"), F.lit(0).alias("ring"),
+    zero = F.col("k") * 0
+    return v.join(nxt, "k").select(zero.alias("id"), zero.cast("string").alias("part"), zero.alias("ring"),
                                    F.col("k").alias("seq"), F.lit(False).alias("hole"), F.col("x").alias("x1"),
                                    F.col("y").alias("y1"), "x2", "y2")
 

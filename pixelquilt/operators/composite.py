@@ -5,7 +5,7 @@ from pyspark.sql import Column, DataFrame, Window, functions as F
 
 from ..functions.calendar import in_annual_window, in_seasonal_window, season_of
 from ..functions.radiometry import good_quality
-from ..scale import GROUP_ROWS, group_quantiles, hot_groups
+from ..scale import GROUP_ROWS, group_quantiles, hot_groups, small
 from ..schema import BUILT_UP
 
 RAW_VALUES, BUCKETS = 64, 256        # fixed values: exact median up to 64 values, then at most 256 buckets
@@ -20,8 +20,10 @@ def first_mask(masks: DataFrame, key: str, order: list[str]) -> DataFrame:
 
 
 def join_masks(obs: DataFrame, masks: DataFrame, key: str = "sid", order: list[str] | None = None) -> DataFrame:
-    """Observations with their scene's mask; scenes without a partner do not survive."""
-    return obs.join(first_mask(masks, key, order) if order else masks, key)
+    """Observations with their scene's mask; scenes without a partner do not survive. The scene table is counted: up to
+    SMALL_ROWS scenes it is broadcast, so the observations are shuffled only once, for the composite."""
+    first = first_mask(masks, key, order) if order else masks
+    return obs.join(small(first, masks.select(key)), key)
 
 
 def median_composite(obs: DataFrame, keys: list[str], bands: list[str], scale: float = 1.0,
@@ -137,9 +139,9 @@ def histogram_median(values: DataFrame, keys: list[str], value: str, limit: int
         return _collected_median(v, keys)
     if rows is None:
         return _bucketed_median(v, keys)
-    small = F.broadcast(v.sparkSession.createDataFrame([tuple(r)[:-1] for r in rows], v.select(*on).schema))
-    return (_collected_median(v.join(small, on, "left_anti"), keys)
-            .unionByName(_bucketed_median(v.join(small, on, "left_semi"), keys)))
+    hot = F.broadcast(v.sparkSession.createDataFrame([tuple(r)[:-1] for r in rows], v.select(*on).schema))
+    return (_collected_median(v.join(hot, on, "left_anti"), keys)
+            .unionByName(_bucketed_median(v.join(hot, on, "left_semi"), keys)))
 
 
 def acquisition_counts(obs: DataFrame, keys: list[str]) -> DataFrame:

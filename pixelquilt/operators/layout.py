@@ -4,6 +4,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, functions as F
 
 from ..functions.geodesy import grid_position
+from ..scale import small
 from ..schema import CELL_PX
 
 
@@ -27,7 +28,7 @@ def mosaic_layout(cells: DataFrame, grid: dict) -> DataFrame:
 
 def place_cells(px: DataFrame, layout: DataFrame, size: int = CELL_PX) -> DataFrame:
     """Cell pixels at their mosaic row and column (gr, gc)."""
-    return (px.join(layout.select("cell", "mr", "mc"), "cell")
+    return (px.join(small(layout.select("cell", "mr", "mc")), "cell")
             .withColumn("gr", F.col("mr") * size + F.col("r")).withColumn("gc", F.col("mc") * size + F.col("c")))
 
 

@@ -9,22 +9,22 @@ from pyspark.sql import Column, DataFrame, Window, functions as F
 from ..scale import numbered, portable_hash
 
 DRIVER_CHIPS = 2_000_000        # most chip ids permuted on the driver (a list of integers, no data)
-RANK_BITS = 16
+RANK_BITS = 12
 
 
 def subset(df: DataFrame, max_rows: int, key: str, seed: int = 42) -> DataFrame:
     """Exactly max_rows rows without replacement (all, if there are fewer), by the smallest hash of `key`.
 
     No global sort and no row limit: the hash buckets are counted, every bucket below the border is kept whole and
-    only the border bucket (1 / 2^15 of the rows) is ranked. Ties of the hash are ordered by the key.
+    only the border bucket (1 / 2^19 of the rows) is ranked. Ties of the hash are ordered by the key.
     """
     h = df.withColumn("_h", portable_hash(F.col(key), seed)).withColumn("_b", F.shiftright("_h", RANK_BITS))
     counts = h.groupBy("_b").agg(F.count(F.lit(1)).alias("_n"))
-    upto = Window.orderBy("_b").rowsBetween(Window.unboundedPreceding, -1)      # at most 2^15 buckets
+    upto = Window.orderBy("_b").rowsBetween(Window.unboundedPreceding, -1)      # at most 2^19 buckets
     border = (counts.withColumn("_before", F.coalesce(F.sum("_n").over(upto), F.lit(0)))
               .where(F.col("_before") < max_rows)
               .select("_b", F.least(F.col("_n"), max_rows - F.col("_before")).alias("_take"), "_n"))
-    kept = h.join(F.broadcast(border), "_b")                                    # at most 2^15 rows
+    kept = h.join(F.broadcast(border), "_b")                                    # at most 2^19 rows of three integers
     whole = kept.where("_take = _n").drop("_b", "_h", "_take", "_n")
     rank = F.row_number().over(Window.partitionBy("_b").orderBy("_h", key))
     part = kept.where("_take < _n").withColumn("_i", rank).where("_i <= _take")

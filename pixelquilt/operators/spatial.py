@@ -4,6 +4,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, Window, functions as F
 
 from ..functions.geodesy import cell_name, snap_origin_x, snap_origin_y
+from ..scale import spread
 from ..schema import CELL_M, RES
 
 
@@ -32,26 +33,40 @@ def polygon_spans(edges: DataFrame, x0: float, y1: float, res: float = RES, key:
             .where("_k % 2 = 1").select(key, "part", "r", "c0", "c1"))
 
 
-def span_pixels(spans: DataFrame, height: int | None = None, width: int | None = None, key: str = "id") -> DataFrame:
-    """Pixels of the runs, clipped to the raster; a pixel of several parts of one polygon comes once (dissolve)."""
-    out = spans
+def dissolve(spans: DataFrame, keys: list[str] = ()) -> DataFrame:
+    """Union of runs that overlap or touch: (keys, r, c0, c1) without a pixel in two runs. Works on the runs, of which
+    a row has at most one per raster column after the first aggregation."""
+    starts = spans.groupBy(*keys, "r", "c0").agg(F.max("c1").alias("c1"))
+    along = Window.partitionBy(*keys, "r").orderBy("c0")
+    reach = F.max("c1").over(along.rowsBetween(Window.unboundedPreceding, -1))
+    first = F.when(F.col("c0") <= reach + 1, 0).otherwise(1)
+    return (starts.withColumn("_first", first)
+            .withColumn("_run", F.sum("_first").over(along.rowsBetween(Window.unboundedPreceding, 0)))
+            .groupBy(*keys, "r", "_run").agg(F.min("c0").alias("c0"), F.max("c1").alias("c1")).drop("_run"))
+
+
+def span_pixels(spans: DataFrame, height: int | None = None, width: int | None = None,
+                keys: list[str] = ("id",)) -> DataFrame:
+    """Pixels of the runs, clipped to the raster; a pixel of several parts of one polygon comes once. keys=[] gives the
+    pixels of the union of all polygons."""
+    out = dissolve(spans, list(keys))
     if height is not None:
         out = out.where(F.col("r").between(0, height - 1))
     if width is not None:
         out = (out.withColumn("c0", F.greatest("c0", F.lit(0))).withColumn("c1", F.least("c1", F.lit(width - 1)))
                .where("c0 <= c1"))
-    return out.select(key, "r", F.explode(F.sequence("c0", "c1")).alias("c")).distinct()
+    return out.select(*keys, "r", F.explode(F.sequence("c0", "c1")).alias("c"))
 
 
 def pixels_in_polygon(px: DataFrame, edges: DataFrame, x0: float, y1: float, res: float = RES,
                       key: str = "id") -> DataFrame:
     """Pixels (r, c) of a table inside each polygon: equality join of the pixels with the polygons' pixels."""
-    return px.join(span_pixels(polygon_spans(edges, x0, y1, res, key), key=key), ["r", "c"])
+    return px.join(span_pixels(polygon_spans(edges, x0, y1, res, key), keys=[key]), ["r", "c"])
 
 
 def covers_pixels(edges: DataFrame, x0: float, y1: float, need: int, res: float = RES) -> bool:
     """Does the area contain at least `need` pixel centres; stops counting there."""
-    return span_pixels(polygon_spans(edges, x0, y1, res)).limit(need).count() >= need
+    return span_pixels(polygon_spans(edges, x0, y1, res), keys=[]).limit(need).count() >= need
 
 
 def study_grid(edges: DataFrame) -> DataFrame:
@@ -160,7 +175,7 @@ def cells_in_area(edges: DataFrame, x0: float, y1: float, reach: float, m: float
     reach = float(reach) + 0.5                       # distances count rounded to whole metres
     n = int(reach // m) + 2
     steps = F.sequence(F.lit(-n), F.lit(n))
-    near = (hit.select(F.col("col").alias("ec"), F.col("row").alias("er"))
+    near = (spread(hit, "col", "row").select(F.col("col").alias("ec"), F.col("row").alias("er"))
             .withColumn("_dc", F.explode(steps)).withColumn("_dr", F.explode(steps))
             .select("ec", "er", (F.col("ec") + F.col("_dc")).alias("col"), (F.col("er") + F.col("_dr")).alias("row"),
                     (F.hypot(F.greatest(F.abs("_dc") - 1, F.lit(0)).cast("double"),
@@ -219,5 +234,5 @@ def region_share(area_px: DataFrame, region_px: DataFrame, cells: int, max_cells
     return share.select("inside", note.alias("note"))
 
 
-__all__ = ["polygon_spans", "span_pixels", "pixels_in_polygon", "covers_pixels", "study_grid", "polygon_area",
+__all__ = ["polygon_spans", "dissolve", "span_pixels", "pixels_in_polygon", "covers_pixels", "study_grid", "polygon_area",
            "polygon_centroid", "cells_in_area", "footprint_pairs", "region_share"]

@@ -15,6 +15,7 @@ from .session import stash
 GROUP_ROWS = 1_000_000      # rows of one group a single task may hold for an exact percentile
 HOT_GROUPS = 10_000         # most hot groups handled by the (then provably small) broadcast list
 MAX_SLOTS = 10_000          # most value ranges one hot group is cut into
+SMALL_ROWS = 1_000_000      # most rows of a counted lookup table that is broadcast
 
 
 def hot_groups(df: DataFrame, keys: list[str], limit: int):
@@ -84,8 +85,8 @@ def group_quantiles(df: DataFrame, keys: list[str], spec: dict, aggregates: list
     """Exact linearly interpolated percentiles per group, NULLs ignored.
 
     spec: {output name: (column, q in 0..1)}; aggregates: further constant-size aggregates of the same groups.
-    Groups up to `limit` rows take one hash aggregation; larger ones are split by value (_split_quantiles).
-    probe: a cheaper table that bounds the group sizes from above (for instance the unfiltered scan), counted by
+    Groups up to `limit` rows take one hash aggregation; larger ones are split by value (_split_quantiles). Keys must
+    not be NULL. probe: a cheaper table that bounds the group sizes from above (for instance the unfiltered scan), counted by
     probe_keys, a subset of the keys.
     """
     keys = list(keys)
@@ -122,9 +123,9 @@ def group_quantiles(df: DataFrame, keys: list[str], spec: dict, aggregates: list
     if rows is None:                                    # too many hot groups for a broadcast list
         return split(df)
     listed = df.sparkSession.createDataFrame([tuple(r)[:-1] for r in rows], df.select(*on).schema)
-    small = F.broadcast(listed)                         # at most HOT_GROUPS rows
-    return (plain(df.join(small, on, "left_anti"))
-            .unionByName(split(df.join(small, on, "left_semi"))))
+    hot = F.broadcast(listed)                           # at most HOT_GROUPS rows
+    return (plain(df.join(hot, on, "left_anti"))
+            .unionByName(split(df.join(hot, on, "left_semi"))))
 
 
 def numbered(df: DataFrame, order: list, name: str = "ord") -> DataFrame:
@@ -132,10 +133,10 @@ def numbered(df: DataFrame, order: list, name: str = "ord") -> DataFrame:
 
     Rows are range-partitioned and sorted, the sorted table is written once (so the partition borders cannot
     move), and every position is the offset of its partition plus the position inside it. `order` should be a
-    total order; rows that tie are spread by a salt and numbered arbitrarily among themselves.
+    total order; rows that tie are spread and ordered by a hash of the row, which a repeated task reproduces.
     """
-    salted = df.withColumn("_salt", F.monotonically_increasing_id())
-    ranged = (salted.repartitionByRange(*order, "_salt").sortWithinPartitions(*order, "_salt").drop("_salt")
+    tied = df.withColumn("_tie", F.xxhash64(*df.columns))
+    ranged = (tied.repartitionByRange(*order, "_tie").sortWithinPartitions(*order, "_tie").drop("_tie")
               .withColumn("_id", F.monotonically_increasing_id()))
     table = (stash(ranged, "numbered").withColumn("_part", F.shiftright("_id", 33))
              .withColumn("_pos", F.col("_id").bitwiseAND(F.lit((1 << 33) - 1))))
@@ -155,6 +156,13 @@ def spread(df: DataFrame, *keys: str) -> DataFrame:
     return df.repartition(n, *keys)
 
 
+def small(df: DataFrame, bound: DataFrame | None = None, rows: int = SMALL_ROWS) -> DataFrame:
+    """`df` marked for broadcasting if it (or `bound`, a cheaper table with at least as many rows) has at most `rows`
+    rows, so the large side of the join is not shuffled; otherwise unchanged, for a shuffled join."""
+    n = (df if bound is None else bound).limit(rows + 1).count()
+    return F.broadcast(df) if n <= rows else df
+
+
 def portable_hash(key: Column, seed: int) -> Column:
     """31-bit mixing of an integer key that other SQL engines can reproduce; two linear-congruential rounds."""
     a = (F.pmod(key.cast("long"), F.lit(2147483647)) * 1103515245 + seed * 12345 + 1013904223) % 2147483648

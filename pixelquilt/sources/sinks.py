@@ -5,7 +5,7 @@ from pyspark.sql import Column, DataFrame, functions as F
 
 from ..functions.geodesy import grid_position
 from ..operators.layout import mosaic_layout, place_cells
-from ..scale import numbered
+from ..scale import numbered, small
 from ..schema import METRIC_COLUMNS, PART_CHIPS, REPORT_SECTIONS
 
 
@@ -24,9 +24,9 @@ def train_index(chips: DataFrame, labels: DataFrame) -> DataFrame:
 
 def write_train_stack(pixels: DataFrame, chips: DataFrame, path: str) -> None:
     """Encoded pixels (cell, r, c, annual, seasonal, label) of the numbered chips, one folder per part; pixels of a
-    chip stay together and in raster order. The shuffle key is the chip, so a part of any size is spread."""
-    out = pixels.join(chips.select("cell", "chip", "part", "row_in_part"), "cell")
-    (out.repartition("part", "chip").sortWithinPartitions("part", "chip", "r", "c")
+    chip stay in raster order. Partitioned by range, so a task writes few parts and a large part many files."""
+    out = pixels.join(small(chips.select("cell", "chip", "part", "row_in_part")), "cell")
+    (out.repartitionByRange("part", "chip", "r", "c").sortWithinPartitions("part", "chip", "r", "c")
      .write.partitionBy("part").parquet(path))
 
 
