@@ -40,23 +40,23 @@ def _seasonal(t: Tables):
     return seasonal_optical(_masked(t), 1997, ["r", "c"], ["b1", "b2"], _valid(), probe=t.obs)
 
 
-@query("E2 C4 X2 B2", f"""SELECT r, c, season, CAST(trunc(least(b1 * 10000, 65535)) AS INT) AS code1, {R('b2')} AS b2 FROM ({SEASONAL_SQL})""")
+@query("E2 C4 X2 B2", f"""SELECT r, c, season, CAST(trunc(least(b1 * 10000, 65535)) AS INT) AS code1, {R('b2', 8)} AS b2 FROM ({SEASONAL_SQL})""")
 def seasonal_composite(t: Tables):
     code = F.least(F.col("b1") * 10000, F.lit(65535.0)).cast("int")
-    return _seasonal(t).select("r", "c", "season", code.alias("code1"), rnd(F.col("b2")).alias("b2"))
+    return _seasonal(t).select("r", "c", "season", code.alias("code1"), rnd(F.col("b2"), 8).alias("b2"))
 
 
-@query("F15 E2", f"""SELECT g.r, g.c, CAST(q.season AS INT) AS season, {R('b1')} AS b1 FROM {RASTER} g CROSS JOIN range(0, 4) q(season)
+@query("F15 E2", f"""SELECT g.r, g.c, CAST(q.season AS INT) AS season, {R('b1', 8)} AS b1 FROM {RASTER} g CROSS JOIN range(0, 4) q(season)
  LEFT JOIN ({SEASONAL_SQL}) s ON s.r = g.r AND s.c = g.c AND s.season = q.season""")
 def composite_with_gaps(t: Tables):
-    return with_gaps(_seasonal(t), t.raster, ["r", "c"]).select("r", "c", "season", rnd(F.col("b1")).alias("b1"))
+    return with_gaps(_seasonal(t), t.raster, ["r", "c"]).select("r", "c", "season", rnd(F.col("b1"), 8).alias("b1"))
 
 
-@query("E2", f"""SELECT r, c, {', '.join(f"max(CASE WHEN season = {k} THEN {R('b2')} END) AS s{k}" for k in range(4))}
+@query("E2", f"""SELECT r, c, {', '.join(f"max(CASE WHEN season = {k} THEN {R('b2', 8)} END) AS s{k}" for k in range(4))}
  FROM ({SEASONAL_SQL}) GROUP BY r, c""")
 def seasonal_pivot(t: Tables):
     wide = _seasonal(t).groupBy("r", "c").pivot("season", [0, 1, 2, 3]).agg(F.max("b2"))
-    return wide.select("r", "c", *[rnd(F.col(str(k))).alias(f"s{k}") for k in range(4)])
+    return wide.select("r", "c", *[rnd(F.col(str(k)), 8).alias(f"s{k}") for k in range(4)])
 
 
 @query("E3 B23", """SELECT label, CAST(band AS INT) AS band, round(median(v), 6) + 0.0 AS v FROM (SELECT label, unnest(range(0, 64)) AS band,

