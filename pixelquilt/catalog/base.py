@@ -6,7 +6,7 @@ from functools import cached_property
 
 from pyspark.sql import Column, DataFrame, SparkSession, functions as F
 
-from ..session import configure
+from ..session import configure, stash
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
 ORACLE: dict[str, str] = {}
@@ -104,9 +104,10 @@ class Tables:
     @cached_property
     def layer(self) -> DataFrame:
         """Long layer table: one value per layer and pixel of a 1024 x 512 grid."""
-        return (self.read("lineitem").groupBy(F.col("l_returnflag").alias("layer"), (F.col("l_orderkey") % 1024).alias("r"),
-                                              (F.col("l_partkey") % 512).alias("c"))
-                .agg(F.avg("l_quantity").alias("v")))
+        px = (self.read("lineitem").groupBy(F.col("l_returnflag").alias("layer"), (F.col("l_orderkey") % 1024).alias("r"),
+                                            (F.col("l_partkey") % 512).alias("c"))
+              .agg(F.avg("l_quantity").alias("v")))
+        return stash(px, "layer")                      # the stand-in for a stored layer table
 
     @cached_property
     def mask(self) -> DataFrame:

@@ -8,6 +8,7 @@ from ..operators.spatial import cells_in_area
 from ..plans import cells as C
 from ..plans import downloads as D
 from ..scale import numbered
+from ..session import stash
 from .base import CELLS, OBS, R, SCENE, Tables, big, query, rnd
 from .spatial import GX, GY, area_cells_sql, study_edges
 
@@ -33,7 +34,7 @@ RING_SQL = f"""(SELECT (SELECT count(*) FROM {PLAN_SQL} WHERE area >= 1) AS n_ao
 
 @query("G1 I5", f"""SELECT n_aoi, CAST(d AS DOUBLE) AS ring_m, (SELECT count(*) FROM {PLAN_SQL} WHERE area >= 1 OR (round_even(dist, 0) <= d AND NOT coalesce(water >= {WMAX}, false))) AS usable FROM {RING_SQL}""")
 def training_ring(t: Tables):
-    return C.ring_distance(_area(t), TARGET, 20.0, WMAX).select(
+    return C.ring_distance(stash(_area(t)), TARGET, 20.0, WMAX).select(
         big("n_aoi")[0], F.col("D").cast("double").alias("ring_m"), big("usable")[0])
 
 

@@ -107,17 +107,17 @@ def lattice_of(inside: DataFrame, sample: int = SAMPLE_PIXELS) -> DataFrame:
 
 
 def zonal_statistics(layers: DataFrame, mask: DataFrame, sample: int = SAMPLE_PIXELS,
-                     aggregates: list[Column] = ()) -> DataFrame:
+                     aggregates: list[Column] = (), step: int | None = None) -> DataFrame:
     """Per layer inside the mask: n_px and mean of every pixel, p10 / p50 / p90 of the lattice pixels (about `sample`
     of them), and further constant-size aggregates. layers: (layer, r, c, v, ...); mask: (r, c).
 
     All pixels are read once for the sums and once for the lattice, which is written to a table of at most about
-    `sample` rows per layer; only that table is ranked.
+    `sample` rows per layer; only that table is ranked. step: the lattice step, if it is known.
     """
-    inside = mask.select("r", "c").distinct()
-    px = layers.join(inside, ["r", "c"], "left_semi").where("v IS NOT NULL")
+    # a semi join needs no distinct mask; the lattice step counts distinct pixels
+    px = layers.join(mask.select("r", "c"), ["r", "c"], "left_semi").where("v IS NOT NULL")
     sums = px.groupBy("layer").agg(F.count(F.lit(1)).alias("n_px"), F.avg("v").alias("mean"), *aggregates)
-    k = lattice_of(inside, sample).first()["k"]
+    k = step or lattice_of(mask.select("r", "c").distinct(), sample).first()["k"]
     points = stash(px.where(on_lattice(F.lit(k))).select("layer", "v"), "lattice")
     quantiles = group_quantiles(points, ["layer"], {"p10": ("v", 0.1), "p50": ("v", 0.5), "p90": ("v", 0.9)})
     return sums.join(quantiles, "layer", "left")

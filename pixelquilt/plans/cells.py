@@ -37,9 +37,9 @@ def ring_distance(cells: DataFrame, train_cells: int, ring_max_km: float, water_
     """One row (n_aoi, D, usable): the smallest whole-kilometre distance with enough usable cells, the cap if there
     are never enough, NULL when the study area alone has enough. cells: area, dist, water.
 
-    The growing loop is one running sum over at most cap / 1 km + 1 distance steps.
+    The growing loop is one running sum over at most cap / 1 km + 1 distance steps. `cells` is read twice: pass a
+    table, not a long computation (plan_cells does).
     """
-    cells = stash(cells, "cells")                      # read three times below
     cap = max(ring_max_km * 1000.0, 0.0)
     aoi = F.col("area") >= MIN_AREA
     usable = ~F.coalesce(F.col("water") >= water_max, F.lit(False))

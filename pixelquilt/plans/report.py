@@ -4,7 +4,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, functions as F
 
 from ..operators.metrics import (SAMPLE_PIXELS, chip_accuracy, chip_keep, chip_summary, finish_paired,
-                                 paired_accuracy, paired_sums, zonal_statistics)
+                                 lattice_of, paired_accuracy, paired_sums, zonal_statistics)
 from ..schema import CELL_PX, LABEL_CAP, METRIC_COLUMNS
 from ..session import stash
 
@@ -18,7 +18,7 @@ def _rows(df: DataFrame, section: str) -> DataFrame:
 
 def aligned(layers: DataFrame, mask: DataFrame) -> DataFrame:
     """Layer pixels (layer, r, c, v) inside the mask."""
-    return layers.join(mask.select("r", "c").distinct(), ["r", "c"], "left_semi").where("v IS NOT NULL")
+    return layers.join(mask.select("r", "c"), ["r", "c"], "left_semi").where("v IS NOT NULL")
 
 
 def on_mosaic_grid(meta: DataFrame) -> DataFrame:
@@ -36,12 +36,13 @@ def study_area_section(layers: DataFrame, mask: DataFrame, labels: DataFrame,
     """Statistics of every layer inside the mask and its agreement with the labels (0, 80], in one aggregation over
     the pixels; a labels row with the number of labels above the cap."""
     inside = stash(mask.select("r", "c").distinct(), "mask")           # two columns, read for every part below
+    step = lattice_of(inside, sample).first()["k"]
     lab = stash(aligned(labels.withColumn("layer", F.lit("GEDI")), inside), "labels")
     good = lab.where((F.col("v") > 0) & (F.col("v") <= LABEL_CAP))
     over = lab.agg(F.count_if(F.col("v") > LABEL_CAP).alias("n")).scalar()
     pairs = layers.join(good.select("r", "c", F.col("v").alias("ref")), ["r", "c"], "left")
-    stats = finish_paired(zonal_statistics(pairs, inside, sample, paired_sums("v", "ref")))
-    label_row = (zonal_statistics(good, inside, sample).withColumnRenamed("n_px", "n")
+    stats = finish_paired(zonal_statistics(pairs, inside, sample, paired_sums("v", "ref"), step))
+    label_row = (zonal_statistics(good, inside, sample, step=step).withColumnRenamed("n_px", "n")
                  .withColumn("note", F.format_string("%d labels above the cap left out", over)))
     return _rows(stats.withColumn("note", F.lit("")), "study_area").unionByName(_rows(label_row, "study_area"))
 
