@@ -21,13 +21,13 @@ def stream_ingest(t: Tables):
     return t.spark.read.parquet(out).groupBy("event_type").agg(F.count(F.lit(1)).alias("n"), rnd(F.sum("value"), 4).alias("total"))
 
 
-@query("T2", f"""SELECT user_id, CAST(floor(epoch(ts) / 604800) AS BIGINT) AS week, count(*) AS n, {R('avg(value)')} AS mean, {R('sqrt(var_pop(value))')} AS deviation
+@query("T2", f"""SELECT user_id, CAST(floor(epoch(ts) / 604800) AS BIGINT) AS week, count(*) AS n, {R('avg(value)', 8)} AS mean, {R('sqrt(var_pop(value))')} AS deviation
  FROM events GROUP BY ALL""")
 def stream_statistics(t: Tables):
     out, mark = fresh_path(t.spark, "statistics"), fresh_path(t.spark, "marks")
     J.running_statistics(_events(t), "t", ["user_id"], "value", "7 days", out, mark)
     week = F.floor(F.unix_timestamp("start") / 604800)
-    return J.latest(t.spark, out, ["user_id", "start"]).select("user_id", week.alias("week"), "n", rnd(F.col("mean")).alias("mean"),
+    return J.latest(t.spark, out, ["user_id", "start"]).select("user_id", week.alias("week"), "n", rnd(F.col("mean"), 8).alias("mean"),
                                                              rnd(F.sqrt("variance")).alias("deviation"))
 
 

@@ -4,8 +4,9 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, functions as F
 
 from ..functions.geodesy import on_grid, resolution_m
-from ..scale import group_quantiles, quantile_of_sorted
+from ..scale import group_quantiles, quantile_of_sorted, small
 from ..schema import BUILT_UP, TREE, WATER
+from ..session import stash
 from .composite import first_source
 from .resample import nearest
 
@@ -32,10 +33,11 @@ def height_p90(px: DataFrame, factor: int = 10, nodata: int = 255) -> DataFrame:
 
 
 def prepare_reference(fine: DataFrame, affine: Column, x0: float, y1: float, res: float, factor: int,
-                      qs: dict[str, float]) -> DataFrame:
+                      qs: dict[str, float], shape: tuple[int, int] | None = None) -> DataFrame:
     """Percentiles per grid pixel of fine rasters (source, prio, affine, r, c, v): nearest sampling onto the
     factor-times finer sub-grid, first source wins, then the block percentile."""
-    sub = nearest(fine, affine, x0, y1, res / factor, keys=["prio"])
+    fine_shape = None if shape is None else (shape[0] * factor, shape[1] * factor)
+    sub = nearest(fine, affine, x0, y1, res / factor, keys=["prio"], shape=fine_shape)
     return block_percentile(first_source(sub, ["r", "c"], "v", "prio"), factor, qs)
 
 
@@ -81,7 +83,7 @@ def unit_check(px: DataFrame, value: str = "v") -> DataFrame:
 
 
 def height_reference(rasters: DataFrame, pixels: DataFrame, x0: float, y1: float, res: float = 10.0,
-                     scale: float = 1.0) -> DataFrame:
+                     scale: float = 1.0, shape: tuple[int, int] | None = None) -> DataFrame:
     """Reference heights (r, c, v) on the grid from rasters (source, prio, affine, rx, ry, geographic, lat).
 
     Rasters of at most 2 m give the block p90, coarser ones the nearest value; a mix is an error, and so is a result
@@ -95,13 +97,13 @@ def height_reference(rasters: DataFrame, pixels: DataFrame, x0: float, y1: float
         raise ValueError("no reference rasters")
     if kinds["fine"] != kinds["some"]:
         raise ValueError("reference rasters of mixed resolution: give only fine or only coarse ones")
-    px = pixels.join(sized.select("source", "prio", "affine"), "source")
+    px = pixels.join(small(sized.select("source", "prio", "affine")), "source")
     if kinds["fine"]:
         factor = max(1, round(res / 1.0))
-        out = prepare_reference(px, F.col("affine"), x0, y1, res, factor, {"v": 0.9})
+        out = prepare_reference(px, F.col("affine"), x0, y1, res, factor, {"v": 0.9}, shape)
     else:
-        out = first_source(nearest(px, F.col("affine"), x0, y1, res, keys=["prio"]), ["r", "c"], "v", "prio")
-    out = out.select("r", "c", (F.col("v") * F.lit(scale)).alias("v")).where("v IS NOT NULL")
+        out = first_source(nearest(px, F.col("affine"), x0, y1, res, ["prio"], shape), ["r", "c"], "v", "prio")
+    out = stash(out.select("r", "c", (F.col("v") * F.lit(scale)).alias("v")).where("v IS NOT NULL"), "reference")
     check = unit_check(out).first()
     if check["n"] and not check["ok"]:
         raise ValueError(f"reference heights do not look like metres (p99 {check['p99']:.4g})")
