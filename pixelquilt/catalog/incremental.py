@@ -4,7 +4,7 @@ from __future__ import annotations
 from pyspark.sql import functions as F
 
 from ..plans import incremental as I
-from .base import R, Tables, query  # noqa: F401
+from .base import Tables, query
 
 
 def _sets(t: Tables):

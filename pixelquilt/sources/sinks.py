@@ -3,7 +3,6 @@ from __future__ import annotations
 
 from pyspark.sql import Column, DataFrame, functions as F
 
-from ..functions.geodesy import grid_position
 from ..operators.layout import mosaic_layout, place_cells
 from ..scale import numbered, small
 from ..schema import METRIC_COLUMNS, PART_CHIPS, REPORT_SECTIONS
@@ -77,4 +76,4 @@ def materialise_map(predictions: DataFrame, mask: DataFrame, model: str) -> Data
 
 
 __all__ = ["chip_table", "train_index", "write_train_stack", "write_mosaic", "write_metrics_csv", "metrics_text",
-           "summary_json", "write_map", "materialise_map", "grid_position"]
+           "summary_json", "write_map", "materialise_map"]
