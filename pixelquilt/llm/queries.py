@@ -6,7 +6,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 
 from ..session import configure
-from . import bpe, langid, mixing, quality
+from . import bpe, langid, mixing, ngram_join, quality
 from .text import read
 
 
@@ -20,6 +20,7 @@ def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
         "op3_quality_rules": lambda spark, folder: quality.judge_digest(
             read(configure(spark), folder, "documents"), read(spark, folder, "labels")),
         "op4_language_id": _over("documents", langid.predict_digest),
+        "op8_ngram_jaccard": _over("documents", ngram_join.class_digest),
         "op9_bpe": _over("documents", bpe.digest),
     }
 
