@@ -6,7 +6,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 
 from ..session import configure
-from . import bpe, langid, mixing, ngram_join, quality
+from . import bpe, langid, mixing, ngram_join, pii, quality, url_rules
 from .text import read
 
 
@@ -20,8 +20,11 @@ def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
         "op3_quality_rules": lambda spark, folder: quality.judge_digest(
             read(configure(spark), folder, "documents"), read(spark, folder, "labels")),
         "op4_language_id": _over("documents", langid.predict_digest),
+        "op7_pii": _over("documents", pii.span_digest),
         "op8_ngram_jaccard": _over("documents", ngram_join.class_digest),
         "op9_bpe": _over("documents", bpe.digest),
+        "op10_url_rules": lambda spark, folder: url_rules.judge(
+            read(configure(spark), folder, "pages"), read(spark, folder, "labels")),
     }
 
 
