@@ -6,7 +6,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 
 from ..session import configure
-from . import bpe, langid, mixing, ngram_join, pii, quality, url_rules
+from . import bpe, html_diff, langid, mixing, ngram_join, pii, quality, url_rules
 from .text import read
 
 
@@ -16,6 +16,7 @@ def _over(table: str, operator: Callable[[DataFrame], DataFrame]) -> Callable[[S
 
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
     return {
+        "op1_html_extract": _over("pages", html_diff.extract),
         "op2_mix_sources": _over("documents", mixing.mix_digest),
         "op3_quality_rules": lambda spark, folder: quality.judge_digest(
             read(configure(spark), folder, "documents"), read(spark, folder, "labels")),
