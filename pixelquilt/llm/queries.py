@@ -6,7 +6,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 
 from ..session import configure
-from . import bpe, html_diff, langid, mixing, ngram_join, pii, ppm, quality, url_rules
+from . import bpe, html_diff, langid, mixing, ngram_join, pii, ppm, quality, url_rules, webp
 from .text import read
 
 
@@ -21,6 +21,7 @@ def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
         "op3_quality_rules": lambda spark, folder: quality.judge_digest(
             read(configure(spark), folder, "documents"), read(spark, folder, "labels")),
         "op4_language_id": _over("documents", langid.predict_digest),
+        "op5_webp": _over("documents", webp.media_digest),
         "op6_ppm": _over("documents", ppm.score_digest),
         "op7_pii": _over("documents", pii.span_digest),
         "op8_ngram_jaccard": _over("documents", ngram_join.class_digest),
