@@ -9,6 +9,7 @@ from pyspark.sql import DataFrame, SparkSession
 # Runtime settings the operators count on. Shuffle partition counts and memory stay the caller's.
 SETTINGS = {
     "spark.sql.session.timeZone": "UTC",
+    "spark.sql.execution.arrow.maxRecordsPerBatch": "2000",     # texts are long; a batch is held by the JVM and Python
     "spark.sql.adaptive.enabled": "true",
     "spark.sql.adaptive.skewJoin.enabled": "true",
     # split a skewed join side even when a later step then needs one more shuffle
