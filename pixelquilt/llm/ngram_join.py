@@ -9,7 +9,7 @@ Two sets that reach the threshold share a shingle among their first |x| - ceil(t
    the earliest position), its members against the head's and their own group's first member: links among copies of
    one text come together without all pairs.
 3. Then every pair of sets from different components that shares a prefix shingle, or a group, and passes the size,
-   position and overlap bounds, is verified. Pairs inside a component need no check: the result is the components.
+   position, sketch and overlap bounds, is verified. Pairs inside a component need no check: the result is the components.
 4. Verification intersects the whole sets.
 
 Nothing grows on the driver: it sees the sketch (fixed size) and counts. Lists of frequent shingles are cut by a salt.
@@ -30,6 +30,8 @@ from .text import Words, as_bytes, documents, mixed, slices, window_hashes
 
 SKETCH_LOG2 = 20
 PART = 1 << 14          # sketch counters per row
+WORDS = 8               # 64-bit words of a parity sketch
+SKETCH = [f"k{i}" for i in range(WORDS)]
 LIST = 4096             # about the most groups of one list that are looked at together in the first round
 
 
@@ -65,6 +67,14 @@ class Sets:
         return total(mixed(self.hashes + np.uint64(11))), total(mixed(self.hashes ^ np.uint64(0xA5A5A5A5)))
 
 
+    def parities(self) -> np.ndarray:
+        """[texts, WORDS] a parity sketch of each set: every shingle flips one of 64 * WORDS bits. Two sketches differ
+        in at most as many bits as the sets differ in shingles, whatever the sets have in common."""
+        bits, texts = 64 * WORDS, len(self.sizes)
+        flips = np.bincount(self.owner * bits + (self.hashes >> np.uint64(17)).astype(np.int64) % bits, minlength=texts * bits)
+        return np.packbits((flips & 1).astype(np.uint8).reshape(texts, bits), axis=1).view("<i8")
+
+
 def _buckets(h: np.ndarray) -> np.ndarray:
     return (h >> np.uint64(64 - SKETCH_LOG2)).astype(np.int64)
 
@@ -125,10 +135,11 @@ def records(docs: DataFrame, counts: np.ndarray, width: int, percent: int) -> Da
             ph2 = np.concatenate([np.zeros(1, np.uint64), np.cumsum(mixed(token.view(np.uint64) ^ np.uint64(0x5BD1E995)), dtype=np.uint64)])
             ph2 = (ph2[offsets[1:]] - ph2[offsets[:-1]]).view(np.int64)
             yield pa.RecordBatch.from_arrays(
-                [batch.column(0), *map(pa.array, [s.sizes, f1, f2, ph, ph2]), pa.ListArray.from_arrays(offsets, token)],
-                ["doc_id", "n", "f1", "f2", "p1", "p2", "prefix"])
+                [batch.column(0), *map(pa.array, [s.sizes, f1, f2, ph, ph2, *s.parities().T.copy()]), pa.ListArray.from_arrays(offsets, token)],
+                ["doc_id", "n", "f1", "f2", "p1", "p2", *SKETCH, "prefix"])
 
-    return docs.mapInArrow(run, f"doc_id {kind}, n long, f1 long, f2 long, p1 long, p2 long, prefix array<long>")
+    return docs.mapInArrow(run, f"doc_id {kind}, n long, f1 long, f2 long, p1 long, p2 long, "
+                                + "".join(f"{k} long, " for k in SKETCH) + "prefix array<long>")
 
 
 def packed_sets(docs: DataFrame, wanted: np.ndarray, width: int) -> DataFrame:
@@ -136,20 +147,26 @@ def packed_sets(docs: DataFrame, wanted: np.ndarray, width: int) -> DataFrame:
     shared = docs.sparkSession.sparkContext.broadcast(wanted)           # BITMAP bits
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        marks = shared.value
+        marks, seen = shared.value, set()
         for batch in batches:
             at = batch.column(0).to_numpy(zero_copy_only=False).astype(np.int64)
             keep = (marks[at >> 3] >> (at & 7).astype(np.uint8)) & 1
             for part in slices([batch.filter(pa.array(keep.astype(bool)))]):
                 s = Sets(as_bytes(part), width)
                 f1, f2 = s.fingerprints()
-                packed = [x.tobytes() for x in np.split(s.hashes, s.ends[:-1])]
-                yield pa.RecordBatch.from_arrays([pa.array(f1), pa.array(f2), pa.array(packed, pa.binary())], ["f1", "f2", "packed"])
+                packed = np.split(s.hashes, s.ends[:-1])
+                new = []
+                for i, k in enumerate(zip(f1.tolist(), f2.tolist())):       # copies with marked ids: once per task
+                    if k not in seen:
+                        seen.add(k)
+                        new.append(i)
+                yield pa.RecordBatch.from_arrays([pa.array(f1[new]), pa.array(f2[new]), pa.array([packed[i].tobytes() for i in new], pa.binary())],
+                                                 ["f1", "f2", "packed"])
 
     return (docs.select(_place(F.col("doc_id")).alias("at"), "text").mapInArrow(run, "f1 long, f2 long, packed binary"))
 
 
-BITMAP = 1 << 24
+BITMAP = 1 << 27        # bits; 16 MB
 
 
 def _place(doc_id: Column) -> Column:
@@ -188,8 +205,29 @@ def components(edges: DataFrame) -> DataFrame:
         e.select(F.col("v").alias("node"), F.col("v").alias("comp")).distinct())
 
 
-def verified(pairs: DataFrame, sets: DataFrame, whole: DataFrame, percent: int) -> DataFrame:
+def may_reach(x: str, y: str, percent: int) -> Column:
+    """Whether sizes and sketches of two sets (column prefixes) leave the threshold possible; x is the smaller set."""
+    apart = sum((F.bit_count(F.col(f"{x}{k}").bitwiseXOR(F.col(f"{y}{k}"))) for k in SKETCH), F.lit(0))
+    return (F.col(f"{x}n") * 100 >= F.col(f"{y}n") * percent) & (apart <= F.col(f"{x}n") + F.col(f"{y}n") - 2 * least_common(x, y, percent))
+
+
+def least_common(x: str, y: str, percent: int) -> Column:
+    """Fewest common shingles of two sets that reach the threshold."""
+    return F.ceil((F.col(f"{x}n") + F.col(f"{y}n")) * percent / F.lit(100.0 + percent))
+
+
+def renamed(df: DataFrame, prefix: str, *columns: str) -> DataFrame:
+    return df.select(*(F.col(c).alias(prefix + c) for c in columns))
+
+
+def verified(pairs: DataFrame, sets: DataFrame, docs: DataFrame, width: int, percent: int) -> DataFrame:
     """The pairs (a, b) of set ids whose whole sets reach the threshold."""
+    pairs = stash(pairs, "pairs")
+    ends = pairs.select(F.col("a").alias("sid")).unionByName(pairs.select(F.col("b").alias("sid"))).distinct()
+    wanted = _bitmap(sets.join(ends, "sid", "left_semi").select(_place(F.col("least_doc")).alias("at")))
+    if not wanted.any():
+        return pairs
+    whole = stash(packed_sets(docs, wanted, width), "whole")
     key = sets.select("sid", "f1", "f2")
     named = (pairs.join(key.select(F.col("sid").alias("a"), F.col("f1").alias("a1"), F.col("f2").alias("a2")), "a")
              .join(key.select(F.col("sid").alias("b"), F.col("f1").alias("b1"), F.col("f2").alias("b2")), "b"))
@@ -216,54 +254,54 @@ def classes(docs: DataFrame, width: int = 4, percent: int = 85) -> DataFrame:
     filled = rows.where("n > 0")
     groups = stash(filled.groupBy("n", "p1", "p2").agg(F.first("prefix").alias("prefix"))
                    .withColumn("gid", F.monotonically_increasing_id()), "groups")
-    by_set = filled.groupBy("n", "p1", "p2", "f1", "f2").agg(F.min("doc_id").alias("least_doc"))
+    by_set = filled.groupBy("n", "p1", "p2", "f1", "f2").agg(F.min("doc_id").alias("least_doc"), *(F.first(k).alias(k) for k in SKETCH))
     sets = stash(by_set.join(groups.drop("prefix"), ["n", "p1", "p2"]).drop("p1", "p2")
                  .withColumn("sid", F.monotonically_increasing_id()), "sets")
 
     # lists of groups by prefix shingle; frequent shingles (their count is in the token) are dealt over several lists
     salts = F.shiftright("token", 40) / F.lit(LIST)
-    listed = (groups.select("gid", "n", F.posexplode("prefix").alias("pos", "token"))
-              .withColumn("salt", F.pmod(F.xxhash64("gid"), (F.floor(salts) + 1))))
+    listed = (groups.select("gid", F.col("n").cast("int").alias("n"), F.posexplode("prefix").alias("pos", "token"))
+              .withColumn("salt", F.pmod(F.xxhash64("gid"), (F.floor(salts) + 1)).cast("int")))
     one = Window.partitionBy("token", "salt")
     head = F.min(F.struct("pos", "n", "gid")).over(one)
-    lists = stash(listed.withColumn("head", head).withColumn("size", F.count(F.lit(1)).over(one))
-                  .where((F.col("size") > 1) | (salts >= 1)).drop("size"), "lists")
+    lists = stash(listed.withColumn("head", head["gid"]).withColumn("size", F.count(F.lit(1)).over(one))
+                  .where((F.col("size") > 1) | (salts >= 1)).select("token", "gid", "pos", "head"), "lists")
 
     # first round: a group against the head it shares most with, a set against the first of its group
     firsts = sets.groupBy("gid").agg(F.min("sid").alias("first"))
-    best = (lists.where(F.col("gid") != F.col("head.gid")).groupBy("gid", F.col("head.gid").alias("other"))
-            .agg(F.count(F.lit(1)).alias("shared")).groupBy("gid").agg(F.max_by("other", F.struct("shared", "other")).alias("other")))
+    best = (lists.where("gid <> head").groupBy("gid", "head").agg(F.count(F.lit(1)).alias("shared"))
+            .groupBy("gid").agg(F.max_by("head", F.struct("shared", "head")).alias("other")))
     to_head = (best.join(sets.select("gid", "sid"), "gid").join(firsts.withColumnRenamed("gid", "other"), "other")
                .select(F.col("sid").alias("a"), F.col("first").alias("b")))
     to_own = sets.join(firsts, "gid").where("sid <> first").select(F.col("sid").alias("a"), F.col("first").alias("b"))
-    members = lists.select("gid").distinct().unionByName(to_own.join(sets, F.col("a") == F.col("sid")).select("gid").distinct()).distinct()
-    wanted = _bitmap(sets.join(members, "gid", "left_semi").select(_place(F.col("least_doc")).alias("at")))
-    whole = stash(packed_sets(docs, wanted, width), "whole").dropDuplicates(["f1", "f2"])
-    links = stash(verified(to_head.unionByName(to_own).distinct(), sets, whole, percent), "links")
+    sized = ["sid", "n", *SKETCH]
+    tried = (to_head.unionByName(to_own).distinct().join(renamed(sets, "x_", *sized), F.col("a") == F.col("x_sid"))
+             .join(renamed(sets, "y_", *sized), F.col("b") == F.col("y_sid"))
+             .where(F.when(F.col("x_n") <= F.col("y_n"), may_reach("x_", "y_", percent)).otherwise(may_reach("y_", "x_", percent))).select("a", "b"))
+    links = stash(verified(tried, sets, docs, width, percent), "links")
 
     # second round: what different components still share
     comp = components(links)
-    member = (sets.join(members, "gid", "left_semi").join(comp, F.col("sid") == F.col("node"), "left")
-              .select("gid", "sid", "n", F.coalesce("comp", "sid").alias("comp")))
+    twins = sets.groupBy("gid").agg(F.count(F.lit(1)).alias("k")).where("k > 1").select("gid")
+    member = sets.join(comp, F.col("sid") == F.col("node"), "left").select("gid", "sid", "n", F.coalesce("comp", "sid").alias("comp"))
     entries = stash(lists.select("token", "gid", F.col("pos").cast("long").alias("pos")).join(member, "gid").drop("gid").unionByName(
-        member.select((-1 - F.col("gid")).alias("token"), F.lit(0).cast("long").alias("pos"), "sid", "n", "comp")), "entries")
+        member.join(twins, "gid").select((-1 - F.col("gid")).alias("token"), F.lit(0).cast("long").alias("pos"), "sid", "n", "comp")), "entries")
     open_lists = entries.groupBy("token").agg(F.min("comp").alias("lo"), F.max("comp").alias("hi")).where("lo < hi").select("token")
-    entries = entries.join(open_lists, "token", "left_semi")
-    x = entries.select("token", *(F.col(c).alias(f"x_{c}") for c in ("pos", "sid", "n", "comp")))
-    y = entries.select("token", *(F.col(c).alias(f"y_{c}") for c in ("pos", "sid", "n", "comp")))
-    needed = F.ceil((F.col("x_n") + F.col("y_n")) * percent / F.lit(100.0 + percent))
+    entries = stash(entries.join(open_lists, "token", "left_semi").join(sets.select("sid", *SKETCH), "sid"), "entries")
+    fields = ["pos", "sid", "n", "comp", *SKETCH]
+    x, y = (entries.select("token", *(F.col(c).alias(p + c) for c in fields)) for p in ("x_", "y_"))
+    needed = least_common("x_", "y_", percent)
     room = F.least(F.col("x_n") - F.col("x_pos"), F.col("y_n") - F.col("y_pos"))
     shared = (x.join(y, "token")
               .where((F.col("x_comp") != F.col("y_comp"))
                      & ((F.col("x_n") < F.col("y_n")) | ((F.col("x_n") == F.col("y_n")) & (F.col("x_sid") < F.col("y_sid"))))
-                     & (F.col("x_n") * 100 >= F.col("y_n") * percent)
-                     & (F.least("x_pos", "y_pos") + room >= needed)))
+                     & (F.least("x_pos", "y_pos") + room >= needed) & may_reach("x_", "y_", percent)))
     pairs = (shared.groupBy(F.col("x_sid").alias("a"), F.col("y_sid").alias("b"))
              .agg(F.count(F.when(F.col("token") >= 0, 1)).alias("common"), F.min("token").alias("own"),
                   F.max(F.when(F.col("token") >= 0, F.struct("token", room.alias("room"), needed.alias("needed")))).alias("last"))
              .where((F.col("own") < 0) | (F.col("common") - 1 + F.col("last.room") >= F.col("last.needed")))
              .select("a", "b"))
-    more = stash(verified(pairs, sets, whole, percent), "links")
+    more = stash(verified(pairs, sets, docs, width, percent), "links")
     final = components(links.unionByName(more)) if more.limit(1).count() else comp
 
     named = (sets.join(final, F.col("sid") == F.col("node"), "left").withColumn("comp", F.coalesce("comp", "sid")))
