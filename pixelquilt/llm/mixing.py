@@ -95,10 +95,11 @@ def mix_digest(docs: DataFrame) -> DataFrame:
 
 
 def mix(docs: DataFrame) -> DataFrame:
-    """The documents of the mix, each as often as it is taken, with the columns of `docs`."""
-    taken = stash(copies(sizes(docs)).where("n_copies > 0").groupBy(F.col("doc_id").alias("_id"))
+    """The documents of the mix, each as often as it is taken, with the columns of `docs`. Rows without id are not
+    taken; rows with one id are taken alike, as often as the first of them."""
+    taken = stash(copies(sizes(docs)).where("n_copies > 0 AND doc_id IS NOT NULL").groupBy(F.col("doc_id").alias("_id"))
                   .agg(F.max("n_copies").alias("_copies")), "taken")
-    many = docs.join(taken, F.col("doc_id").eqNullSafe(F.col("_id"))).drop("_id")
+    many = docs.join(taken, F.col("doc_id") == F.col("_id")).drop("_id")
     return many.withColumn("_copy", F.explode(F.sequence(F.lit(1), F.col("_copies")))).drop("_copy", "_copies")
 
 

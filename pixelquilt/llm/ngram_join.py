@@ -318,8 +318,10 @@ def class_digest(docs: DataFrame) -> DataFrame:
 
 def keep_one(docs: DataFrame, width: int = 5, percent: int = 80) -> DataFrame:
     """One document of each class of near-duplicates: five-word shingles, similarity of 0.8 or more. Columns as in
-    `docs`; of rows with one id, the one with the smallest hash of its text stays."""
-    kept = classes(docs, width, percent).where("n_shingles = 0 OR doc_id <=> component_id").select(F.col("doc_id").alias("_id")).distinct()
-    once = Window.partitionBy("doc_id").orderBy(F.xxhash64("text"))
-    return (docs.join(kept, F.col("doc_id").eqNullSafe(F.col("_id")), "left_semi")
-            .withColumn("_nth", F.row_number().over(once)).where((F.col("_nth") == 1) | F.col("doc_id").isNull()).drop("_nth"))
+    `docs`. The one with the smallest id stays; of rows with one id, the one with the smallest hash of its text; of
+    rows without id, one of each text."""
+    kept = (classes(docs, width, percent).where("doc_id IS NOT NULL AND (n_shingles = 0 OR doc_id = component_id)")
+            .select(F.col("doc_id").alias("_id")).distinct())
+    once = Window.partitionBy("_id").orderBy(F.xxhash64("text"))
+    named = docs.join(kept, F.col("doc_id") == F.col("_id")).withColumn("_nth", F.row_number().over(once)).where("_nth = 1")
+    return named.drop("_id", "_nth").unionByName(docs.where("doc_id IS NULL").dropDuplicates(["text"]))
