@@ -63,7 +63,8 @@ class Vocabulary:
         self.last = [self.ids.get(s + self.end) for s in symbols]
         width = {i: len(s) - len(self.end) * (bool(self.end) and s.endswith(self.end)) for s, i in self.ids.items()}
         self.lookahead = sufficient_lookahead(self.ranks, width)
-        self._words: dict[bytes, array] = {}
+        self._words: dict[str, array] = {}
+        self._pieces: dict[int, bytes] = {}
 
     def merged(self, symbols: list[int]) -> list[int]:
         """All merges of a short run of symbols: lowest rank first, leftmost first."""
@@ -169,18 +170,15 @@ class Vocabulary:
         names = [n for n in map(self.names.get, ids) if n is not None]
         return (" " if names and not first else "") + " ".join(names)
 
-    def text(self, ids: Iterable[int]) -> Iterator[str]:
-        """Readable text of the ids: bytes of the tokens through the state machine, a space at each word end."""
-        back = {s: b for b, s in enumerate(byte_symbols())}
-        machine, special = ByteText(), set(self.special.values())
-        for i in ids:
-            if i in special:
-                yield machine.finish() + self.names[i]
-                continue
-            name = self.names.get(i, "")
-            yield machine.feed(bytes(back[c] for c in name.removesuffix(self.end)))
-            if self.end and name.endswith(self.end):
-                yield machine.finish() + " "
+    def text(self, runs: Iterable[Iterable[int]]) -> Iterator[str]:
+        """Readable text of runs of ids: the bytes of the tokens through the state machine, a space at each word end."""
+        if not self._pieces:
+            back = {c: b for b, c in enumerate(byte_symbols())}
+            self._pieces = {i: bytes(back[c] for c in s.removesuffix(self.end)) + b" " * (bool(self.end) and s.endswith(self.end))
+                            for s, i in self.ids.items()} | {i: s.encode() for s, i in self.special.items()}
+        machine = ByteText()
+        for run in runs:
+            yield machine.feed(b"".join([self._pieces.get(i, b"") for i in run]))
         yield machine.finish()
 
 
@@ -292,9 +290,10 @@ def encode(docs: DataFrame, path: str | None = None) -> DataFrame:
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         v = vocabulary(path)
         for batch in slices(batches, rows=256, mb=2):
-            ids = [array("I", chain.from_iterable(v.encode(t or ""))).tolist() for t in batch.column("text").to_pylist()]
+            runs = [list(v.encode(t or "")) for t in batch.column("text").to_pylist()]
+            ids = [array("i", chain.from_iterable(r)).tolist() for r in runs]
             yield pa.RecordBatch.from_arrays(
-                [batch.column(0), pa.array(ids, pa.list_(pa.int32())), pa.array(["".join(v.text(i)) for i in ids], pa.string())],
+                [batch.column(0), pa.array(ids, pa.list_(pa.int32())), pa.array(["".join(v.text(r)) for r in runs], pa.string())],
                 ["doc_id", "ids", "decoded"])
 
     kind = dict(docs.dtypes)["doc_id"]

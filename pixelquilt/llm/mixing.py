@@ -99,7 +99,7 @@ def mix(docs: DataFrame) -> DataFrame:
     taken; rows with one id are taken alike, as often as the first of them."""
     taken = stash(copies(sizes(docs)).where("n_copies > 0 AND doc_id IS NOT NULL").groupBy(F.col("doc_id").alias("_id"))
                   .agg(F.max("n_copies").alias("_copies")), "taken")
-    many = docs.join(taken, F.col("doc_id") == F.col("_id")).drop("_id")
+    many = docs.join(taken.hint("merge"), F.col("doc_id") == F.col("_id")).drop("_id")      # one entry per document: never broadcast
     return many.withColumn("_copy", F.explode(F.sequence(F.lit(1), F.col("_copies")))).drop("_copy", "_copies")
 
 
