@@ -75,9 +75,14 @@ def encode_label_values(t: Tables):
                                     F.count(to_null(F.col("label"), 50.0, -900.0)).alias("shown")))
 
 
-@query("B5", f"""SELECT id, CAST(band AS INT) AS band, CASE WHEN band < 64 THEN 0 ELSE code END AS code FROM {ANNUAL}""")
+@query("B5", f"""SELECT i AS input, id, CAST(band AS INT) AS band,
+  CASE WHEN (band < 64 AND i IN ('A', 'T')) OR (band > 64 AND i IN ('E', 'T', 'TE')) THEN 0 ELSE code END AS code
+ FROM {ANNUAL}, (SELECT unnest(['AE', 'A', 'E', 'T', 'TE']) AS i)""")
 def unused_layers_zero(t: Tables):
-    return _bands(coded(t).select("id", enc.unused_as_zero(F.col("annual"), "A").alias("x")), "x")
+    """Every input: which annual bands survive."""
+    one = coded(t).select("id", F.explode(F.array(*[
+        F.struct(F.lit(i).alias("input"), enc.unused_as_zero(F.col("annual"), i).alias("x")) for i in ("AE", "A", "E", "T", "TE")])).alias("o"))
+    return one.select("o.input", "id", F.posexplode("o.x").alias("band", "code"))
 
 
 @query("B6 X14", f"""SELECT id, CAST(CASE WHEN band = 64 THEN 0 ELSE band END AS INT) AS band, code FROM {ANNUAL} WHERE band = 64

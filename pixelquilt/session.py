@@ -35,13 +35,13 @@ def local_session(cpus: str | int = "*", name: str = "pixelquilt") -> SparkSessi
 
 
 def shared_dir(spark: SparkSession) -> str:
-    """Folder every executor can reach: the cluster's spark.checkpoint.dir. Only a local session without that
-    setting gets a temporary one."""
+    """Folder every executor can reach: the cluster's spark.checkpoint.dir. Only a session that runs in one JVM
+    (local or local[n], not local-cluster) and lacks that setting gets a temporary one."""
     context = spark.sparkContext
     folder = context.getConf().get("spark.checkpoint.dir") or context.getCheckpointDir()
     if folder:
         return folder.rstrip("/")
-    if not context.master.startswith("local"):
+    if context.master != "local" and not context.master.startswith("local["):
         raise RuntimeError("set spark.checkpoint.dir to a folder shared by the cluster")
     context.setCheckpointDir(tempfile.mkdtemp(prefix="pixelquilt-"))
     return context.getCheckpointDir().rstrip("/")

@@ -65,8 +65,10 @@ def summary_json(df: DataFrame, name: str = "summary") -> DataFrame:
 
 
 def write_map(predictions: DataFrame, mask: DataFrame, model: str, path: str) -> None:
-    """Prediction table of one model: NULL outside the mask, partitioned by the model tag."""
-    materialise_map(predictions, mask, model).write.mode("append").partitionBy("model").parquet(path)
+    """Prediction table of one model: NULL outside the mask, partitioned by the model tag. A rerun replaces the map of
+    this model and leaves those of other models."""
+    (materialise_map(predictions, mask, model).write.mode("overwrite").option("partitionOverwriteMode", "dynamic")
+     .partitionBy("model").parquet(path))
 
 
 def materialise_map(predictions: DataFrame, mask: DataFrame, model: str) -> DataFrame:

@@ -127,3 +127,13 @@ def test_streams_resume(spark):
     assert stats == {("a", 1): (1, 1.0), ("a", 2): (4, 3.5), ("b", 3): (1, 1.0)}
     acc = J.finish_accuracy(J.latest(spark, out + "/a", ["k"]), ["k"]).collect()
     assert len(acc) == 1 and acc[0]["n"] == 5 and acc[0]["me"] == pytest.approx((-1 - 0.5 - 0.5 + 1 - 0.5) / 5)
+
+
+def test_map_written_twice(spark, tmp_path):
+    from pixelquilt.sources.sinks import write_map
+    px = spark.createDataFrame([(0, 0, 1.5), (0, 1, 2.5)], "r int, c int, v double")
+    mask = spark.createDataFrame([(0, 0)], "r int, c int")
+    for model in ("a", "b", "a"):
+        write_map(px, mask, model, str(tmp_path / "maps"))
+    got = sorted((r["model"], r["c"], r["v"]) for r in spark.read.parquet(str(tmp_path / "maps")).collect())
+    assert got == [("a", 0, 1.5), ("a", 1, None), ("b", 0, 1.5), ("b", 1, None)]
