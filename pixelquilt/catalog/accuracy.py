@@ -61,15 +61,13 @@ def chip_summary(t: Tables):
 
 
 INSIDE = f"(SELECT l.* FROM {LAYER} l JOIN {MASK} m ON l.r = m.r AND l.c = m.c)"
-STEP = f"(SELECT CAST(greatest(1, ceil(sqrt(count(*) / 5000.0))) AS BIGINT) AS k FROM {MASK})"
-ZONAL = f"""(SELECT layer, count(v) AS n_px, avg(v) AS mean, quantile_cont(CASE WHEN r % k = 0 AND c % k = 0 THEN v END, 0.1) AS p10,
- quantile_cont(CASE WHEN r % k = 0 AND c % k = 0 THEN v END, 0.5) AS p50, quantile_cont(CASE WHEN r % k = 0 AND c % k = 0 THEN v END, 0.9) AS p90
- FROM {INSIDE}, {STEP} GROUP BY layer)"""
+ZONAL = f"""(SELECT layer, count(v) AS n_px, avg(v) AS mean, quantile_cont(v, 0.1) AS p10, quantile_cont(v, 0.5) AS p50,
+ quantile_cont(v, 0.9) AS p90 FROM {INSIDE} GROUP BY layer)"""
 
 
 @query("E15 G7 B14", f"SELECT layer, n_px, {', '.join(f'{R(c)} AS {c}' for c in ('mean', 'p10', 'p50', 'p90'))} FROM {ZONAL}")
 def zonal_statistics(t: Tables):
-    return rounded(M.zonal_statistics(t.layer, t.mask, 5000), ["layer"], ["n_px"], ["mean", "p10", "p50", "p90"])
+    return rounded(M.zonal_statistics(t.layer, t.mask), ["layer"], ["n_px"], ["mean", "p10", "p50", "p90"])
 
 
 @query("E16", f"""SELECT CAST(floor(r / 64) AS BIGINT) AS cr, CAST(floor(c / 64) AS BIGINT) AS cc, count(*) AS n1, count(*) / 4096.0 >= 0.035 AS kept
@@ -102,11 +100,11 @@ def charbonnier_loss(t: Tables):
     return M.charbonnier(px, keys=["model"]).select("model", rnd(F.col("loss")).alias("loss"))
 
 
-AGREE = f"(SELECT CAST(floor(r / 20) AS BIGINT) AS chip, r, c, v AS pred, v * 0.9 + class AS ref FROM {RASTER})"
+AGREE = f"(SELECT CAST(floor(r / 20) * 100 + floor(c / 20) AS BIGINT) AS chip, r, c, v AS pred, v * 0.9 + class AS ref FROM {RASTER})"
 
 
 def _agree(t: Tables):
-    return t.raster.select(F.floor(F.col("r") / 20).alias("chip"), "r", "c", F.col("v").alias("pred"),
+    return t.raster.select((F.floor(F.col("r") / 20) * 100 + F.floor(F.col("c") / 20)).alias("chip"), "r", "c", F.col("v").alias("pred"),
                            (F.col("v") * 0.9 + F.col("class")).alias("ref"))
 
 
@@ -116,10 +114,10 @@ def gradient_agreement(t: Tables):
     return gradient_loss(_agree(t)).select(rnd(F.col("loss")).alias("loss"))
 
 
-@query("F11 E8", f"""SELECT {R(f'avg(sqrt({D} * {D} + 1e-18))')} AS loss FROM (SELECT chip, floor((r % 20) / 6) AS br, floor(c / 6) AS bc, avg(pred) AS pred, avg(ref) AS ref
- FROM {AGREE} WHERE r % 20 < 18 AND c < 18 GROUP BY ALL)""")
+@query("F11 E8", f"""SELECT {R(f'avg(sqrt({D} * {D} + 1e-18))')} AS loss FROM (SELECT chip, floor((r % 20) / 6) AS br, floor((c % 20) / 6) AS bc, avg(pred) AS pred, avg(ref) AS ref
+ FROM {AGREE} WHERE r % 20 < 18 AND c % 20 < 18 GROUP BY ALL)""")
 def pooled_agreement(t: Tables):
-    px = _agree(t).withColumn("r", F.col("r") % 20).where("c < 20")
+    px = _agree(t).withColumn("r", F.col("r") % 20).withColumn("c", F.col("c") % 20)
     return M.pooled_loss(px, 6, 20).select(rnd(F.col("loss")).alias("loss"))
 
 
@@ -151,9 +149,9 @@ def _report_sql(rows: str) -> str:
 STUDY_SQL = f"""SELECT 'study_area' AS section, z.layer, a.n, a.rmse, a.bias, a.r2, z.mean, z.p10, z.p50, z.p90, '' AS note FROM {ZONAL} z JOIN (
  SELECT i.layer, count(g.v) AS n, sqrt(avg((i.v - g.v) ** 2)) AS rmse, avg(i.v - g.v) AS bias,
   covar_pop(i.v, g.v) ** 2 / (var_pop(CASE WHEN g.v IS NOT NULL THEN i.v END) * var_pop(g.v)) AS r2 FROM {INSIDE} i LEFT JOIN {GOOD} g ON i.r = g.r AND i.c = g.c GROUP BY i.layer) a USING (layer)
- UNION ALL SELECT 'study_area', 'GEDI', count(v), NULL, NULL, NULL, avg(v), quantile_cont(CASE WHEN r % k = 0 AND c % k = 0 THEN v END, 0.1),
-  quantile_cont(CASE WHEN r % k = 0 AND c % k = 0 THEN v END, 0.5), quantile_cont(CASE WHEN r % k = 0 AND c % k = 0 THEN v END, 0.9),
-  (SELECT CAST(count(*) AS VARCHAR) || ' labels above the cap left out' FROM {GEDI} g JOIN {MASK} m ON g.r = m.r AND g.c = m.c WHERE g.v > 80) FROM {GOOD}, {STEP}"""
+ UNION ALL SELECT 'study_area', 'GEDI', count(v), NULL, NULL, NULL, avg(v), quantile_cont(v, 0.1),
+  quantile_cont(v, 0.5), quantile_cont(v, 0.9),
+  (SELECT CAST(count(*) AS VARCHAR) || ' labels above the cap left out' FROM {GEDI} g JOIN {MASK} m ON g.r = m.r AND g.c = m.c WHERE g.v > 80) FROM {GOOD}"""
 ALS = f"(SELECT r, c, v FROM {INSIDE} WHERE layer = 'R')"
 REF_CHIPS = f"(SELECT floor(r / 64) AS cr, floor(c / 64) AS cc, count(*) AS n1 FROM {ALS} WHERE v > 1 GROUP BY ALL)"
 REF_PX = f"""(SELECT y.layer, x.cr, x.cc, x.v AS ref, coalesce(i.v, 0) AS pred FROM (SELECT *, floor(r / 64) AS cr, floor(c / 64) AS cc FROM {ALS} WHERE v > 1 AND v <= 80) x
@@ -171,7 +169,7 @@ def _report(df):
 
 @query("F12 E15 E11 C7", _report_sql(STUDY_SQL))
 def study_area_report(t: Tables):
-    return _report(P.study_area_section(t.layer, t.mask, t.gedi, 5000))
+    return _report(P.study_area_section(t.layer, t.mask, t.gedi))
 
 
 @query("F12 E13 E14 E16 C7", _report_sql(ALS_SQL))
@@ -183,7 +181,7 @@ def reference_report(t: Tables):
 @query("F12 I1", _report_sql(f"SELECT * FROM ({STUDY_SQL}) WHERE layer IN ('A', 'N', 'GEDI') UNION ALL SELECT * FROM ({ALS_SQL})"))
 def zonal_report(t: Tables):
     ref = t.layer.where("layer = 'R'").select("r", "c", "v")
-    return _report(P.zonal_report(t.layer.where("layer <> 'R'"), t.mask, t.gedi, ref, 5000, 64, 0.018))
+    return _report(P.zonal_report(t.layer.where("layer <> 'R'"), t.mask, t.gedi, ref, 64, 0.018))
 
 
 VAL = "(SELECT l_suppkey AS chip, l_orderkey AS r, l_partkey * 10 + l_linenumber AS c, max(l_extendedprice) / 1200 - 2 AS label, avg(l_quantity) AS q, min(l_discount) AS d FROM lineitem GROUP BY ALL)"

@@ -6,7 +6,7 @@ from pyspark.sql import functions as F
 from ..operators.blocks import (block_percentile, block_reduce, class_histogram, display_average, height_p90,
                                 height_reference, histogram_share, landcover_shares, off_grid, prepare_reference,
                                 unit_check)
-from ..operators.metrics import crop_box, scale_display, scale_range, scale_report, scale_sample
+from ..operators.metrics import crop_box, scale_display, scale_range, scale_report
 from .base import LAYER, R, RASTER, Tables, big, query, rnd
 
 
@@ -138,11 +138,9 @@ def display_scale(t: Tables):
 
 
 @query("E18 H7", f"""SELECT CAST(greatest(0, floor(quantile_cont(v, 0.02))) AS DOUBLE) AS vmin,
- CAST(greatest(ceil(quantile_cont(v, 0.98)), greatest(0, floor(quantile_cont(v, 0.02))) + 1) AS DOUBLE) AS vmax FROM (
- SELECT v FROM (SELECT *, row_number() OVER (PARTITION BY layer ORDER BY r, c) - 1 AS i, count(*) OVER (PARTITION BY layer) AS n FROM {LAYER})
- WHERE i % greatest(n // 1000, 1) = 0)""")
+ CAST(greatest(ceil(quantile_cont(v, 0.98)), greatest(0, floor(quantile_cont(v, 0.02))) + 1) AS DOUBLE) AS vmax FROM {LAYER}""")
 def comparison_scale(t: Tables):
-    return scale_range(scale_sample(t.layer, 1000))
+    return scale_range(t.layer)
 
 
 @query("E19", f"""SELECT count(v) AS n, {R('quantile_cont(v, 0.99)')} AS p99, quantile_cont(v, 0.99) <= 100 AS ok FROM {RASTER}""")

@@ -3,8 +3,8 @@ from __future__ import annotations
 
 from pyspark.sql import functions as F
 
-from ..operators.composite import (acquisition_counts, annual_optical, drop_built_up, embedding_median, first_source,
-                                   histogram_median, join_masks, label_median, last_on_top, seasonal_optical, set_sums,
+from ..operators.composite import (acquisition_counts, annual_optical, counted_median, drop_built_up, embedding_median,
+                                   first_source, join_masks, label_median, last_on_top, seasonal_optical, set_sums,
                                    with_gaps)
 from .base import OBS, R, RASTER, SCENE, Tables, big, query, rnd
 
@@ -94,22 +94,15 @@ def mosaic_last(t: Tables):
     return last_on_top(px, ["r", "c"], "v", "prio")
 
 
-HIST = """WITH v AS (SELECT l_suppkey * 10 + l_linenumber AS k, l_extendedprice AS v FROM lineitem),
- s AS (SELECT k, count(*) AS n, min(v) AS lo, max(v) AS hi FROM v GROUP BY k),
- w0 AS (SELECT *, pow(2.0, ceil(log2(greatest((hi - lo) / 256, 1e-300)))) AS w FROM s),
- w1 AS (SELECT * REPLACE (CASE WHEN floor(hi / w) - floor(lo / w) + 1 > 256 THEN 2 * w ELSE w END AS w) FROM w0),
- w2 AS (SELECT * REPLACE (CASE WHEN floor(hi / w) - floor(lo / w) + 1 > 256 THEN 2 * w ELSE w END AS w) FROM w1),
- r AS (SELECT v.k, v.v, s.n, row_number() OVER (PARTITION BY v.k ORDER BY v.v) - 1 AS i,
-  avg(v.v) OVER (PARTITION BY v.k, floor(v.v / s.w)) AS m FROM v JOIN w2 s USING (k))
- SELECT k, max(n) AS n, round(CASE WHEN max(n) <= 64 THEN median(v) ELSE (max(CASE WHEN i = (n - 1) // 2 THEN m END)
-  + max(CASE WHEN i = n // 2 THEN m END)) / 2 END, 5) + 0.0 AS median FROM r GROUP BY k"""
+HIST = """SELECT l_suppkey * 10 + l_linenumber AS k, count(*) AS n, round(median(l_extendedprice), 5) + 0.0 AS median
+ FROM lineitem GROUP BY 1"""
 
 
 @query("E23 U3", HIST)
 def histogram_medians(t: Tables):
     v = t.read("lineitem").select((F.col("l_suppkey") * 10 + F.col("l_linenumber")).alias("k"),
                                   F.col("l_extendedprice").alias("v"))
-    return histogram_median(v, ["k"], "v").select("k", "n", rnd(F.col("median"), 5).alias("median"))
+    return counted_median(v, ["k"], "v").select("k", "n", rnd(F.col("median"), 5).alias("median"))
 
 
 @query("E24", f"""SELECT r, c, {R('sum(b1 * prob)', 4)} AS isum, count(CASE WHEN prob > 0 THEN 1 END) AS cnt FROM {OBS} GROUP BY r, c""")

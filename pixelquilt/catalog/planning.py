@@ -157,7 +157,8 @@ def hashed_split(t: Tables):
     return out.groupBy("test").agg(F.count(F.lit(1)).alias("n"), F.sum("o_orderkey").alias("total"))
 
 
-@query("H5")
+@query("H5", f"""SELECT k AS chip, row_number() OVER (ORDER BY {HASH_SQL.format(seed=42)}, k) <= ceil(0.2::DOUBLE * count(*) OVER ()) AS val
+ FROM (SELECT c_custkey AS k FROM customer)""")
 def chip_split(t: Tables):
     return split_chips(t.read("customer").select(F.col("c_custkey").alias("chip")))
 

@@ -123,4 +123,4 @@ def scene_footprints(t: Tables):
  LEFT JOIN (SELECT DISTINCT r, c FROM {INSIDE} WHERE id IN (SELECT s_suppkey FROM supplier WHERE s_acctbal > 5000)) i ON i.r = p.r AND i.c = p.c WHERE p.class > 10""")
 def region_shares(t: Tables):
     region = S.span_pixels(S.polygon_spans(scan_polygons(t.area_docs.where("balance > 5000")), 0.0, 0.0))
-    return S.region_share(t.raster.where("class > 10"), region, 12).select(rnd(F.col("inside")).alias("inside"), "note")
+    return S.region_share(t.raster.where("class > 10"), region).select(rnd(F.col("inside")).alias("inside"), "note")

@@ -17,7 +17,7 @@ def _events(t: Tables) -> DataFrame:
 @query("T1", f"SELECT event_type, count(*) AS n, {R('sum(value)', 4)} AS total FROM events GROUP BY 1")
 def stream_ingest(t: Tables):
     out, mark = fresh_path(t.spark, "ingest"), fresh_path(t.spark, "marks")
-    J.ingest(_events(t).select("event_id", "t", "user_id", "event_type", "value"), "t", ["event_id"], out, mark)
+    J.ingest(_events(t).select("event_id", "t", "user_id", "event_type", "value"), ["event_id"], out, mark)
     return t.spark.read.parquet(out).groupBy("event_type").agg(F.count(F.lit(1)).alias("n"), rnd(F.sum("value"), 4).alias("total"))
 
 
@@ -27,7 +27,7 @@ def stream_statistics(t: Tables):
     out, mark = fresh_path(t.spark, "statistics"), fresh_path(t.spark, "marks")
     J.running_statistics(_events(t), "t", ["user_id"], "value", "7 days", out, mark)
     week = F.floor(F.unix_timestamp("start") / 604800)
-    return J.latest(t.spark, out, ["user_id", "start"]).select("user_id", week.alias("week"), "n", rnd(F.col("mean"), 8).alias("mean"),
+    return J.statistics(t.spark, out, ["user_id"]).select("user_id", week.alias("week"), "n", rnd(F.col("mean"), 8).alias("mean"),
                                                              rnd(F.sqrt("variance")).alias("deviation"))
 
 
@@ -37,5 +37,5 @@ def stream_accuracy(t: Tables):
     out, mark = fresh_path(t.spark, "accuracy"), fresh_path(t.spark, "marks")
     ref = F.get_json_object("props", "$.k")
     J.running_accuracy(_events(t), ["event_type"], F.col("value"), ref, out, mark)
-    done = J.finish_accuracy(J.latest(t.spark, out, ["event_type"]), ["event_type"])
+    done = J.accuracy(t.spark, out, ["event_type"])
     return done.select("event_type", "n", *[rnd(F.col(c)).alias(c) for c in ("me", "rmse", "r2")])

@@ -1,15 +1,13 @@
 """Temporal composites of observations."""
 from __future__ import annotations
 
-from pyspark.sql import Column, DataFrame, Window, functions as F
+from pyspark.sql import Column, DataFrame, functions as F
 
 from ..functions.calendar import in_annual_window, in_seasonal_window, season_of
 from ..functions.radiometry import good_quality
-from ..scale import GROUP_ROWS, group_quantiles, hot_groups, small
+from ..scale import GROUP_ROWS, group_quantiles, small
 from ..schema import BUILT_UP
 
-RAW_VALUES, BUCKETS = 64, 256        # fixed values: exact median up to 64 values, then at most 256 buckets
-
 
 def first_mask(masks: DataFrame, key: str, order: list[str]) -> DataFrame:
     """One mask row per scene: the first in the given order (constant-size aggregate, so hot scenes are harmless)."""
@@ -83,66 +81,12 @@ def drop_built_up(labels: DataFrame, landcover: DataFrame, keys: list[str]) -> D
             .withColumn("label", F.when(F.col("class") != BUILT_UP, F.col("label"))).drop("class"))
 
 
-def _bucket_width(n: Column, lo: Column, hi: Column) -> Column:
-    """Power of two with at most 256 buckets; borders aligned to multiples of the width may need doubling."""
-    w = F.pow(F.lit(2.0), F.ceil(F.log2(F.greatest((hi - lo) / BUCKETS, F.lit(1e-300)))).cast("double"))
-
-    def doubled(x: Column) -> Column:
-        return F.when(F.floor(hi / x) - F.floor(lo / x) + 1 > BUCKETS, 2 * x).otherwise(x)
-    return F.when(n > RAW_VALUES, doubled(doubled(doubled(w))))
-
-
-def _collected_median(v: DataFrame, keys: list[str]) -> DataFrame:
-    """One shuffle: the values of a group as a sorted array."""
-    per = (v.groupBy(*keys).agg(F.sort_array(F.collect_list("_v")).alias("_a")).withColumn("n", F.size("_a").cast("long"))
-           .withColumn("_w", _bucket_width(F.col("n"), F.col("_a")[0], F.element_at("_a", -1))))
-
-    def bucket_mean(x: Column) -> Column:
-        same = F.filter("_a", lambda a: F.floor(a / F.col("_w")) == F.floor(x / F.col("_w")))
-        return F.aggregate(same, F.lit(0.0), lambda s, a: s + a) / F.size(same)
-    low = F.col("_a")[F.floor((F.col("n") - 1) / 2).cast("int")]
-    high = F.col("_a")[F.floor(F.col("n") / 2).cast("int")]
-    exact = (low + high) / 2
-    return per.select(*keys, F.when(F.col("n") <= RAW_VALUES, exact)
-                      .otherwise((bucket_mean(low) + bucket_mean(high)) / 2).alias("median"), "n")
-
-
-def _bucketed_median(v: DataFrame, keys: list[str]) -> DataFrame:
-    """Groups of any size: range and buckets are constant-size partial aggregates, and the only ordered step runs over
-    at most 256 buckets (or 64 values) per group."""
-    stats = v.groupBy(*keys).agg(F.count(F.lit(1)).alias("_n"), F.min("_v").alias("_lo"), F.max("_v").alias("_hi"))
-    sized = v.join(stats.withColumn("_w", _bucket_width(F.col("_n"), F.col("_lo"), F.col("_hi")))
-                   .select(*keys, "_n", "_w"), keys)
-    slot = F.when(F.col("_n") <= RAW_VALUES, F.col("_v")).otherwise(F.floor(F.col("_v") / F.col("_w")).cast("double"))
-    buckets = (sized.groupBy(*keys, slot.alias("_slot"))
-               .agg(F.count(F.lit(1)).alias("_k"), F.avg("_v").alias("_mean"), F.first("_n").alias("n")))
-    order = Window.partitionBy(*keys).orderBy("_slot").rowsBetween(Window.unboundedPreceding, 0)
-    ranked = buckets.withColumn("_end", F.sum("_k").over(order)).withColumn("_start", F.col("_end") - F.col("_k"))
-
-    def at(rank: Column) -> Column:
-        return F.max(F.when((rank >= F.col("_start")) & (rank < F.col("_end")), F.col("_mean")))
-    low, high = F.floor((F.col("n") - 1) / 2), F.floor(F.col("n") / 2)
-    return ranked.groupBy(*keys).agg(((at(low) + at(high)) / 2).alias("median"), F.first("n").alias("n"))
-
-
-def histogram_median(values: DataFrame, keys: list[str], value: str, limit: int = GROUP_ROWS,
-                     probe: DataFrame | None = None, probe_keys: list[str] | None = None) -> DataFrame:
-    """(keys, median, n) as computed by the remote compositing service: exact up to 64 values; above that the values
-    are replaced by the means of power-of-two buckets (at most 256 per group).
-
-    Groups up to `limit` values are collected (one shuffle), larger ones go through partial buckets. probe: a cheaper
-    table whose counts by probe_keys (a subset of the keys) bound the group sizes.
-    """
+def counted_median(values: DataFrame, keys: list[str], value: str, limit: int = GROUP_ROWS,
+                   probe: DataFrame | None = None, probe_keys: list[str] | None = None) -> DataFrame:
+    """(keys, median, n): exact median and number of the values of a group of any size, NULLs ignored; a group without
+    values gives no row. probe: a cheaper table whose counts by probe_keys (a subset of the keys) bound the sizes."""
     v = values.where(F.col(value).isNotNull()).select(*keys, F.col(value).cast("double").alias("_v"))
-    on = list(probe_keys or keys)
-    rows, _ = hot_groups(v if probe is None else probe, on, limit)
-    if rows == []:
-        return _collected_median(v, keys)
-    if rows is None:
-        return _bucketed_median(v, keys)
-    hot = F.broadcast(v.sparkSession.createDataFrame([tuple(r)[:-1] for r in rows], v.select(*on).schema))
-    return (_collected_median(v.join(hot, on, "left_anti"), keys)
-            .unionByName(_bucketed_median(v.join(hot, on, "left_semi"), keys)))
+    return group_quantiles(v, keys, {"median": ("_v", 0.5)}, [F.count(F.lit(1)).alias("n")], limit, probe, probe_keys)
 
 
 def acquisition_counts(obs: DataFrame, keys: list[str]) -> DataFrame:

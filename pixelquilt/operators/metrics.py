@@ -1,16 +1,14 @@
 """Accuracy and zonal statistics as mergeable aggregates."""
 from __future__ import annotations
 
-from pyspark.sql import Column, DataFrame, Window, functions as F
+from pyspark.sql import Column, DataFrame, functions as F
 
 from ..scale import group_quantiles
 from ..schema import CELL_PX, LABEL_CAP
 from ..session import stash
 
 # fixed values: evaluation conventions
-SAMPLE_PIXELS = 5_000_000
 MIN_SHARE = 0.01
-SCALE_PIXELS = 200_000
 
 
 def _r2(pred: str, ref: str) -> Column:
@@ -92,35 +90,14 @@ def chip_summary(chips: DataFrame, keys: list[str] = ()) -> DataFrame:
                                     n.alias("n_px"), (F.sum(F.col("n") * F.col("me")) / n).alias("me_pooled")])
 
 
-def lattice_step(n: Column, sample: int = SAMPLE_PIXELS) -> Column:
-    return F.greatest(F.lit(1), F.ceil(F.sqrt(n / F.lit(float(sample))))).cast("long")
-
-
-def on_lattice(k: Column) -> Column:
-    """Every k-th row and column by global index, so tiles and strips agree."""
-    return (F.col("r") % k == 0) & (F.col("c") % k == 0)
-
-
-def lattice_of(inside: DataFrame, sample: int = SAMPLE_PIXELS) -> DataFrame:
-    """One row (k): step of the percentile lattice for the pixels of a mask."""
-    return inside.agg(lattice_step(F.count(F.lit(1)), sample).alias("k"))
-
-
-def zonal_statistics(layers: DataFrame, mask: DataFrame, sample: int = SAMPLE_PIXELS,
-                     aggregates: list[Column] = (), step: int | None = None) -> DataFrame:
-    """Per layer inside the mask: n_px and mean of every pixel, p10 / p50 / p90 of the lattice pixels (about `sample`
-    of them), and further constant-size aggregates. layers: (layer, r, c, v, ...); mask: (r, c).
-
-    All pixels are read once for the sums and once for the lattice, which is written to a table of at most about
-    `sample` rows per layer; only that table is ranked. step: the lattice step, if it is known.
-    """
-    # a semi join needs no distinct mask; the lattice step counts distinct pixels
+def zonal_statistics(layers: DataFrame, mask: DataFrame, aggregates: list[Column] = ()) -> DataFrame:
+    """Per layer inside the mask: n_px, mean, p10 / p50 / p90 of every pixel with a value, and further constant-size
+    aggregates. layers: (layer, r, c, v, ...); mask: (r, c). The unmasked layers bound the group sizes."""
+    # a semi join needs no distinct mask
     px = layers.join(mask.select("r", "c"), ["r", "c"], "left_semi").where("v IS NOT NULL")
-    sums = px.groupBy("layer").agg(F.count(F.lit(1)).alias("n_px"), F.avg("v").alias("mean"), *aggregates)
-    k = step or lattice_of(mask.select("r", "c").distinct(), sample).first()["k"]
-    points = stash(px.where(on_lattice(F.lit(k))).select("layer", "v"), "lattice")
-    quantiles = group_quantiles(points, ["layer"], {"p10": ("v", 0.1), "p50": ("v", 0.5), "p90": ("v", 0.9)})
-    return sums.join(quantiles, "layer", "left")
+    return group_quantiles(px, ["layer"], {"p10": ("v", 0.1), "p50": ("v", 0.5), "p90": ("v", 0.9)},
+                           [F.count(F.lit(1)).alias("n_px"), F.avg("v").alias("mean"), *aggregates],
+                           probe=layers.where("v IS NOT NULL"))
 
 
 def chip_keep(reference: DataFrame, min_share: float = MIN_SHARE, tile: int = CELL_PX) -> DataFrame:
@@ -171,22 +148,6 @@ def scale_range(px: DataFrame, value: str = "v") -> DataFrame:
     return out.select(lo.alias("vmin"), F.greatest(F.ceil("hi").cast("double"), lo + 1.0).alias("vmax"))
 
 
-def scale_sample(px: DataFrame, per_layer: int = SCALE_PIXELS) -> DataFrame:
-    """At most `per_layer` pixels of every layer: every k-th in raster order, k from the layer's own size. The
-    position inside the layer is the offset of its raster row (one small table) plus the place in the row."""
-    present = px.where("v IS NOT NULL")
-    rows = present.groupBy("layer", "r").agg(F.count(F.lit(1)).alias("_n"))
-    along = Window.partitionBy("layer").orderBy("r").rowsBetween(Window.unboundedPreceding, -1)
-    whole = Window.partitionBy("layer")
-    offsets = rows.select("layer", "r", F.coalesce(F.sum("_n").over(along), F.lit(0)).alias("_off"),
-                          F.greatest(F.floor(F.sum("_n").over(whole) / per_layer), F.lit(1)).alias("_k"))
-    place = Window.partitionBy("layer", "r").orderBy("c")
-    kept = (present.join(offsets, ["layer", "r"])
-            .withColumn("_i", F.col("_off") + F.row_number().over(place) - 1)
-            .where(F.col("_i") % F.col("_k") == 0).drop("_off", "_k", "_i"))
-    return stash(kept, "sample")                       # fewer than 2 * per_layer rows of a layer
-
-
 def crop_box(px: DataFrame) -> DataFrame:
     """Per layer: bounding box of the pixels with values, their mean and median."""
     return group_quantiles(px.where("v IS NOT NULL"), ["layer"], {"median": ("v", 0.5)}, [

@@ -8,7 +8,7 @@ from ..functions.radiometry import (angle_in_range, db_round_trip, safe_div, slo
                                     terrain_visible, to_db)
 from ..scale import numbered, spread
 from ..session import stash
-from .composite import histogram_median
+from .composite import counted_median
 from .focal import boxcar, boxcar_and_terrain
 
 # fixed values: filter-set recipe
@@ -198,4 +198,4 @@ def radar_composite(db: DataFrame, keys: list[str] = (), bands: list[str] = ("vv
     src = db.withColumn("season", season_of(F.col("t"))) if seasonal else db
     pairs = F.array(*[F.struct(F.lit(b).alias("band"), F.col(b).alias("v")) for b in bands])
     long = src.select(*by[:-1], F.explode(pairs).alias("_p")).select(*by[:-1], "_p.*")
-    return histogram_median(long, by, "v", probe=probe, probe_keys=[*keys, "r", "c"] if probe is not None else None)
+    return counted_median(long, by, "v", probe=probe, probe_keys=[*keys, "r", "c"] if probe is not None else None)

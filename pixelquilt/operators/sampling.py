@@ -3,12 +3,10 @@ from __future__ import annotations
 
 import math
 
-import numpy as np
 from pyspark.sql import Column, DataFrame, Window, functions as F
 
 from ..scale import numbered, portable_hash
 
-DRIVER_CHIPS = 2_000_000        # most chip ids permuted on the driver (a list of integers, no data)
 RANK_BITS = 12
 
 
@@ -37,21 +35,15 @@ def row_split(df: DataFrame, key: str, test_share: float = 0.2, seed: int = 42)
 
 
 def split_chips(chips: DataFrame, val_share: float = 0.2, seed: int = 42, how: str = "train_test_split") -> DataFrame:
-    """Chips 0..n-1 with `val`, by the public NumPy permutation of the seed.
+    """Chips with `val`, by the rank of the hash of the chip id; one rule at every size, no list on the driver.
 
-    train_test_split: the first ceil(share * n) of the permutation validate; shuffle: the first floor(share * n).
-    The permutation is a list of integers made on the driver while n is at most DRIVER_CHIPS; beyond, the chips are
-    ranked by hash and the same number of them validates.
+    train_test_split: the first ceil(share * n) validate; shuffle: the first floor(share * n).
     """
-    n = chips.count()
-    k = math.ceil(val_share * n) if how == "train_test_split" else math.floor(val_share * n)
     if how not in ("train_test_split", "shuffle"):
         raise ValueError(how)
-    if n > DRIVER_CHIPS:
-        chosen = subset(chips.select("chip"), k, "chip", seed).withColumn("val", F.lit(True))
-    else:
-        order = np.random.RandomState(seed).permutation(n)[:k]
-        chosen = chips.sparkSession.createDataFrame([(int(i), True) for i in order], "chip bigint, val boolean")
+    n = chips.count()
+    k = math.ceil(val_share * n) if how == "train_test_split" else math.floor(val_share * n)
+    chosen = subset(chips.select("chip"), k, "chip", seed).withColumn("val", F.lit(True))
     return chips.join(chosen, "chip", "left").withColumn("val", F.coalesce("val", F.lit(False)))
 
 

@@ -224,12 +224,12 @@ def footprint_pairs(scenes: DataFrame, cells: DataFrame, slack: float = 0.03, bu
     return s.join(c, meet & corner).select("id", "cell")
 
 
-def region_share(area_px: DataFrame, region_px: DataFrame, cells: int, max_cells: int = 200) -> DataFrame:
-    """One row (inside, note): share of the area's pixels inside the region; outside and too large are notes."""
+def region_share(area_px: DataFrame, region_px: DataFrame) -> DataFrame:
+    """One row (inside, note): share of the area's pixels inside the region, and what it means."""
     flagged = area_px.join(region_px.select("r", "c").distinct().withColumn("_in", F.lit(1.0)), ["r", "c"], "left")
     share = flagged.agg(F.avg(F.coalesce("_in", F.lit(0.0))).alias("inside"))
     note = (F.when(F.coalesce("inside", F.lit(0.0)) == 0, "outside")
-            .when(F.lit(cells) > max_cells, "too many cells").when(F.col("inside") < 0.999, "partial")
+            .when(F.col("inside") < 0.999, "partial")
             .otherwise("inside"))
     return share.select("inside", note.alias("note"))
 

@@ -11,7 +11,6 @@ from ..sources.geojson import category
 MIN_AREA = 1.0
 RING_STEP = 1000.0
 FEW_PIXELS = 100
-AREA_ONLY_CELLS = 200
 STACK_BYTES_PER_CELL = (76 * 2 + 4) * CELL_PX ** 2
 FOREST_BYTES_PER_CELL = 9.6e6
 REFERENCE_CELLS = 400
@@ -73,15 +72,12 @@ def plan_cells(cells: DataFrame, train_cells: int = 400, ring_max_km: float = 50
         .withColumn("use", use).drop("_d", "area", "dist")
 
 
-def area_only_plan(cells: DataFrame, max_cells: int = AREA_ONLY_CELLS) -> DataFrame:
-    """Plan without ring or land cover; more than `max_cells` cells (or none) is an error."""
+def area_only_plan(cells: DataFrame) -> DataFrame:
+    """Plan without ring or land cover, for an area of any size."""
     none = F.lit(None).cast("double")
-    kept = stash(cells, "cells").where(F.col("area") >= MIN_AREA)
-    n = kept.agg(F.count(F.lit(1)).alias("n")).scalar()
-    ok = F.when(n > max_cells, F.raise_error(F.lit("the study area covers too many cells")).cast("boolean")) \
-        .otherwise(F.lit(True))
+    kept = cells.where(F.col("area") >= MIN_AREA)
     return (kept.withColumn("role", F.lit("aoi")).withColumn("dist_m", F.lit(0)).withColumn("water", none)
-            .withColumn("built", none).withColumn("tree", none).withColumn("use", ok).drop("area", "dist"))
+            .withColumn("built", none).withColumn("tree", none).withColumn("use", F.lit(True)).drop("area", "dist"))
 
 
 def plan_notes(n_aoi: int, n_pixels: int, train_cells: int) -> list[tuple[str, str]]:

@@ -3,8 +3,8 @@ from __future__ import annotations
 
 from pyspark.sql import DataFrame, functions as F
 
-from ..operators.metrics import (SAMPLE_PIXELS, chip_accuracy, chip_keep, chip_summary, finish_paired,
-                                 lattice_of, paired_accuracy, paired_sums, zonal_statistics)
+from ..operators.metrics import (chip_accuracy, chip_keep, chip_summary, finish_paired, paired_accuracy, paired_sums,
+                                 zonal_statistics)
 from ..schema import CELL_PX, LABEL_CAP, METRIC_COLUMNS
 from ..session import stash
 
@@ -31,18 +31,16 @@ def on_mosaic_grid(meta: DataFrame) -> DataFrame:
                     .alias("note")))
 
 
-def study_area_section(layers: DataFrame, mask: DataFrame, labels: DataFrame,
-                       sample: int = SAMPLE_PIXELS) -> DataFrame:
+def study_area_section(layers: DataFrame, mask: DataFrame, labels: DataFrame) -> DataFrame:
     """Statistics of every layer inside the mask and its agreement with the labels (0, 80], in one aggregation over
     the pixels; a labels row with the number of labels above the cap."""
     inside = stash(mask.select("r", "c").distinct(), "mask")           # two columns, read for every part below
-    step = lattice_of(inside, sample).first()["k"]
     lab = stash(aligned(labels.withColumn("layer", F.lit("GEDI")), inside), "labels")
     good = lab.where((F.col("v") > 0) & (F.col("v") <= LABEL_CAP))
     over = lab.agg(F.count_if(F.col("v") > LABEL_CAP).alias("n")).scalar()
     pairs = layers.join(good.select("r", "c", F.col("v").alias("ref")), ["r", "c"], "left")
-    stats = finish_paired(zonal_statistics(pairs, inside, sample, paired_sums("v", "ref"), step))
-    label_row = (zonal_statistics(good, inside, sample, step=step).withColumnRenamed("n_px", "n")
+    stats = finish_paired(zonal_statistics(pairs, inside, paired_sums("v", "ref")))
+    label_row = (zonal_statistics(good, inside).withColumnRenamed("n_px", "n")
                  .withColumn("note", F.format_string("%d labels above the cap left out", over)))
     return _rows(stats.withColumn("note", F.lit("")), "study_area").unionByName(_rows(label_row, "study_area"))
 
@@ -70,8 +68,8 @@ def reference_section(layers: DataFrame, mask: DataFrame, reference: DataFrame,
 
 
 def zonal_report(layers: DataFrame, mask: DataFrame, labels: DataFrame, reference: DataFrame | None = None,
-                 sample: int = SAMPLE_PIXELS, tile: int = CELL_PX, min_share: float = 0.01) -> DataFrame:
-    out = study_area_section(layers, mask, labels, sample)
+                 tile: int = CELL_PX, min_share: float = 0.01) -> DataFrame:
+    out = study_area_section(layers, mask, labels)
     return out if reference is None else out.unionByName(reference_section(layers, mask, reference, tile, min_share))
 
 

@@ -5,7 +5,7 @@ running it again resumes. Checkpoints and outputs belong in the shared folder.
 """
 from __future__ import annotations
 
-from pyspark.sql import Column, DataFrame, SparkSession, functions as F
+from pyspark.sql import Column, DataFrame, SparkSession, Window, functions as F
 from pyspark.sql.types import StructType
 
 
@@ -21,56 +21,79 @@ def _wait(query) -> None:
         raise query.exception()
 
 
-def ingest(stream: DataFrame, time: str, keys: list[str], out: str, checkpoint: str, delay: str = "7 days") -> None:
-    """Append new observations once: repeats of the keys within the watermark delay are dropped."""
-    fresh = stream.withWatermark(time, delay).dropDuplicatesWithinWatermark(keys)
-    _wait(fresh.writeStream.format("parquet").outputMode("append").option("path", out)
-          .option("checkpointLocation", checkpoint).trigger(availableNow=True).start())
+def _batches(stream: DataFrame, write, checkpoint: str) -> None:
+    _wait(stream.writeStream.foreachBatch(write).option("checkpointLocation", checkpoint)
+          .trigger(availableNow=True).start())
 
 
-def _updates(aggregated: DataFrame, out: str, checkpoint: str) -> None:
-    """Changed groups of every micro-batch, one folder per batch; a repeated batch overwrites its own folder."""
+def ingest(stream: DataFrame, keys: list[str], out: str, checkpoint: str) -> None:
+    """Append every observation whose keys are not there yet, however late it arrives. Each batch is a folder of its
+    own (epoch); a repeated batch replaces its folder, so it must not see its own earlier attempt."""
     def write(batch: DataFrame, epoch: int) -> None:
-        batch.write.mode("overwrite").parquet(f"{out}/epoch={epoch}")
-    _wait(aggregated.writeStream.outputMode("update").foreachBatch(write)
-          .option("checkpointLocation", checkpoint).trigger(availableNow=True).start())
+        spark, fresh = batch.sparkSession, batch.dropDuplicates(keys)
+        if epoch > 0:                                   # the first batch finds nothing written
+            done = (spark.read.schema(f"{batch.select(*keys).schema.simpleString()[7:-1]}, epoch long")
+                    .option("basePath", out).parquet(out).where(F.col("epoch") < epoch))
+            fresh = fresh.join(done.select(*keys), keys, "left_anti")
+        fresh.write.mode("overwrite").parquet(f"{out}/epoch={epoch}")
+    _batches(stream, write, checkpoint)
 
 
-def latest(spark: SparkSession, out: str, keys: list[str]) -> DataFrame:
-    """Newest state of every group of an update job."""
-    updates = spark.read.option("basePath", out).parquet(out)
-    rest = [c for c in updates.columns if c not in (*keys, "epoch")]
-    return (updates.groupBy(*keys).agg(F.max_by(F.struct(*rest), "epoch").alias("_s")).select(*keys, "_s.*"))
+def _partials(stream: DataFrame, aggregate, out: str, checkpoint: str) -> None:
+    """Aggregates of every batch alone, one folder per batch (epoch): no state, nothing is too late, and a repeated
+    batch replaces its own folder. Readers merge the batches."""
+    _batches(stream, lambda batch, epoch: aggregate(batch).write.mode("overwrite").parquet(f"{out}/epoch={epoch}"),
+             checkpoint)
+
+
+def _merged(parts: DataFrame, keys: list[str], means: list[str], products: dict) -> DataFrame:
+    """Counts, means and centred population products of the batches as those of all rows together.
+
+    products: {column: (mean column, mean column)}, each the population (co)variance of a batch. The product of the
+    whole is the mean of the batch products plus the (co)variance of the batch means."""
+    whole = Window.partitionBy(*keys)
+    n = F.col("n")
+    centred = parts.where(n > 0).withColumns({f"_{m}": F.sum(n * F.col(m)).over(whole) / F.sum(n).over(whole) for m in means})
+    return centred.groupBy(*keys).agg(
+        F.sum("n").alias("n"), *[F.first(f"_{m}").alias(m) for m in means],
+        *[(F.sum(n * (F.col(p) + (F.col(a) - F.col(f"_{a}")) * (F.col(b) - F.col(f"_{b}")))) / F.sum(n)).alias(p)
+          for p, (a, b) in products.items()])
 
 
 def running_statistics(stream: DataFrame, time: str, keys: list[str], value: str, window: str, out: str,
-                       checkpoint: str, delay: str = "7 days") -> None:
-    """Count, mean and variance per key and time window. An exact median is not incremental: it is computed from the
-    ingested table."""
-    stats = (stream.withWatermark(time, delay).groupBy(*keys, F.window(time, window).alias("_w"))
-             .agg(F.count(value).alias("n"), F.avg(value).alias("mean"), F.var_pop(value).alias("variance"))
-             .withColumn("start", F.col("_w.start")).drop("_w"))
-    _updates(stats, out, checkpoint)
+                       checkpoint: str) -> None:
+    """Count, mean and variance per key and time window, read by `statistics`. An exact median is not incremental: it
+    is computed from the ingested table."""
+    def of(batch: DataFrame) -> DataFrame:
+        return (batch.groupBy(*keys, F.window(time, window).alias("_w"))
+                .agg(F.count(value).alias("n"), F.avg(value).alias("mean"), F.var_pop(value).alias("variance"))
+                .withColumn("start", F.col("_w.start")).drop("_w"))
+    _partials(stream, of, out, checkpoint)
+
+
+def statistics(spark: SparkSession, out: str, keys: list[str]) -> DataFrame:
+    """(keys, start, n, mean, variance) of all batches; windows without a value give no row."""
+    return _merged(spark.read.option("basePath", out).parquet(out), [*keys, "start"], ["mean"], {"variance": ("mean", "mean")})
 
 
 def running_accuracy(stream: DataFrame, keys: list[str], pred: Column, ref: Column, out: str,
                      checkpoint: str) -> None:
-    """Pooled accuracy sums per key; finished metrics come from finish_accuracy(latest(...))."""
-    pairs = (stream.select(*keys, pred.cast("double").alias("p"), ref.cast("double").alias("t"))
-             .where("p IS NOT NULL AND t IS NOT NULL"))
+    """Pooled accuracy moments per key, read by `accuracy`."""
     d = F.col("p") - F.col("t")
-    sums = pairs.groupBy(*keys).agg(
-        F.count(F.lit(1)).alias("n"), F.sum(d).alias("sd"), F.sum(d * d).alias("sdd"), F.sum("p").alias("sp"),
-        F.sum("t").alias("st"), F.sum(F.col("p") * F.col("p")).alias("spp"),
-        F.sum(F.col("t") * F.col("t")).alias("stt"), F.sum(F.col("p") * F.col("t")).alias("spt"))
-    _updates(sums, out, checkpoint)
 
-
-def finish_accuracy(sums: DataFrame, keys: list[str]) -> DataFrame:
-    n = F.col("n")
-    cov = F.col("spt") / n - F.col("sp") / n * F.col("st") / n
-    vp = F.col("spp") / n - F.pow(F.col("sp") / n, F.lit(2))
-    vt = F.col("stt") / n - F.pow(F.col("st") / n, F.lit(2))
-    ok = (vp > 0) & (vt > 0)
-    return sums.select(*keys, "n", (F.col("sd") / n).alias("me"), F.sqrt(F.col("sdd") / n).alias("rmse"),
-                       F.when(ok, cov * cov / F.when(ok, vp * vt)).alias("r2"))
+    def of(batch: DataFrame) -> DataFrame:
+        pairs = (batch.select(*keys, pred.cast("double").alias("p"), ref.cast("double").alias("t"))
+                 .where("p IS NOT NULL AND t IS NOT NULL"))
+        return pairs.groupBy(*keys).agg(
+            F.count(F.lit(1)).alias("n"), F.avg(d).alias("me"), F.avg(d * d).alias("mse"), F.avg("p").alias("mp"),
+            F.avg("t").alias("mt"), F.var_pop("p").alias("vp"), F.var_pop("t").alias("vt"), F.covar_pop("p", "t").alias("cov"))
+    _partials(stream, of, out, checkpoint)
+
+
+def accuracy(spark: SparkSession, out: str, keys: list[str]) -> DataFrame:
+    """(keys, n, me, rmse, r2) of all batches; r2 is NULL when a variance is 0."""
+    all_ = _merged(spark.read.option("basePath", out).parquet(out), keys, ["me", "mse", "mp", "mt"],
+                   {"vp": ("mp", "mp"), "vt": ("mt", "mt"), "cov": ("mp", "mt")})
+    ok = (F.col("vp") > 0) & (F.col("vt") > 0)
+    return all_.select(*keys, "n", "me", F.sqrt("mse").alias("rmse"),
+                       F.when(ok, F.col("cov") * F.col("cov") / F.when(ok, F.col("vp") * F.col("vt"))).alias("r2"))

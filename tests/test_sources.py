@@ -1,6 +1,7 @@
 """Readers, writers, incremental bookkeeping and streams on small tables."""
 import json
 
+import numpy as np
 import pytest
 from pyspark.sql import functions as F
 
@@ -114,7 +115,7 @@ def test_streams_resume(spark):
 
     def run_all():
         s = J.observations(spark, src, schema)
-        J.ingest(s, "t", ["id"], out + "/i", mark + "/i")
+        J.ingest(s, ["id"], out + "/i", mark + "/i")
         J.running_statistics(s, "t", ["k"], "p", "1 day", out + "/s", mark + "/s")
         J.running_accuracy(s, ["k"], F.col("p"), F.col("y"), out + "/a", mark + "/a")
     run_all()
@@ -123,12 +124,31 @@ def test_streams_resume(spark):
     run_all()
     run_all()                                                                    # nothing new: nothing changes
     assert sorted(r["id"] for r in spark.read.parquet(out + "/i").collect()) == [1, 2, 3, 4]
-    stats = {(r["k"], r["start"].day): (r["n"], r["mean"]) for r in J.latest(spark, out + "/s", ["k", "start"]).collect()}
+    stats = {(r["k"], r["start"].day): (r["n"], r["mean"]) for r in J.statistics(spark, out + "/s", ["k"]).collect()}
     assert stats == {("a", 1): (1, 1.0), ("a", 2): (4, 3.5), ("b", 3): (1, 1.0)}
-    acc = J.finish_accuracy(J.latest(spark, out + "/a", ["k"]), ["k"]).collect()
+    acc = J.accuracy(spark, out + "/a", ["k"]).collect()
+    assert acc[0]["r2"] == pytest.approx(np.corrcoef([1, 3, 3, 5, 3], [2, 3.5, 3.5, 4, 3.5])[0, 1] ** 2)
     assert len(acc) == 1 and acc[0]["n"] == 5 and acc[0]["me"] == pytest.approx((-1 - 0.5 - 0.5 + 1 - 0.5) / 5)
 
 
+def test_a_back_filled_file_arrives(spark):
+    """A file with observations two months older than those ingested is ingested, and counted, all the same."""
+    import datetime as dt
+    src, out, mark = (fresh_path(spark, x) for x in ("in", "out", "mark"))
+    day = lambda m, d: dt.datetime(2024, m, d, tzinfo=dt.timezone.utc)           # noqa: E731
+    write_batch(spark, src, [(1, day(3, 2), "a", 1.0, 2.0), (2, day(3, 3), "a", 2.0, 2.0)])
+    schema = spark.read.parquet(src).schema
+    for i in range(3):
+        s = J.observations(spark, src, schema, files_per_batch=1)
+        J.ingest(s, ["id"], out + "/i", mark + "/i")
+        J.running_statistics(s, "t", ["k"], "p", "1 day", out + "/s", mark + "/s")
+        if i == 0:
+            write_batch(spark, src, [(3, day(1, 1), "a", 7.0, 2.0), (4, day(3, 3), "a", 4.0, 2.0), (1, day(3, 2), "a", 1.0, 2.0)])
+    assert sorted(r["id"] for r in spark.read.parquet(out + "/i").collect()) == [1, 2, 3, 4]
+    stats = {(r["start"].month, r["start"].day): (r["n"], r["mean"], r["variance"]) for r in J.statistics(spark, out + "/s", ["k"]).collect()}
+    assert stats == {(1, 1): (1, 7.0, 0.0), (3, 2): (2, 1.0, 0.0), (3, 3): (2, 3.0, 1.0)}
+
+
 def test_map_written_twice(spark, tmp_path):
     from pixelquilt.sources.sinks import write_map
     px = spark.createDataFrame([(0, 0, 1.5), (0, 1, 2.5)], "r int, c int, v double")
