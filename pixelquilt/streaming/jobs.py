@@ -32,9 +32,10 @@ def ingest(stream: DataFrame, keys: list[str], out: str, checkpoint: str) -> Non
     def write(batch: DataFrame, epoch: int) -> None:
         spark, fresh = batch.sparkSession, batch.dropDuplicates(keys)
         if epoch > 0:                                   # the first batch finds nothing written
-            done = (spark.read.schema(f"{batch.select(*keys).schema.simpleString()[7:-1]}, epoch long")
-                    .option("basePath", out).parquet(out).where(F.col("epoch") < epoch))
-            fresh = fresh.join(done.select(*keys), keys, "left_anti")
+            written = StructType(batch.select(*keys).schema.fields).add("epoch", "long")
+            done = (spark.read.schema(written).option("basePath", out).parquet(out).where(F.col("epoch") < epoch)
+                    .select(*[F.col(k).alias(f"_done_{k}") for k in keys]))
+            fresh = fresh.join(done, [F.col(k).eqNullSafe(F.col(f"_done_{k}")) for k in keys], "left_anti")
         fresh.write.mode("overwrite").parquet(f"{out}/epoch={epoch}")
     _batches(stream, write, checkpoint)
 
