@@ -29,7 +29,7 @@ FILTER_SQL = f"""WITH s AS {SCENES.replace('o_orderdate +', "o_orderdate + INTER
  q AS (SELECT id AS i, t AS ti, orbit_stop, orbit_start, pols[len(pols)] AS pol, slots AS qs FROM s),
  pr AS (SELECT q.i, q.ti, q.qs, c.j, c.tj, c.dj, c.cs FROM q JOIN cand c ON c.pol = q.pol AND c.orbit = q.orbit_stop WHERE list_has_any(c.cs, q.qs)
   UNION ALL SELECT q.i, q.ti, q.qs, c.j, c.tj, c.dj, c.cs FROM q JOIN cand c ON c.pol = q.pol AND c.orbit = q.orbit_start WHERE q.orbit_start <> q.orbit_stop AND list_has_any(c.cs, q.qs)),
- near AS (SELECT * FROM (SELECT i, qs, j, tj, dj, true AS before, row_number() OVER (PARTITION BY i ORDER BY tj DESC, j) AS rk FROM pr WHERE tj < CAST(ti AS DATE) + INTERVAL 1 DAY
+ near AS (SELECT * FROM (SELECT i, qs, j, tj, dj, true AS before, row_number() OVER (PARTITION BY i ORDER BY tj DESC, j) AS rk FROM pr WHERE tj < ti + INTERVAL 1 DAY
    UNION ALL SELECT i, qs, j, tj, dj, false, row_number() OVER (PARTITION BY i ORDER BY tj, j) FROM pr WHERE tj >= ti) WHERE rk <= 50),
  two AS (SELECT DISTINCT i, j, qs, tj, unnest([dj, CAST(dj + INTERVAL 1 DAY AS DATE)]) AS d FROM near),
  cov AS (SELECT two.i, two.j FROM two JOIN pr ON pr.i = two.i AND pr.dj = two.d AND pr.tj >= two.tj AND pr.tj < two.tj + INTERVAL 1 DAY GROUP BY two.i, two.j, two.qs
@@ -129,10 +129,10 @@ def acquisition_decibels(t: Tables):
 @query("F9 E23", f"""{CHAIN} SELECT r, c, band, count(v) AS n, {R('median(v)', 4)} AS median FROM (SELECT r, c, 'vv' AS band, vv AS v FROM db UNION ALL SELECT r, c, 'vh', vh FROM db)
  WHERE v IS NOT NULL GROUP BY ALL""")
 def annual_radar(t: Tables):
-    return A.radar_composite(_db(t), probe=t.raster).select("r", "c", "band", "n", rnd(F.col("median"), 4).alias("median"))
+    return A.radar_composite(_db(t), probe=_px(t, _acq(t)).select("r", "c")).select("r", "c", "band", "n", rnd(F.col("median"), 4).alias("median"))
 
 
 @query("F9 E25 X2", f"""{CHAIN} SELECT CAST(floor((month(t) % 12) / 3) AS INT) AS season, r, c, band, count(v) AS n, {R('median(v)', 4)} AS median FROM (
  SELECT t, r, c, 'vv' AS band, vv AS v FROM db UNION ALL SELECT t, r, c, 'vh', vh FROM db) WHERE v IS NOT NULL GROUP BY ALL""")
 def seasonal_radar(t: Tables):
-    return A.radar_composite(_db(t), seasonal=True, probe=t.raster).select("season", "r", "c", "band", "n", rnd(F.col("median"), 4).alias("median"))
+    return A.radar_composite(_db(t), seasonal=True, probe=_px(t, _acq(t)).select("r", "c")).select("season", "r", "c", "band", "n", rnd(F.col("median"), 4).alias("median"))

@@ -70,7 +70,7 @@ def filter_sets(scenes: DataFrame, images: int = IMAGES, nearest: int = NEAREST)
 
     scenes: id, t, mode, orbit_start, orbit_stop, pols, slots (the footprint as ids of the grid tiles it covers).
     Candidates share the orbit (stop = stop or start), the last polarisation and a footprint tile. Of the `nearest`
-    latest candidates up to the end of the acquisition's day, those whose orbit covers more than 95 % of the footprint
+    latest candidates less than a day after the acquisition, those whose orbit covers more than 95 % of the footprint
     within a day give their dates; with `images` dates the newest are taken, otherwise dates of the `nearest` next
     candidates join and the earliest `images` of all are taken. Members are all candidates on those dates.
 
@@ -89,16 +89,24 @@ def filter_sets(scenes: DataFrame, images: int = IMAGES, nearest: int = NEAREST)
     stand = (asked.withColumn("last", F.last("d1", True).over(by_day.rowsBetween(Window.unboundedPreceding, 0)))
              .withColumn("prev", F.last("d1", True).over(by_day.rowsBetween(Window.unboundedPreceding, -1)))
              .select(*stream, "day", "last", "prev"))
-    # candidates of the same day before the acquisition's own time
-    in_day = (q.select(*stream, "day", F.col("ti").alias("t"), F.lit(0).alias("is"))
-              .unionByName(cand.select(*stream, "day", "t", F.lit(1).alias("is"))))
-    same = (in_day.groupBy(*stream, "day", "t").agg(F.sum("is").alias("_k"), F.min("is").alias("_q"))
-            .withColumn("earlier", F.coalesce(F.sum("_k").over(
-                Window.partitionBy(*stream, "day").orderBy("t").rowsBetween(Window.unboundedPreceding, -1)), F.lit(0)))
-            .where("_q = 0").select(*stream, "day", F.col("t").alias("ti"), "earlier"))
-    runs = (q.join(stand, [*stream, "day"]).join(firsts, stream).join(same, [*stream, "day", "ti"]))
+
+    def earlier(day: Column, time: Column, name: str) -> DataFrame:
+        """(stream, day and time of the acquisition, name): candidates of the given day before the given time."""
+        looked = q.select(*stream, "day", "ti", day.alias("_d"), time.alias("_t"))
+        marks = (looked.select(*stream, "_d", "_t", F.lit(0).alias("is"))
+                 .unionByName(cand.select(*stream, F.col("day").alias("_d"), F.col("t").alias("_t"), F.lit(1).alias("is"))))
+        counted = (marks.groupBy(*stream, "_d", "_t").agg(F.sum("is").alias("_k"), F.min("is").alias("_q"))
+                   .withColumn(name, F.coalesce(F.sum("_k").over(
+                       Window.partitionBy(*stream, "_d").orderBy("_t").rowsBetween(Window.unboundedPreceding, -1)), F.lit(0)))
+                   .where("_q = 0").select(*stream, "_d", "_t", name))
+        return looked.distinct().join(counted, [*stream, "_d", "_t"]).select(*stream, "day", "ti", name)
+    asked_at = [*stream, "day", "ti"]
+    runs = (q.join(stand, [*stream, "day"]).join(firsts, stream)
+            .join(earlier(F.col("day"), F.col("ti"), "earlier"), asked_at)
+            .join(earlier(F.date_add("day", 1), F.col("ti") + F.expr("INTERVAL 1 DAY"), "_next"), asked_at))
     first_after = F.coalesce(F.col("prev") + 1, F.col("s0")) + F.col("earlier")
-    back = F.when(F.col("last").isNotNull(), F.sequence(F.greatest("s0", F.col("last") - nearest + 1), F.col("last")))
+    end = F.coalesce(F.col("last"), F.col("s0") - 1) + F.col("_next")           # last candidate before ti + 1 day
+    back = F.when(end >= F.col("s0"), F.sequence(F.greatest("s0", end - nearest + 1), F.greatest("s0", end)))
     ahead_end = F.least(F.col("s1"), first_after + nearest - 1)
     ahead = F.when(first_after <= ahead_end, F.sequence(first_after, F.greatest(first_after, ahead_end)))
     near = (spread(runs, "i").select("i", F.explode(F.concat(
@@ -192,8 +200,8 @@ def acquisition_db(acq_px: DataFrame, sums: DataFrame, keys: list[str] = ("id",)
 
 def radar_composite(db: DataFrame, keys: list[str] = (), bands: list[str] = ("vv", "vh"), seasonal: bool = False,
                     probe: DataFrame | None = None) -> DataFrame:
-    """(keys, [season,] r, c, band, median, n): median of the acquisitions in dB. probe: pixels of the acquisitions
-    before the chain (keys, r, c), which bound the number of values without running it twice."""
+    """(keys, [season,] r, c, band, median, n): median of the acquisitions in dB. probe: pixels of all
+    acquisitions before the chain (keys, r, c; one row a value), which bound the groups without running it twice."""
     by = [*keys, *(["season"] if seasonal else []), "r", "c", "band"]
     src = db.withColumn("season", season_of(F.col("t"))) if seasonal else db
     pairs = F.array(*[F.struct(F.lit(b).alias("band"), F.col(b).alias("v")) for b in bands])
