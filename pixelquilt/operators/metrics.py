@@ -92,12 +92,12 @@ def chip_summary(chips: DataFrame, keys: list[str] = ()) -> DataFrame:
 
 def zonal_statistics(layers: DataFrame, mask: DataFrame, aggregates: list[Column] = ()) -> DataFrame:
     """Per layer inside the mask: n_px, mean, p10 / p50 / p90 of every pixel with a value, and further constant-size
-    aggregates. layers: (layer, r, c, v, ...); mask: (r, c). The unmasked layers bound the group sizes."""
+    aggregates. layers: (layer, r, c, v, ...); mask: (r, c). The pixels inside are joined and written once; sizes, sums
+    and percentiles read that table."""
     # a semi join needs no distinct mask
-    px = layers.join(mask.select("r", "c"), ["r", "c"], "left_semi").where("v IS NOT NULL")
+    px = stash(layers.join(mask.select("r", "c"), ["r", "c"], "left_semi").where("v IS NOT NULL").drop("r", "c"), "zonal")
     return group_quantiles(px, ["layer"], {"p10": ("v", 0.1), "p50": ("v", 0.5), "p90": ("v", 0.9)},
-                           [F.count(F.lit(1)).alias("n_px"), F.avg("v").alias("mean"), *aggregates],
-                           probe=layers.where("v IS NOT NULL"))
+                           [F.count(F.lit(1)).alias("n_px"), F.avg("v").alias("mean"), *aggregates])
 
 
 def chip_keep(reference: DataFrame, min_share: float = MIN_SHARE, tile: int = CELL_PX) -> DataFrame:
