@@ -18,7 +18,8 @@ EDGE = [(1, None, None, None), (2, "", "en", "a"), (3, "a", "en", "a"), (4, "the
         (5, "the cat sat on the mat " * 6, "en", "b"), (6, LONG, "en", "a"), (7, "x" * 20000, "en", None), (8, "\n\t \n", "fr", "b"),
         (9, "mail a.b@c.example.com_x@d.e or +1 (555) 010-2020 at 10.0.0.256 and 10.1.2.3 4111 1111 1111 1111", "en", "b"),
         (10, "1" * 5000 + " " + "1 " * 3000, "en", "b"), (11, "le chat É ΑΣ <|endoftext|> 日本語", "fr", "c"), (12, "123 456", "en", "c"),
-        (13, " a@b.cc", "en", "c"), (None, "no id here at all", "en", "c"), (9, "same id again", "en", "c")]
+        (13, " a@b.cc", "en", "c"), (None, "no id here at all", "en", "c"), (9, "same id again", "en", "c"),
+        (15, "10.0.0.1 and 0.0.0.0, 00.1.02.255, 000.000.256.0, 1.2.3.4.5.6.7.8", "en", "c")]
 
 
 @pytest.fixture(scope="module")
