@@ -10,7 +10,8 @@ from pixelquilt.functions.nodata import encode_label, to_null
 from pixelquilt.operators import metrics as M
 from pixelquilt.operators import radar as A
 from pixelquilt.operators.blocks import block_percentile, height_reference
-from pixelquilt.operators.focal import boxcar, terrain, terrain_geometry
+from pixelquilt.operators import focal
+from pixelquilt.operators.focal import boxcar, boxcar_and_terrain, gradients, terrain, terrain_geometry
 from pixelquilt.operators.layout import mosaic_layout, pad_tiles
 from pixelquilt.operators.resample import bilinear, nearest_join
 from pixelquilt.operators.tiles import covering, predict_blocks, predict_tiles, tile_origins, tile_scorer
@@ -130,7 +131,9 @@ def test_resampling(spark):
             assert bm[r, c] == pytest.approx(round((w * k).sum() * 255) / 255, abs=1e-12)
 
 
-def test_boxcar_against_sum(spark):
+@pytest.mark.parametrize("block", [128, 16, 7])
+def test_boxcar_against_sum(spark, monkeypatch, block):
+    monkeypatch.setattr(focal, "BLOCK", block)
     a = np.random.default_rng(4).random((25, 31))
     a[3:8, 4:9] = np.nan
     got = array(boxcar(raster(spark, a), [], ["v"]), a.shape, "box_v")
@@ -139,6 +142,19 @@ def test_boxcar_against_sum(spark):
     assert np.allclose(got, want, atol=1e-13)
 
 
+def test_blocks_do_not_show(spark, monkeypatch):
+    """Gradients, terrain and box sums are the same however the raster is cut, also left of and above the origin."""
+    a = np.random.default_rng(5).random((21, 18))
+    df = raster(spark, a).select((F.col("r") - 9).alias("r"), (F.col("c") - 5).alias("c"), "v")
+
+    def rows():
+        both = boxcar_and_terrain(df, [], ["v"], 5, "v").join(gradients(df, []).drop("v"), ["r", "c"])
+        return sorted(map(tuple, both.select("r", "c", "v", "box_v", "slope", "aspect", "gx", "gy").collect()))
+    whole = rows()
+    monkeypatch.setattr(focal, "BLOCK", 4)
+    assert len(whole) == a.size and rows() == whole
+
+
 def test_terrain_of_a_plane(spark):
     n, x0, y1 = 8, 584670.0, 550110.0
     df = raster(spark, np.zeros((n, n))).withColumn("v", 0.1 * (F.col("c") + 0.5) * 10)

@@ -44,8 +44,8 @@ def test_broadcast_has_another_way(spark):
 @pytest.mark.parametrize("build,count", [
     (lambda s, px: block_percentile(px, 10, {"p": 0.9}), 1),
     (lambda s, px: chip_accuracy(px.select(F.col("r").alias("chip"), F.col("v").alias("pred"), F.col("v").alias("ref"))), 1),
-    (lambda s, px: boxcar(px, ["k"], ["v", "w"]), 2),
-    (lambda s, px: boxcar_and_terrain(px, ["k"], ["v", "w"], 15, "v"), 2),
+    (lambda s, px: boxcar(px, ["k"], ["v", "w"]), 1),
+    (lambda s, px: boxcar_and_terrain(px, ["k"], ["v", "w"], 15, "v"), 1),
 ])
 def test_shuffle_counts(spark, build, count):
     px = spark.range(100).select((F.col("id") % 3).alias("k"), F.floor(F.col("id") / 10).alias("r"), (F.col("id") % 10).alias("c"),
@@ -53,6 +53,14 @@ def test_shuffle_counts(spark, build, count):
     assert shuffles(plan(build(spark, px))) == count
 
 
+@pytest.mark.parametrize("name", ["box_filter", "box_filter_sparse", "terrain_slopes", "image_gradients", "gradient_agreement",
+                                  "member_sums", "acquisition_decibels"])
+def test_focal_windows_stay_in_a_block(spark, name):
+    """No window holds a whole raster row or column."""
+    windows = re.findall(r"Window \[.*?\], \[(.*?)\], \[", plan(entry.queries()[name](spark, FOLDER)))
+    assert windows and all("_br" in w and "_bc" in w for w in windows)
+
+
 def test_no_python_in_the_hot_path(spark):
     for name in ("annual_composite", "chip_accuracy", "annual_radar", "bilinear_resample", "blended_prediction", "histogram_medians"):
         text = plan(entry.queries()[name](spark, FOLDER))
