@@ -4,7 +4,7 @@ from __future__ import annotations
 from pyspark.sql import functions as F
 
 from ..functions.geodesy import utm_epsg
-from ..operators.layout import chips_of, kept_chips, mosaic_layout, pad_tiles, place_cells
+from ..operators.layout import chips_of, kept_chips, mosaic_layout, pad_tiles, place_cells, tile_rasters
 from ..operators.metrics import paired_accuracy
 from ..plans.cells import upsert_landcover
 from ..schema import METRIC_COLUMNS
@@ -237,6 +237,20 @@ def tile_chips(t: Tables):
         F.col("v") * (F.col("pr") + 1) * (F.col("pc") + 2)), 2).alias("total")).select(*big("cr", "cc"), "n", "total")
 
 
+@query("A11 A12", f"""WITH pad AS MATERIALIZED ({PAD_SQL}),
+ lab AS (SELECT floor(r / 16) AS cr, floor(c / 16) AS cc, count(*) AS n FROM {RASTER} WHERE class > 25 GROUP BY ALL HAVING count(*) >= 40),
+ num AS (SELECT *, row_number() OVER (ORDER BY cr, cc) - 1 AS chip FROM lab)
+ SELECT CAST(chip AS BIGINT) AS chip, 1000.0::DOUBLE + cc * 160 AS x, 2000.0::DOUBLE - cr * 160 AS y, any_value(num.n) AS n, count(*) AS pixels,
+  sum(CASE WHEN label > 25 THEN 1 ELSE 0 END)::BIGINT AS labelled, {R('sum(v * (r % 16 + 1) * (c % 16 + 2))', 2)} AS total
+ FROM pad JOIN num ON floor(r / 16) = cr AND floor(c / 16) = cc WHERE r < (SELECT ceil(max(r + 1) / 16) * 16 FROM {RASTER}) GROUP BY chip, cc, cr""")
+def labelled_tiles(t: Tables):
+    px = t.raster.withColumn("label", F.when(F.col("class") > 25, F.col("class")))
+    pixels, index = tile_rasters(px, _height(t), 50, 1000.0, 2000.0, 10.0, 16, 40)
+    sums = pixels.groupBy("chip").agg(F.count(F.lit(1)).alias("pixels"), F.count("label").alias("labelled"),
+                                      rnd(F.sum(F.col("v") * (F.col("pr") + 1) * (F.col("pc") + 2)), 2).alias("total"))
+    return index.join(sums, "chip").select(*big("chip"), "x", "y", "n", "pixels", "labelled", "total")
+
+
 @query("A13 E32 U1", """WITH cache AS (SELECT l_suppkey AS cell, arg_max(l_quantity / 100, l_orderkey * 100 + l_linenumber * 10000000000 + l_partkey)
   AS water FROM lineitem WHERE l_discount = 0.1 AND l_tax = 0.08 AND l_returnflag = 'A' AND l_linestatus = 'F' GROUP BY l_suppkey)
  SELECT cell, water FROM cache UNION ALL SELECT s_suppkey, 0.5 FROM supplier WHERE s_suppkey NOT IN (SELECT cell FROM cache)""")

@@ -46,6 +46,19 @@ def polygon_areas(t: Tables):
             .select("id", rnd(F.col("area"), 3).alias("area"), rnd(F.col("x")).alias("x"), rnd(F.col("y")).alias("y")))
 
 
+_Q = lambda s: f"({1 - 6.69437999014131699614e-3!r}::DOUBLE * ({s} / (1 - 6.69437999014131699614e-3::DOUBLE * {s} * {s}) + ln((1 + 0.0818191908426214957::DOUBLE * {s}) / (1 - 0.0818191908426214957::DOUBLE * {s})) / 0.1636383816852429914::DOUBLE))"
+_HALF = lambda lat: f"tan(asin(least(1, greatest(-1, {_Q(f'sin(radians({lat}))')} / {_Q('1.0::DOUBLE')}))) / 2)"
+
+
+@query("E29", f"""SELECT id, {R('sum(a)', 3)} AS km2 FROM (SELECT id, part, abs(sum(2 * atan(tan(radians(lon2 - lon1) / 2) * (t1 + t2) / (1 + t1 * t2)))) / 2
+  * {_Q('1.0::DOUBLE')} * 40680631.59076900::DOUBLE AS a FROM (SELECT id, part, x1 / 10000 AS lon1, x2 / 10000 AS lon2,
+  {_HALF('y1 / 10000')} AS t1, {_HALF('y2 / 10000')} AS t2 FROM {EDGES}) GROUP BY id, part) GROUP BY id""")
+def geodesic_areas(t: Tables):
+    at = area_edges(t)
+    degrees = at.withColumns({c: F.col(c) / 10000 for c in ("x1", "y1", "x2", "y2")})
+    return S.geodesic_area(degrees).select("id", rnd(F.col("area") / 1e6, 3).alias("km2"))
+
+
 # study area: a pentagon with one corner per region
 CORNERS = [(5000, -3000), (16000, -2500), (21000, -12000), (9000, -19000), (2500, -11000)]
 _XS = "CASE r_regionkey " + " ".join(f"WHEN {k} THEN {x}.0" for k, (x, _) in enumerate(CORNERS)) + " END"

@@ -134,3 +134,26 @@ def utm_inverse(x: Column, y: Column, epsg: Column) -> tuple[Column, Column]:
 def web_mercator(lon: Column, lat: Column) -> tuple[Column, Column]:
     return (F.radians(lon) * WGS84_A,
             F.log(F.tan(F.lit(math.pi / 4) + F.radians(lat) / 2)) * WGS84_A)
+
+
+_E2 = WGS84_F * (2 - WGS84_F)        # squared eccentricity
+
+
+def _authalic(sin_lat: Column | float) -> Column:
+    """Area between the equator and a latitude, in units that give the pole _authalic(1)."""
+    s, e = sin_lat if isinstance(sin_lat, Column) else F.lit(sin_lat), _E2 ** 0.5
+    return (1 - _E2) * (s / (1 - _E2 * s * s) + F.log((1 + e * s) / (1 - e * s)) / (2 * e))
+
+
+def area_to_equator(lon1: Column, lat1: Column, lon2: Column, lat2: Column) -> Column:
+    """Signed area in square metres between the equator and the shorter way from one point (degrees) to the other:
+    the spherical excess on the sphere with the ellipsoid's areas."""
+    pole = _authalic(1.0)
+
+    def half(lat: Column) -> Column:
+        ratio = F.least(F.lit(1.0), F.greatest(F.lit(-1.0), _authalic(F.sin(F.radians(lat))) / pole))
+        return F.tan(F.asin(ratio) / 2)
+
+    t1, t2 = half(lat1), half(lat2)
+    turn = F.pmod(lon2 - lon1 + 180.0, F.lit(360.0)) - 180.0
+    return F.atan(F.tan(F.radians(turn) / 2) * (t1 + t2) / (1 + t1 * t2)) * pole * (WGS84_A * WGS84_A)

@@ -4,7 +4,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, functions as F
 
 from ..functions.geodesy import grid_position
-from ..scale import small
+from ..scale import numbered, small
 from ..schema import CELL_PX
 
 
@@ -80,6 +80,20 @@ def pad_tiles(px: DataFrame, height: int, width: int, tile: int, missing: str |
     return out.withColumn("r", F.col("_r")).withColumn("c", F.col("_c")).drop("_r", "_c")
 
 
+def tile_rasters(px: DataFrame, height: int, width: int, x0: float, y1: float, res: float = 10.0, tile: int = 256,
+                 min_labelled: int = 1) -> tuple[DataFrame, DataFrame]:
+    """Labelled chips of a raster (r, c, label, ...): (pixels, index).
+
+    pixels: chip, pr, pc and the values; the raster is padded to whole chips, with mirrored values and NULL labels.
+    index: chip (0 on, row by row), row, col of the upper-left pixel, its map corner x, y, and n labels. Chips with
+    fewer than `min_labelled` labels are left out of both."""
+    kept = numbered(kept_chips(px, tile, min_labelled), ["cr", "cc"], "chip")     # padding holds no label
+    index = kept.withColumn("x", x0 + F.col("col") * res).withColumn("y", y1 - F.col("row") * res)
+    placed = chips_of(pad_tiles(px, height, width, tile, missing="label"), tile)
+    pixels = placed.join(small(index.select("cr", "cc", "chip")), ["cr", "cc"]).drop("cr", "cc", "r", "c")
+    return pixels, index.select("chip", "row", "col", "x", "y", "n")
+
+
 def halo_blocks(px: DataFrame, block: int, halo: int, height: int, width: int) -> DataFrame:
     """Every pixel once per block whose halo contains it: (br, bc) and whether it is in the block's core."""
     def reach(i: Column, size: int) -> Column:

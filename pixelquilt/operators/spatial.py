@@ -3,7 +3,7 @@ from __future__ import annotations
 
 from pyspark.sql import Column, DataFrame, Window, functions as F
 
-from ..functions.geodesy import cell_name, snap_origin_x, snap_origin_y
+from ..functions.geodesy import area_to_equator, cell_name, snap_origin_x, snap_origin_y
 from ..scale import spread
 from ..schema import CELL_M, RES
 
@@ -88,6 +88,12 @@ def polygon_area(edges: DataFrame, key: str = "id") -> DataFrame:
         F.sum(F.when(F.col("hole"), -F.abs("area")).otherwise(F.abs("area"))).alias("area"))
 
 
+def geodesic_area(edges: DataFrame, key: str = "id") -> DataFrame:
+    """Area in square metres on the ellipsoid of polygons in degrees (x longitude, y latitude), holes subtracted."""
+    rings = edges.groupBy(key, "part", "ring", "hole").agg(F.sum(area_to_equator(*map(F.col, ("x1", "y1", "x2", "y2")))).alias("area"))
+    return rings.groupBy(key).agg(F.sum(F.when(F.col("hole"), -F.abs("area")).otherwise(F.abs("area"))).alias("area"))
+
+
 def polygon_centroid(edges: DataFrame, key: str = "id") -> DataFrame:
     """(key, x, y): area-weighted centroid from edge sums."""
     cross = F.col("x1") * F.col("y2") - F.col("x2") * F.col("y1")

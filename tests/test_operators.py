@@ -12,8 +12,9 @@ from pixelquilt.operators import radar as A
 from pixelquilt.operators.blocks import block_percentile, height_reference
 from pixelquilt.operators import focal
 from pixelquilt.operators.focal import boxcar, boxcar_and_terrain, gradients, terrain, terrain_geometry
-from pixelquilt.operators.layout import mosaic_layout, pad_tiles
+from pixelquilt.operators.layout import mosaic_layout, pad_tiles, tile_rasters
 from pixelquilt.operators.resample import bilinear, nearest_join
+from pixelquilt.operators.spatial import geodesic_area
 from pixelquilt.operators.tiles import covering, predict_blocks, predict_tiles, tile_origins, tile_scorer
 from pixelquilt.plans.report import reference_section
 from pixelquilt.schema import ANNUAL_BANDS, SEASONAL_BANDS, Settings, canonical, n_channels, needs_seasonal
@@ -142,6 +143,44 @@ def test_boxcar_against_sum(spark, monkeypatch, block):
     assert np.allclose(got, want, atol=1e-13)
 
 
+def test_tile_rasters(spark):
+    a = np.random.default_rng(6).random((30, 26))
+    px = raster(spark, a).withColumn("label", F.when(F.col("r") < 25, F.col("v") * 30))
+    pixels, index = tile_rasters(px, 30, 26, 500000.0, 4000000.0, tile=13)
+    at = {r["chip"]: (r["row"], r["col"], r["x"], r["y"], r["n"]) for r in index.collect()}
+    assert at == {i: (r, c, 500000.0 + c * 10, 4000000.0 - r * 10, min(13, 25 - r) * 13)
+                  for i, (r, c) in enumerate((r, c) for r in (0, 13) for c in (0, 13))}
+    got = pixels.toPandas()
+    assert len(got) == 4 * 169
+    for r in got.itertuples():
+        row, col = at[r.chip][0] + r.pr, at[r.chip][1] + r.pc
+        assert r.v == a[row, col] and (np.isnan(r.label) if row >= 25 else r.label == a[row, col] * 30)
+    wide, _ = tile_rasters(px, 30, 26, 0.0, 0.0, tile=16)
+    assert wide.where("pc >= 10 AND label IS NOT NULL AND chip % 2 = 1").count() == 0 and wide.count() == 4 * 256
+    assert all(x.count() == 0 for x in tile_rasters(px.where("r < 0"), 30, 26, 0.0, 0.0, tile=13))
+
+
+def test_geodesic_area(spark):
+    """An eighth of the ellipsoid, across the antimeridian too; a small square; a hole; both directions."""
+    def ring(part, hole, *corners):
+        return [("a", part, 0, hole, *map(float, p + q)) for p, q in zip(corners, corners[1:] + corners[:1])]
+
+    def area(*rings):
+        edges = spark.createDataFrame([e for r in rings for e in r], "id string, part int, ring int, hole boolean, x1 double, y1 double, x2 double, y2 double")
+        return geodesic_area(edges).first()["area"]
+    eighth = 510065621724088.44 / 8
+    assert area(ring(0, False, (0, 0), (90, 0), (0, 90))) == pytest.approx(eighth, rel=1e-9)
+    assert area(ring(0, False, (150, 0), (150, -90), (-120, 0))) == pytest.approx(eighth, rel=1e-9)
+    square = ((10, 45), (10.01, 45), (10.01, 45.01), (10, 45.01))
+    s = np.sin(np.radians(45.005))
+    w = 1 - 6.69437999014131699614e-3 * s * s
+    want = 6378137.0 ** 2 * (1 - 6.69437999014131699614e-3) / w ** 2 * np.cos(np.radians(45.005)) * np.radians(0.01) ** 2
+    assert area(ring(0, False, *square)) == pytest.approx(want, rel=1e-6)
+    outer = ((9, 44), (11, 44), (11, 46), (9, 46))
+    assert area(ring(0, False, *outer), ring(0, True, *square)) == pytest.approx(
+        area(ring(0, False, *outer[::-1])) - want, rel=1e-9)
+
+
 def test_blocks_do_not_show(spark, monkeypatch):
     """Gradients, terrain and box sums are the same however the raster is cut, also left of and above the origin."""
     a = np.random.default_rng(5).random((21, 18))
