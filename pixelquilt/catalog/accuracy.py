@@ -204,6 +204,56 @@ def validation_report(t: Tables):
         rnd(F.col(c)).alias(c) for c in ("rmse", "bias", "r2")])
 
 
+_LABELS = "(SELECT l_suppkey AS chip, l_orderkey AS r, l_partkey * 10 + l_linenumber AS c, max(l_extendedprice) / 900 - 2 AS label, avg(l_quantity) AS q, min(l_discount) AS d FROM lineitem GROUP BY ALL)"
+_SPLITS = """(SELECT x.model, s_suppkey + x.more AS chip, CASE WHEN s_suppkey % x.k = 0 THEN 'val' ELSE 'train' END AS part
+ FROM supplier, (VALUES ('m1', 5, 0), ('m2', 3, 0), ('m4', 4, 1)) x(model, k, more))"""
+_FITTED = [("m1", True, ""), ("m2", True, ""), ("m3", False, "older than the stack"), ("m4", True, ""), ("m5", True, ""), ("m6", True, "")]
+
+
+def _scoring(t: Tables, main: str):
+    px = t.read("lineitem").groupBy(F.col("l_suppkey").alias("chip"), F.col("l_orderkey").alias("r"),
+                                    (F.col("l_partkey") * 10 + F.col("l_linenumber")).alias("c")).agg(
+        (F.max("l_extendedprice") / 900 - 2).alias("label"), F.avg("l_quantity").alias("q"), F.min("l_discount").alias("d"))
+    currency = t.spark.createDataFrame(_FITTED, "model string, current boolean, reason string")
+    preds = px.withColumn("model", F.explode(F.array(*[F.lit(m) for m, _, _ in _FITTED]))).select(
+        "model", "chip", "r", "c", F.when(F.col("d") > 0, F.col("q") + F.substring("model", 2, 1).cast("int")).alias("pred"))
+    chips = t.read("supplier").select(F.col("s_suppkey").alias("k"))
+
+    def split(model, k, more):
+        return chips.select(F.lit(model).alias("model"), (F.col("k") + more).alias("chip"), F.when(F.col("k") % k == 0, "val").otherwise("train").alias("part"))
+    splits = split("m1", 5, 0).unionByName(split("m2", 3, 0)).unionByName(split("m4", 4, 1))
+    return P.validation_scoring(preds, px, currency, splits, split("", 7, 0).drop("model"), chips.agg(F.count(F.lit(1))).scalar(), main, ("m6",))
+
+
+def _scoring_sql(val: str) -> str:
+    return f"""WITH val AS ({val}), lab AS (SELECT * FROM {_LABELS} WHERE chip IN (SELECT chip FROM val)),
+ acc AS (SELECT model, count(*) AS n, sqrt(avg((q + k - label) ** 2)) AS rmse, avg(q + k - label) AS bias, corr(q, label) ** 2 AS r2
+  FROM lab, (VALUES ('m1', 1), ('m2', 2), ('m5', 5), ('m6', 6)) x(model, k) WHERE d > 0 AND label > 0 AND label <= 80 GROUP BY model),
+ own AS (SELECT model, count(*) FILTER (part = 'train' AND chip IN (SELECT chip FROM val)) AS own FROM {_SPLITS} WHERE model IN ('m1', 'm2') GROUP BY model)
+ SELECT m.model AS layer, n, {R('rmse')} AS rmse, {R('bias')} AS bias, {R('r2')} AS r2, own, CASE WHEN m.model = 'm3' THEN 'older than the stack'
+  WHEN m.model = 'm4' THEN 'split beyond the stack' WHEN m.model = 'm6' THEN 'in-sample' WHEN own IS NULL THEN 'unknown' WHEN own = 0 THEN 'held-out'
+  WHEN own = (SELECT count(*) FROM val) THEN 'in-sample' ELSE 'partly in-sample' END AS note
+ FROM (VALUES ('m1'), ('m2'), ('m3'), ('m4'), ('m5'), ('m6')) m(model) LEFT JOIN acc ON acc.model = m.model LEFT JOIN own ON own.model = m.model"""
+
+
+@query("F14 C20", _scoring_sql("SELECT s_suppkey AS chip FROM supplier WHERE s_suppkey % 3 = 0"))
+def validation_scores(t: Tables):
+    """The main model is current: its split decides."""
+    return _scoring(t, "m2")[0].select("layer", "n", *[rnd(F.col(c)).alias(c) for c in ("rmse", "bias", "r2")], "own", "note")
+
+
+@query("F14", _scoring_sql("SELECT s_suppkey AS chip FROM supplier WHERE s_suppkey % 7 = 0"))
+def validation_scores_by_recipe(t: Tables):
+    """The main model's split does not fit the stack: the recipe's decides."""
+    return _scoring(t, "m4")[0].select("layer", "n", *[rnd(F.col(c)).alias(c) for c in ("rmse", "bias", "r2")], "own", "note")
+
+
+@query("F14", f"""SELECT (SELECT count(*) FROM supplier WHERE s_suppkey % 3 = 0) AS n_chips, count(*) FILTER (label > 0 AND label <= 80) AS n_labels,
+ count(*) FILTER (label > 80) AS n_over FROM {_LABELS} WHERE chip % 3 = 0""")
+def validation_labels(t: Tables):
+    return _scoring(t, "m2")[1]
+
+
 @query("C7", """SELECT n_name AS layer, CASE WHEN n_nationkey % 3 = 0 THEN '' ELSE 'not on the mosaic grid, left out' END AS note FROM nation WHERE n_nationkey > 0""")
 def layers_on_mosaic_grid(t: Tables):
     n = F.col("n_nationkey")

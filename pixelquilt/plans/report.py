@@ -1,12 +1,13 @@
 """Accuracy and zonal reports as one table of rows."""
 from __future__ import annotations
 
-from pyspark.sql import DataFrame, functions as F
+from pyspark.sql import Column, DataFrame, functions as F
 
 from ..operators.metrics import (chip_accuracy, chip_keep, chip_summary, finish_paired, paired_accuracy, paired_sums,
                                  zonal_statistics)
 from ..schema import CELL_PX, LABEL_CAP, METRIC_COLUMNS
 from ..session import stash
+from .incremental import held_out
 
 
 def _rows(df: DataFrame, section: str) -> DataFrame:
@@ -88,5 +89,45 @@ def validation_section(predictions: DataFrame, validation: DataFrame, labels: Da
     return _rows(scored, "gedi_val")
 
 
+def within_stack(currency: DataFrame, splits: DataFrame, n_chips: Column | int) -> DataFrame:
+    """currency (model, current, reason) with the models that are not current because their split (model, chip, part)
+    names chips beyond the `n_chips` of the stack."""
+    last = splits.groupBy("model").agg(F.max("chip").alias("_last"))
+    beyond = F.coalesce(F.col("_last") >= n_chips, F.lit(False)) & F.col("current")
+    return (currency.join(last, "model", "left")
+            .select("model", (F.col("current") & ~beyond).alias("current"),
+                    F.when(beyond, "split beyond the stack").otherwise(F.col("reason")).alias("reason")))
+
+
+def validation_chips(currency: DataFrame, splits: DataFrame, recipe: DataFrame, main: str) -> DataFrame:
+    """chip: the validation part of the main model's split if that model is current and has one, else of the recipe's
+    (chip, part)."""
+    usable = currency.where("current").where(F.col("model") == main).agg(F.count(F.lit(1))).scalar()
+    own = splits.where((F.col("model") == main) & (usable > 0))
+    found = own.agg(F.count(F.lit(1))).scalar()
+    return (own.select("chip", "part").unionByName(recipe.where(found == 0).select("chip", "part"))
+            .where("part = 'val'").select("chip").distinct())
+
+
+def validation_scoring(predictions: DataFrame, labels: DataFrame, currency: DataFrame, splits: DataFrame, recipe: DataFrame,
+                       n_chips: Column | int, main: str, in_sample: tuple[str, ...] = ()) -> tuple[DataFrame, DataFrame]:
+    """(scores, labels used) of the validation chips.
+
+    scores: layer, n, rmse, bias, r2, own (validation chips the model was trained on), note; a model that is not
+    scored has only a note, its reason. in_sample: models that are fitted on pixels of all chips.
+    labels used: n_chips, n_labels, n_over (left out above LABEL_CAP)."""
+    checked = within_stack(currency, splits, n_chips)
+    chips = validation_chips(checked, splits, recipe, main)
+    scored = validation_section(predictions, chips, labels, checked).select("layer", "n", "rmse", "bias", "r2")
+    seen = held_out(splits.where("part = 'train'").select("model", "chip"), chips, checked.where("current"))
+    status = F.when(F.col("model").isin(*in_sample), "in-sample").otherwise(F.col("status")) if in_sample else F.col("status")
+    noted = checked.join(seen.select("model", F.col("overlap").alias("own"), status.alias("status")), "model", "left")
+    scores = (noted.select(F.col("model").alias("layer"), "own", F.when(F.col("current"), F.col("status")).otherwise(F.col("reason")).alias("note"))
+              .join(scored, "layer", "left").select("layer", "n", "rmse", "bias", "r2", "own", "note"))
+    on_chips = labels.join(chips, "chip", "left_semi").agg(
+        F.count_if((F.col("label") > 0) & (F.col("label") <= LABEL_CAP)).alias("n_labels"), F.count_if(F.col("label") > LABEL_CAP).alias("n_over"))
+    return scores, on_chips.withColumn("n_chips", chips.agg(F.count(F.lit(1))).scalar()).select("n_chips", "n_labels", "n_over")
+
+
 def skipped_models(currency: DataFrame) -> DataFrame:
     return currency.where("NOT current").select("model", "reason")
