@@ -3,11 +3,15 @@
 Patterns find e-mail addresses, IP addresses, card numbers and phone numbers, per kind leftmost and non-overlapping;
 matches that fail their check are dropped. Positions are code points, end exclusive.
 
-Terms: for every protected value e and every word t near it (CONTEXT code points on either side), the corpus says how
-much t tells about e: PMI(t; e) = log(n_te N / (n_t n_e)) against the information IC(e) = log(N / n_e) of the value
-itself (n: different texts with both, documents with the word, different texts with the value). Words that stand near
-a value in at least SUPPORT different texts and reveal at least DISCLOSURE of its information are spans of kind
-`term` in the documents that hold the value.
+Terms: for every protected value e and every word t of a text that holds it, the corpus says how much t tells about e:
+PMI(t; e) = log(P(e | t) / P(e)) against the information IC(e) = -log P(e) of the value itself. The unit of all counts
+is the different text (copies count once, words inside values do not count): n texts, n_e with the value, n_t with the
+word, n_te with both; P(e) = n_e / n. P(e | t) = (n_te + PRIOR P(e)) / (n_t + PRIOR) is smoothed towards independence, so
+a word seen once says less than one seen often with the value, and a value of a single text has terms too. Words that
+reveal at least DISCLOSURE of the information are spans of kind `term` in the texts that hold word and value.
+
+Values that stand in the same texts have the same counts and are one class. As n_te <= n_e, a word with
+n_t + PRIOR > (n + PRIOR) P(e)^DISCLOSURE cannot disclose, so only rarer words are paired with a class.
 
 Everything is Spark SQL: matches are wrapped in two private-use characters, the text is split there, and running
 lengths give the positions. Patterns are possessive, so they neither backtrack over long runs nor recurse.
@@ -23,9 +27,8 @@ from ..session import stash
 from .text import documents
 
 KINDS = ["email", "ip", "card", "phone"]
-CONTEXT = 80            # code points on each side of a value
 LETTERS = 4             # least length of a term
-SUPPORT = 2             # least number of different texts with the term near the value
+PRIOR = 1.0             # texts without a connection that every word counts besides its own
 DISCLOSURE = 0.7        # least share of the value's information that the term reveals
 OPEN, CLOSE, OTHER = "", "", ""
 
@@ -100,52 +103,67 @@ def _cut(text: Column, span: Column) -> Column:
 
 
 def _words(c: Column) -> Column:
-    return F.array_distinct(F.filter(F.split(F.lower(c), r"[^\p{L}]+"), lambda w: F.char_length(w) >= LETTERS))
-
-
-def _near(text: Column, span: Column) -> Column:
-    """Whole words around a span."""
-    low = F.greatest(span["start"] - CONTEXT, F.lit(0))
-    before = F.regexp_replace(F.substring(text, low + 1, span["start"] - low), r"^\p{L}++", "")
-    after = F.regexp_replace(F.substring(text, span["end"] + 1, F.lit(CONTEXT)), r"\p{L}++$", "")
-    return _words(F.concat(before, F.lit(" "), after))
+    """Different words of a text, lower-cased."""
+    long = F.filter(F.split(c, r"[^\p{L}]+"), lambda w: F.char_length(w) >= LETTERS)
+    return F.array_distinct(F.transform(long, F.lower))
 
 
-def disclosing_terms(values: DataFrame, docs: DataFrame) -> DataFrame:
-    """entity, term: the words near a value that reveal too much of it.
+def _masked(text: Column, spans: Column) -> Column:
+    """The text with every code point of a span replaced by OTHER, so positions stay."""
+    start = F.struct(F.lit("").alias("out"), F.lit(0).alias("at"))
 
-    values(entity, near, text_hash): one row per occurrence; docs(text): all documents."""
-    pairs = values.select("entity", "text_hash", F.explode("near").alias("term")).distinct()
-    often = (pairs.groupBy("entity", "term").agg(F.count(F.lit(1)).alias("n_te")).where(F.col("n_te") >= SUPPORT))
-    texts = values.select("entity", "text_hash").distinct().groupBy("entity").agg(F.count(F.lit(1)).alias("n_e"))
-    often = stash(often.join(texts, "entity"), "near")
-    words = (docs.select(F.explode(_words(F.coalesce("text", F.lit("")))).alias("term")).groupBy("term")
-             .agg(F.count(F.lit(1)).alias("n_t")).join(often.select("term").distinct(), "term"))
-    n = docs.agg(F.count(F.lit(1)).alias("n")).first()["n"]
-    pmi = F.log(F.col("n_te") * F.lit(float(max(n, 1))) / (F.col("n_t") * F.col("n_e")))
-    own = F.log(F.lit(float(max(n, 1))) / F.col("n_e"))
-    return often.join(words, "term").where((own > 0) & (pmi >= DISCLOSURE * own)).select("entity", "term")
+    def step(acc: Column, s: Column) -> Column:
+        between = F.substring(text, acc["at"] + 1, s["start"] - acc["at"])
+        hidden = F.repeat(F.lit(OTHER), s["end"] - F.greatest(acc["at"], s["start"]))
+        return F.struct(F.concat(acc["out"], between, hidden).alias("out"), F.greatest(acc["at"], s["end"]).alias("at"))
+
+    return F.aggregate(spans, start, step, lambda acc: F.concat(
+        acc["out"], F.substring(text, acc["at"] + 1, F.greatest(F.char_length(text) - acc["at"], F.lit(0)))))
+
+
+def disclosing_terms(values: DataFrame, texts: DataFrame) -> DataFrame:
+    """text_hash, terms: the words of a text that reveal too much of a value in it.
+
+    values(entity, text_hash) and texts(text_hash, words): different rows, texts of all documents."""
+    per_class = ["n_e", "_a", "_b"]                     # two hashes of the set of texts
+    entities = values.groupBy("entity").agg(F.count(F.lit(1)).alias("n_e"), F.bit_xor("text_hash").alias("_a"),
+                                            F.bit_xor(F.xxhash64("text_hash")).alias("_b"))
+    held = stash(values.join(entities, "entity").select("text_hash", *per_class).distinct(), "classes")
+    n = float(max(texts.count(), 1))
+    own = F.log(F.lit(n) / F.col("n_e"))
+    most = (n + PRIOR) * F.pow(F.col("n_e") / n, F.lit(DISCLOSURE)) * (1 + 1e-9)
+    largest = held.agg(F.max(most).alias("most")).first()["most"] or 0.0
+    words = (texts.select(F.explode("words").alias("term")).groupBy("term").agg(F.count(F.lit(1)).alias("n_t"))
+             .where(F.col("n_t") + PRIOR <= largest))
+    rare = (texts.join(held.select("text_hash").distinct(), "text_hash", "left_semi")
+            .select("text_hash", F.explode("words").alias("term")).join(words, "term"))
+    near = stash(rare.join(held, "text_hash").where(F.col("n_t") + PRIOR <= most), "near")
+    given = (F.col("n_te") + PRIOR * F.col("n_e") / n) / (F.col("n_t") + PRIOR)
+    pmi = F.log(given * n / F.col("n_e"))
+    told = (near.groupBy(*per_class, "term", "n_t").agg(F.count(F.lit(1)).alias("n_te"))
+            .where((own > 0) & (pmi >= DISCLOSURE * own)).select(*per_class, "term"))
+    return near.join(told, [*per_class, "term"]).groupBy("text_hash").agg(F.sort_array(F.collect_set("term")).alias("terms"))
 
 
 def annotate(docs: DataFrame) -> DataFrame:
     """`docs` with `_spans`: pattern and term spans of each text."""
     text = F.coalesce(F.col("text"), F.lit(""))
-    spotted = docs.withColumn("_spans", pattern_spans(text))
-    rest = spotted.where(F.size("_spans") == 0)
-    found = stash(spotted.where(F.size("_spans") > 0).withColumn("_row", F.monotonically_increasing_id()), "found")
-    values = stash(found.select("_row", "text", F.explode("_spans").alias("s"), F.xxhash64("text").alias("text_hash"))
-                   .select("_row", "text_hash", F.lower(_cut(F.col("text"), F.col("s"))).alias("entity"),
-                           _near(F.col("text"), F.col("s")).alias("near")), "values")
-    terms = disclosing_terms(values, docs)
-    per_row = (values.select("_row", "entity").distinct().join(terms, "entity")
-               .groupBy("_row").agg(F.sort_array(F.collect_set("term")).alias("_terms")))
-    pattern = F.concat(F.lit(r"(?iu)(?<![\p{L}\p{N}])(?:"), F.array_join("_terms", "|"), F.lit(r")(?![\p{L}\p{N}])"))
-    clean = F.translate("text", OPEN + CLOSE, OTHER * 2)
-    extra = F.when(F.col("_terms").isNotNull(), _positions(_marked(clean, pattern), len(KINDS), lambda m: F.lit(True)))
-    apart = F.filter(F.coalesce(extra, F.array().cast(SPAN)), lambda t: ~F.exists(
-        "_spans", lambda s: (s["start"] < t["end"]) & (t["start"] < s["end"])))
-    full = found.join(per_row, "_row", "left").withColumn("_spans", F.array_sort(F.concat("_spans", apart)))
-    return full.drop("_row", "_terms").unionByName(rest)
+    spotted = docs.withColumn("_spans", pattern_spans(text)).withColumn("_hash", F.xxhash64(text))
+    rest = spotted.where(F.size("_spans") == 0).drop("_hash")
+    found = stash(spotted.where(F.size("_spans") > 0), "found")
+    masked = _masked(F.translate("text", OPEN + CLOSE, OTHER * 2), F.col("_spans"))
+    entity = F.lower(_cut(F.col("text"), F.col("s")))
+    values = stash(found.select(F.col("_hash").alias("text_hash"), "text", F.explode("_spans").alias("s"))
+                   .select("text_hash", entity.alias("entity")).distinct(), "values")
+    words = [found.select("_hash", _words(masked).alias("words")), rest.select(F.xxhash64(text).alias("_hash"), _words(text).alias("words"))]
+    texts = stash(words[0].unionByName(words[1]).groupBy(F.col("_hash").alias("text_hash")).agg(F.first("words").alias("words")), "texts")
+    terms = disclosing_terms(values, texts).select(F.col("text_hash").alias("_hash"), F.col("terms").alias("_terms"))
+    word = F.lit(rf"(?<!\p{{L}})\p{{L}}{{{LETTERS},}}+")
+    extra = F.when(F.col("_terms").isNotNull(), _positions(
+        _marked(masked, word), len(KINDS), lambda m: F.array_contains("_terms", F.lower(m))))
+    full = found.join(terms, "_hash", "left").withColumn(
+        "_spans", F.array_sort(F.concat("_spans", F.coalesce(extra, F.array().cast(SPAN)))))
+    return full.drop("_hash", "_terms").unionByName(rest)
 
 
 def _written(spans: Column) -> Column:

@@ -120,6 +120,18 @@ def test_disclosing_terms(spark):
     assert pii.sanitise(table).where("doc_id = 0").first()["text"].startswith("call [TERM] about [EMAIL]")
 
 
+def test_disclosing_terms_of_single_texts(spark):
+    """A value of one text (copies count once) has terms, also far away from it; words in many texts and in values are none."""
+    far = "please call about " * 30
+    texts = [f"Zanzibar2 {far} joe@example.org"] * 3 + [f"{far} amy@example.org and 10.1.2.3"] + [f"{far} number{chr(97 + i)}" for i in range(20)]
+    texts += [f"please example about {chr(97 + i)} item" for i in range(20)]
+    table = spark.createDataFrame(list(enumerate(texts)), "doc_id long, text string")
+    spans = {r["doc_id"]: r["spans"] for r in pii.span_digest(table).collect()}
+    assert all(spans[i].startswith("term:0:8,email:") and spans[i].count("term") == 1 for i in range(3))
+    assert "term" not in spans[3] and not any(spans[i] for i in range(4, len(texts)))
+    assert pii.sanitise(table).where("doc_id = 1").first()["text"].startswith("[TERM]2 please")
+
+
 def test_ngram_classes(docs, rows, edge):
     got = {r["doc_id"]: (r["n_shingles"], r["component_id"]) for r in ngram_join.classes(docs).collect()}
     assert got == brute.classes(rows, 4, 85)
