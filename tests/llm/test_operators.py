@@ -163,6 +163,15 @@ def test_scores(docs, rows):
         assert r["base_score"] == pytest.approx(want[4], rel=1e-9) and r["score"] == pytest.approx(want[5], rel=1e-7)
 
 
+def test_scores_keep_all_pairs(docs, rows, monkeypatch):
+    """The model has no size above which pairs go."""
+    monkeypatch.setattr(ppm, "NODES", 64, raising=False)
+    part = sorted(rows)[:30]
+    table = docs.where(F.col("doc_id").isin([d for d, _ in part]))
+    want = brute.unigrams_and_ppm(part)
+    assert all(r["score"] == pytest.approx(want[r["doc_id"]][5], rel=1e-7) for r in ppm.score_digest(table).collect())
+
+
 def test_encoder_agrees_with_the_library(rows):
     from tokenizers import Tokenizer
     v, lib, rng = bpe.Vocabulary(bpe.default_path()), Tokenizer.from_file(bpe.default_path()), random.Random(5)
