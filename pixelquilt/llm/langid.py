@@ -2,11 +2,12 @@
 
 Learning counts the 4-grams of every labelled text (lower-cased, digits and punctuation as spaces). A language holds
 an n-gram if it uses it at least KEEP times as often, relative to its own n-grams, as the language that uses it most,
-so stray foreign passages and wrong labels do not fill the filters. Each language has a Bloom filter of SLOTS bits and
-two hashes; the filters lie bit-sliced, one language mask per slot, so one AND of two masks returns all languages that
+so stray foreign passages and wrong labels do not fill the filters. Each language has a Bloom filter with two hashes, as
+long as the language with most n-grams needs: SLOTS_PER_GRAM bits for each of them, up to the next power of two, so the
+false-positive rate has the same bound (0.05) at every size; the filters lie bit-sliced, one language mask per slot, so one AND of two masks returns all languages that
 hold an n-gram. A text's popcount per language, corrected for the filter's false-positive rate, decides.
 
-Only the slot masks reach the driver (at most SLOTS rows per eight languages), never the n-grams.
+Only the slot masks reach the driver (one row per slot in use and eight languages), never the n-grams.
 
 Defined results: NULL texts and texts without a letter are `und` with score 0; a text none of whose n-grams is known
 gets the language with most learned n-grams and score 0; ties go to the language name first in order; without any
@@ -24,8 +25,8 @@ from pyspark.sql import DataFrame, Window, functions as F
 from ..session import stash
 from .text import as_bytes, crc_mod, documents, slices
 
-SLOTS_LOG2 = 20
-SLOTS = 1 << SLOTS_LOG2
+SLOTS_LOG2 = 20         # of the smallest filter
+SLOTS_PER_GRAM = 8
 KEEP = 0.125            # least relative use, against the language that uses the n-gram most
 LEAST = 2               # least count of an n-gram in a language
 WORD_BITS = 8           # languages per mask
@@ -49,9 +50,9 @@ def grams(texts: list[bytes | None]) -> tuple[np.ndarray, np.ndarray]:
     return code[inside], np.repeat(np.arange(len(parts), dtype=np.int32), np.maximum(lengths - 3, 0))
 
 
-def slots(code: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+def slots(code: np.ndarray, log2: int) -> tuple[np.ndarray, np.ndarray]:
     x = code.astype(np.uint64)
-    shift = np.uint64(64 - SLOTS_LOG2)
+    shift = np.uint64(64 - log2)
     return ((x * np.uint64(0x9E3779B97F4A7C15)) >> shift).astype(np.int64), \
            (((x + np.uint64(0x51)) * np.uint64(0xD6E8FEB86659FD93)) >> shift).astype(np.int64)
 
@@ -83,15 +84,15 @@ class Filters:
     """The learned languages and their bit-sliced Bloom filters."""
 
     def __init__(self, languages: list[str], masks: np.ndarray, fallback: str):
-        self.languages, self.masks, self.fallback = languages, masks, fallback     # masks: [words, SLOTS]
-        bits = [(masks[i // WORD_BITS] >> np.uint8(i % WORD_BITS)) & 1 for i in range(len(languages))]
-        self.false_rate = np.array([b.mean() ** 2 for b in bits]) if bits else np.zeros(0)
+        self.languages, self.masks, self.fallback = languages, masks, fallback     # masks: [words, slots]
+        self.log2 = masks.shape[1].bit_length() - 1
+        self.false_rate = np.array([((masks[i // WORD_BITS] >> np.uint8(i % WORD_BITS)) & 1).mean() ** 2 for i in range(len(languages))])
 
     def popcounts(self, texts: list[bytes | None]) -> tuple[np.ndarray, np.ndarray]:
         """(n-grams per text, n-grams of each text per language as returned by the filters)."""
         code, owner = grams(texts)
         n = np.bincount(owner, minlength=len(texts))
-        first, second = slots(code)
+        first, second = slots(code, self.log2)
         hits = []
         for table in self.masks:                    # how often each mask comes back per text, then bits of the masks
             both = table[first] & table[second]
@@ -121,37 +122,39 @@ def learn(labelled: DataFrame) -> Filters:
                    .groupBy("lang", "gram").agg(F.sum("n").alias("n")), "grams")
     totals = {r["lang"]: r["n"] for r in counts.groupBy("lang").agg(F.sum("n").alias("n")).collect()}  # one per language
     if not totals:
-        return Filters([], np.zeros((0, SLOTS), np.uint8), "und")
+        return Filters([], np.zeros((0, 1 << SLOTS_LOG2), np.uint8), "und")
     languages = sorted(totals)
     lookup = counts.sparkSession.createDataFrame(
         [(lang, i, float(totals[lang])) for i, lang in enumerate(languages)], "lang string, i int, total double")
     used = F.col("n") / F.col("total")
-    chosen = (counts.join(F.broadcast(lookup), "lang").withColumn("use", used)         # one row per language
-              .withColumn("most", F.max("use").over(Window.partitionBy("gram")))
-              .where((F.col("use") >= KEEP * F.col("most")) & (F.col("n") >= LEAST)))
-    slot_rows = chosen.select("gram", "i").mapInArrow(_set_bits, "word int, slot int, mask long")
-    masks = np.zeros((-(-len(languages) // WORD_BITS), SLOTS), np.uint8)
+    chosen = stash(counts.join(F.broadcast(lookup), "lang").withColumn("use", used)         # one row per language
+                   .withColumn("most", F.max("use").over(Window.partitionBy("gram")))
+                   .where((F.col("use") >= KEEP * F.col("most")) & (F.col("n") >= LEAST)).select("gram", "i"), "chosen")
+    largest = chosen.groupBy("i").agg(F.count(F.lit(1)).alias("k")).agg(F.max("k").alias("k")).first()["k"] or 0
+    log2 = max(SLOTS_LOG2, (SLOTS_PER_GRAM * largest - 1).bit_length())
+    slot_rows = chosen.mapInArrow(lambda batches: _set_bits(batches, log2), "word int, slot int, mask long")
+    masks = np.zeros((-(-len(languages) // WORD_BITS), 1 << log2), np.uint8)
     for part in slot_rows.groupBy("word", "slot").agg(F.bit_or("mask").alias("mask")).toArrow().to_batches():
         word, slot, mask = (c.to_numpy(zero_copy_only=False) for c in part.columns)
         masks[word, slot] = mask
     return Filters(languages, masks, max(languages, key=lambda x: (totals[x], x)))
 
 
-def _set_bits(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+def _set_bits(batches: Iterator[pa.RecordBatch], log2: int) -> Iterator[pa.RecordBatch]:
     for batch in batches:
         code, i = (c.to_numpy(zero_copy_only=False) for c in batch.columns)
-        both = np.concatenate(slots(code.astype(np.uint32)))
+        both = np.concatenate(slots(code.astype(np.uint32), log2))
         i = np.concatenate([i, i])
-        key, at = np.unique(i // WORD_BITS * SLOTS + both, return_inverse=True)
+        key, at = np.unique(i.astype(np.int64) // WORD_BITS << log2 | both, return_inverse=True)
         mask = np.zeros(len(key), np.int64)
         np.bitwise_or.at(mask, at, np.int64(1) << (i % WORD_BITS).astype(np.int64))
-        yield pa.RecordBatch.from_arrays([pa.array((key // SLOTS).astype(np.int32)), pa.array((key % SLOTS).astype(np.int32)),
+        yield pa.RecordBatch.from_arrays([pa.array((key >> log2).astype(np.int32)), pa.array((key & (1 << log2) - 1).astype(np.int32)),
                                           pa.array(mask)], ["word", "slot", "mask"])
 
 
 def predict(docs: DataFrame, filters: Filters, key: str = "doc_id") -> DataFrame:
     """key, lang_pred, score of every row, from its text alone."""
-    model = docs.sparkSession.sparkContext.broadcast(filters)       # 1 MB per eight languages
+    model = docs.sparkSession.sparkContext.broadcast(filters)       # a byte per slot and eight languages
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in slices(batches):

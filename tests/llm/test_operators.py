@@ -96,6 +96,14 @@ def test_language(docs, edge):
     assert by[1] == by[2] == by[8] == by[12] == "und" and by[3] != "und"
 
 
+def test_language_filters_grow(spark):
+    """A language with very many n-grams gets a longer filter, so the false-positive rate stays."""
+    text = "".join(map(chr, np.random.default_rng(1).integers(0x4E00, 0x9FFF, 400_000)))
+    made = langid.learn(spark.createDataFrame([(text, "zh"), (text, "zh"), ("the cat " * 20, "en")], "text string, lang string"))
+    assert made.languages == ["en", "zh"] and made.false_rate.max() < 0.06
+    assert [a for a, _ in made.predict([b"the cat", text[:40].encode()])] == ["en", "zh"]
+
+
 def test_mix_targets(docs):
     out = mixing.mix_digest(docs)
     assert out.where("taken > 3 * size OR taken < 0").count() == 0
