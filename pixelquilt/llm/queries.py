@@ -6,7 +6,8 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 
 from ..session import configure
-from . import bpe, html_diff, langid, mixing, ngram_join, pii, ppm, quality, url_rules, webp
+from . import (bpe, html_diff, importance, kd_shards, langid, mixing, ngram_join, phrases, pii, ppm, quality, url_rules,
+               webp)
 from .text import read
 
 
@@ -28,8 +29,13 @@ def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
         "op9_bpe": _over("documents", bpe.digest),
         "op10_url_rules": lambda spark, folder: url_rules.judge(
             read(configure(spark), folder, "pages"), read(spark, folder, "labels")),
+        "op11_importance": lambda spark, folder: importance.resample_digest(
+            read(configure(spark), folder, "documents"), read(spark, folder, "benchmark")),
+        "op12_kd_shards": _over("documents", kd_shards.shard_digest),
+        "op13_phrases": _over("documents", phrases.collocations),
     }
 
 
 def oracle_sql() -> dict[str, str]:
-    return {"op2_mix_sources": mixing.SQL}
+    return {"op2_mix_sources": mixing.SQL, "op11_importance": importance.SQL, "op12_kd_shards": kd_shards.SQL,
+            "op13_phrases": phrases.SQL}
