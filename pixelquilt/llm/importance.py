@@ -92,19 +92,21 @@ def _pieces(text: bytes) -> Iterator[bytes]:
     yield text[start:]
 
 
-def _scan(text: bytes) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
-    """(crc32, length, end) of every word of `text`, in order, as emitted by the automaton over its distinct words."""
-    words = list(set(text.split()))
+def _scan(text: bytes) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
+    """crc32, crc32 with a space after it, length and end of every word of `text`, in order, as emitted by the
+    automaton over its distinct words."""
+    words = sorted(set(text.split()))                                   # neighbours in the trie, neighbours in memory
     if not words:
-        return np.zeros(0, np.uint32), np.zeros(0, np.int64), np.zeros(0, np.int64)
+        return (np.zeros(0, np.uint32),) * 2 + (np.zeros(0, np.int64),) * 2
     automaton = ahocorasick.Automaton(ahocorasick.STORE_INTS)
     for i, word in enumerate(words):
         automaton.add_word(f" {word.decode('latin-1')} ", i)
     automaton.make_automaton()
     emitted = np.fromiter(automaton.iter(f" {text.decode('latin-1')} "), np.dtype((np.int64, 2)))
     crc = np.fromiter(map(zlib.crc32, words), np.uint32, len(words))
-    size = np.fromiter(map(len, words), np.int64, len(words))
-    return crc[emitted[:, 1]], size[emitted[:, 1]], emitted[:, 0] - 1
+    spaced = composed(crc, np.full(len(words), _SPACE_CRC), np.ones(len(words), np.int64))
+    size, found = np.fromiter(map(len, words), np.int64, len(words)), emitted[:, 1]
+    return crc[found], spaced[found], size[found], emitted[:, 0] - 1
 
 
 def features(texts: list[bytes | None]) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
@@ -112,15 +114,14 @@ def features(texts: list[bytes | None]) -> tuple[np.ndarray, np.ndarray, np.ndar
     plain = [(t or b"").translate(_PLAIN) for t in texts]
     parts, base = [], 0
     for piece in _pieces(b" ".join([*plain, b""])):
-        crc, size, end = _scan(piece)
-        parts.append((crc, size, end + base))
+        crc, spaced, size, end = _scan(piece)
+        parts.append((crc, spaced, size, end + base))
         base += len(piece)
-    crc, size, end = (np.concatenate(x) for x in zip(*parts))
+    crc, spaced, size, end = (np.concatenate(x) for x in zip(*parts))
     # the ends of the texts in the joined line; a word ends at its text's end at the latest
     owner = np.searchsorted(np.cumsum([len(t) + 1 for t in plain]) - 1, end)
     pair = np.flatnonzero(owner[:-1] == owner[1:])
-    spaced = composed(crc[pair], np.broadcast_to(_SPACE_CRC, len(pair)), np.ones(len(pair), np.int64))
-    double = composed(spaced, crc[pair + 1], size[pair + 1])
+    double = composed(spaced[pair], crc[pair + 1], size[pair + 1])
     return (np.concatenate([crc, double]) % BUCKETS, np.concatenate([owner, owner[pair]]),
             np.bincount(owner, minlength=len(texts)))
 
@@ -129,7 +130,7 @@ def bucket_counts(texts: DataFrame) -> DataFrame:
     """bucket, n of the features of all rows of texts(text); buckets without a feature are left out."""
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         n = np.zeros(BUCKETS, np.int64)
-        for batch in slices(batches, rows=1000):
+        for batch in slices(batches, rows=1000, mb=1):
             n += np.bincount(features(as_bytes(batch))[0], minlength=BUCKETS)
         at = np.flatnonzero(n)
         yield pa.RecordBatch.from_arrays([pa.array(at.astype(np.int32)), pa.array(n[at])], ["bucket", "n"])
@@ -154,7 +155,7 @@ def weighed(docs: DataFrame, gain: np.ndarray, *returned: str) -> DataFrame:
     kinds = [f"`{c}` {t}" for c, t in docs.select(*[F.col(f"`{c}`") for c in returned]).dtypes]
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in slices(batches, rows=1000):
+        for batch in slices(batches, rows=1000, mb=1):
             bucket, owner, words = features(as_bytes(batch))
             n = np.bincount(owner, minlength=len(batch))
             total = np.bincount(owner, shared.value[bucket], len(batch)).astype(np.int64)         # exact below 2^53
