@@ -8,15 +8,17 @@ line have nearly the same size, the words taken come near the target, and no doc
 The running sum is never one task: the line is cut into blocks (source, size class, hash bucket), positions are
 numbered inside each block, and only the block counts are summed along a source.
 
+`mix` carries whole rows through the line, so the copies belong to rows and not to ids: what a source takes is what the
+mix holds of it, with NULL and repeated ids too.
+
 Defined results: NULL or empty texts have size 0 and take 0 words, but stand in the line; a NULL source is a source
 (the last one); a source without words has target 0 and emits nothing; no rows give no rows; repeated rows are
-separate documents; other columns are kept by `mix`.
+separate documents; rows without id stand where the hash of their text puts them; other columns are kept by `mix`.
 """
 from __future__ import annotations
 
 from pyspark.sql import Column, DataFrame, Window, functions as F
 
-from ..session import stash
 from .text import documents, n_words
 
 BUCKETS = 256           # hash buckets of each size class of a source
@@ -57,9 +59,9 @@ def targets(sources: DataFrame, most: int = MOST) -> DataFrame:
 
 
 def copies(sized: DataFrame, most: int = MOST, seed: str = SEED) -> DataFrame:
-    """sized(source, size, key, ...) + source_size, target, n_copies.
+    """sized(source, size, key, tie, ...) + source_size, target, n_copies.
 
-    key: what tells the documents of a source apart, the same in every run."""
+    key: what tells the documents of a source apart, the same in every run; tie: what tells rows of one key apart."""
     bits = F.bin("size")
     placed = (sized.withColumn("_class", F.concat(F.lpad(F.length(bits).cast("string"), 2, "0"), F.substring(bits, 1, 4)))
               .withColumn("_hash", _digest(F.col("key"), seed))
@@ -71,21 +73,27 @@ def copies(sized: DataFrame, most: int = MOST, seed: str = SEED) -> DataFrame:
     starts = (blocks.withColumn("_before", F.coalesce(F.sum("_n").over(line), F.lit(0)))
               .join(sums.withColumnRenamed("source", "_s"), F.col("source").eqNullSafe(F.col("_s"))).drop("_s")
               .withColumn("_rate", F.when(F.col("source_size") > 0, F.col("target") / F.col("source_size")).otherwise(0.0))
-              .withColumn("_draw", draw).drop("_n", "_words", "w")
-              .withColumnsRenamed({"source": "_s", "_class": "_c", "_bucket": "_b"}))
-    block = Window.partitionBy("source", "_class", "_bucket").orderBy("size", "_hash")
+              .withColumn("_draw", draw).withColumn("_named", F.col("source").isNotNull()).withColumn("_source", F.coalesce("source", F.lit("")))
+              .drop("_n", "_words", "w", "source"))
+    # the window and the join share one shuffle of the rows: the same keys, none of them NULL
+    at = ["_named", "_source", "_class", "_bucket"]
+    block = Window.partitionBy(*at).orderBy("size", "_hash", "tie")
     upto = F.col("_draw") + F.col("_rate") * (F.col("_before") + F.col("_i")).cast("double")
     since = F.col("_draw") + F.col("_rate") * (F.col("_before") + F.col("_i") - 1).cast("double")
-    return (placed.withColumn("_i", F.row_number().over(block))
-            .join(starts, F.col("source").eqNullSafe(F.col("_s")) & (F.col("_class") == F.col("_c"))
-                  & (F.col("_bucket") == F.col("_b")))
+    return (placed.withColumn("_named", F.col("source").isNotNull()).withColumn("_source", F.coalesce("source", F.lit("")))
+            .withColumn("_i", F.row_number().over(block)).join(starts, at)
             .withColumn("n_copies", F.least(F.lit(most), F.floor(upto) - F.floor(since)).cast("int"))
-            .drop("_s", "_c", "_b", "_class", "_bucket", "_hash", "_i", "_before", "_rate", "_draw"))
+            .drop(*at, "_hash", "_i", "_before", "_rate", "_draw"))
+
+
+def _key() -> Column:
+    """What tells the rows of a source apart: the id, without one the text."""
+    return F.coalesce(F.col("doc_id").cast("string"), F.concat(F.lit("~"), F.md5(F.coalesce("text", F.lit("")))))
 
 
 def sizes(docs: DataFrame) -> DataFrame:
-    return documents(docs, "doc_id", "source", "text").select("doc_id", "source", n_words(F.col("text")).alias("size"),
-                                                              F.col("doc_id").alias("key"))
+    return documents(docs, "doc_id", "source", "text").select("doc_id", "source", n_words(F.col("text")).alias("size"), _key().alias("key"),
+                                                              F.xxhash64("text").alias("tie"))
 
 
 def mix_digest(docs: DataFrame) -> DataFrame:
@@ -95,20 +103,19 @@ def mix_digest(docs: DataFrame) -> DataFrame:
 
 
 def mix(docs: DataFrame) -> DataFrame:
-    """The documents of the mix, each as often as it is taken, with the columns of `docs`. Rows without id are not
-    taken; rows with one id are taken alike, as often as the first of them."""
-    taken = stash(copies(sizes(docs)).where("n_copies > 0 AND doc_id IS NOT NULL").groupBy(F.col("doc_id").alias("_id"))
-                  .agg(F.max("n_copies").alias("_copies")), "taken")
-    many = docs.join(taken.hint("merge"), F.col("doc_id") == F.col("_id")).drop("_id")      # one entry per document: never broadcast
-    return many.withColumn("_copy", F.explode(F.sequence(F.lit(1), F.col("_copies")))).drop("_copy", "_copies")
+    """The documents of the mix, each row as often as it is taken, with the columns of `docs`."""
+    rows = docs.select("source", n_words(F.col("text")).alias("size"), _key().alias("key"), F.xxhash64("text").alias("tie"),
+                       F.struct(*(F.col(f"`{c}`") for c in docs.columns)).alias("_doc"))
+    return (copies(rows).where("n_copies > 0").select("_doc", F.explode(F.sequence(F.lit(1), F.col("n_copies")))).select("_doc.*"))
 
 
 SQL = f"""
 WITH sized AS (
-  SELECT doc_id, source, CAST(len(regexp_extract_all(coalesce(text, ''), '[^\\x20\\x09-\\x0D]+')) AS BIGINT) AS size FROM documents),
+  SELECT doc_id, source, coalesce(CAST(doc_id AS VARCHAR), '~' || md5(coalesce(text, ''))) AS key,
+         CAST(len(regexp_extract_all(coalesce(text, ''), '[^\\x20\\x09-\\x0D]+')) AS BIGINT) AS size FROM documents),
 placed AS (
   SELECT *, lpad(CAST(length(bin(size)) AS VARCHAR), 2, '0') || left(bin(size), 4) AS cls,
-         md5('{SEED}:' || coalesce(CAST(doc_id AS VARCHAR), '~')) AS h FROM sized),
+         md5('{SEED}:' || key) AS h FROM sized),
 s AS (
   SELECT source, CAST(sum(size) AS BIGINT) AS source_size,
          CAST((row_number() OVER (ORDER BY source NULLS LAST) - 1) % 3 + 1 AS DOUBLE) AS w,

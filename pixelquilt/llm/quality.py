@@ -4,11 +4,12 @@ The classifier is fitted on a bounded sample of the labelled rows (TRAIN_ROWS, t
 id, whole texts), four fifths for the weights and one fifth for the calibration (a logistic curve on the score).
 Scoring is one Arrow pass over whole texts against fixed thresholds.
 
-Features: share of each word, each pair of neighbouring words and each 4-gram of the UTF-8 bytes among all of these in
-the text, hashed to 2^BITS.
+Features: share of each word, each pair of neighbouring words and each run of four characters (code points) among all of
+these in the text, hashed to 2^BITS. They are taken from the one text only and added in its order, so equal texts have
+bitwise equal probabilities wherever they stand.
 
 Defined results: NULL texts count as empty (0 words, base_failed); without labels of both classes the verdict is the
-base rules' alone; NULL labels or ids are not learned from; labels are joined by id, repeated labels count as rows.
+base rules' alone; NULL labels or ids are not learned from; labels are joined by id, repeated labels and ids count as rows (of the bound).
 """
 from __future__ import annotations
 
@@ -27,6 +28,7 @@ KEEP_AT = 0.4           # least calibrated probability of good quality
 LEAST_WORDS = 20
 REPEAT_PERCENT = 30
 WINDOW = 8
+CHARACTERS = 4
 
 _SYMBOL = np.isin(np.arange(256), list(b"[#*$%&|<>]"[1:-1]))
 _SPACE = np.isin(np.arange(256), [32, 9, 10, 11, 12, 13])
@@ -72,12 +74,26 @@ class Batch:
         shift, n = np.uint64(64 - BITS), len(self.owner)
         pairs = np.flatnonzero(self.owner[:-1] == self.owner[1:]) if n > 1 else np.zeros(0, np.int64)
         double = mixed(self.hashes[pairs] + mixed(self.hashes[pairs + 1])) if n > 1 else self.hashes[:0]
-        four = np.ndarray((max(0, len(self.bytes) - 3),), "<u4", self.bytes, 0, (1,)).astype(np.uint64)
-        slot = np.concatenate([mixed(self.hashes + np.uint64(3)) >> shift, double >> shift,
-                               ((four + np.uint64(7)) * np.uint64(0x9E3779B97F4A7C15)) >> shift]).astype(np.int32)
-        owner = np.concatenate([self.owner, self.owner[pairs], self.byte_owner[:len(four)]])
+        four, four_owner = self._characters()
+        slot = np.concatenate([mixed(self.hashes + np.uint64(3)) >> shift, double >> shift, four >> shift]).astype(np.int32)
+        owner = np.concatenate([self.owner, self.owner[pairs], four_owner])
         return slot, owner, np.bincount(owner, minlength=len(self.texts))
 
+    def _characters(self) -> tuple[np.ndarray, np.ndarray]:
+        """Hash and text of every run of CHARACTERS code points inside one text."""
+        first = np.flatnonzero((self.bytes & 0xC0) != 0x80)             # the space after each text begins one as well
+        size = np.diff(first, append=len(self.bytes)).astype(np.uint64)
+        raw = np.concatenate([self.bytes, np.zeros(8, np.uint8)])
+        point = np.ndarray((len(self.bytes),), "<u4", raw, 0, (1,))[first] & (np.uint64(1) << (np.uint64(8) * size)) - np.uint64(1)
+        owner = self.byte_owner[first]
+        # a run ends before the space that follows its text
+        n = len(first) - CHARACTERS
+        at = np.flatnonzero(owner[:n] == owner[CHARACTERS:]) if n > 0 else np.zeros(0, np.int64)
+        h = np.zeros(len(at), np.uint64)
+        for i in range(CHARACTERS):
+            h = (h + point[at + i] + np.uint64(7)) * np.uint64(0x9E3779B97F4A7C15)
+        return mixed(h), owner[at]
+
 
 class Classifier:
     def __init__(self, weights: np.ndarray | None = None, bias: float = 0.0, slope: float = 1.0, shift: float = 0.0):
@@ -156,7 +172,8 @@ def train(docs: DataFrame, labels: DataFrame, rows: int = TRAIN_ROWS) -> Classif
               .orderBy("place", "good").limit(rows))                   # at most TRAIN_ROWS rows of three numbers
     sample = (documents(docs, "doc_id", "text").join(F.broadcast(chosen), F.col("doc_id") == F.col("_id"))
               .select("place", "good", "text").mapInArrow(_features_of, "place long, good boolean, found binary, counts binary"))
-    table = sorted((r["place"], r["good"], bytes(r["found"]), bytes(r["counts"])) for r in sample.collect())
+    bounded = sample.orderBy("place", "good", "found", "counts").limit(rows)                  # an id may stand in many rows
+    table = sorted((r["place"], r["good"], bytes(r["found"]), bytes(r["counts"])) for r in bounded.collect())
     return fit([(np.frombuffer(f, np.int32), np.frombuffer(c, np.int32)) for _, _, f, c in table],
                np.array([g for _, g, _, _ in table], bool))
 

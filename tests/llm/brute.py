@@ -30,6 +30,11 @@ def quality(text):
     return len(w), sum(map(len, w)), sum(c in "#*$%&|<>" for c in text), len(lines) - len(set(lines)), len(covered)
 
 
+def quality_features(text):
+    w = words(text)
+    return [*w, *zip(w, w[1:]), *(("four", text[i:i + 4]) for i in range(len(text) - 3))]
+
+
 def _passes(kind, match):
     d = re.sub("[^0-9]", "", match)
     if kind == "ip":
@@ -103,3 +108,51 @@ def unigrams_and_ppm(docs, order=3):
         out[d] = (zlib.crc32(str(d).encode()) % 7 == 2, len(tokens), sum(counts[x] > 0 for x in tokens), n,
                   sum(math.log10((counts[x] + 1) / (n + v + 1)) for x in tokens), s)
     return out
+
+
+def _low(text):
+    return re.sub("[A-Z]", lambda m: m[0].lower(), text or "")
+
+
+def importance(docs, target, buckets=10_000, percent=25, least=20):
+    """{doc_id: (n_features, weight, score, rank)}"""
+    def found(text):
+        w = re.findall(r"[^\x00-\x2F\x3A-\x60\x7B-\x7F]+", _low(text))
+        return w, [zlib.crc32(x.encode()) % buckets for x in [*w, *map(" ".join, zip(w, w[1:]))]]
+
+    all_docs = [(d, *found(t)) for d, t in docs]
+    s, t = Counter(b for _, _, bs in all_docs for b in bs), Counter(b for x in target for b in found(x)[1])
+    big_s, big_t = float(sum(s.values())) + buckets, float(sum(t.values())) + buckets
+    gain = {b: math.floor(1000 * math.log((t[b] + 1) * big_s / ((s[b] + 1) * big_t))) for b in s}
+    out, able = {}, []
+    for i, (d, w, bs) in enumerate(all_docs):
+        h = int(hashlib.sha256(f"7:{'' if d is None else d}".encode()).hexdigest()[:8], 16)
+        weight = sum(gain[b] for b in bs) // len(bs) if bs else 0
+        out[i] = [d, len(bs), weight, weight + math.floor(-1000 * math.log(-math.log((h + 0.5) / 4294967296))), None]
+        if len(w) >= least:
+            able.append(i)
+    able.sort(key=lambda i: (-out[i][3], out[i][0] is None, out[i][0]))
+    for place, i in enumerate(able[:percent * len(able) // 100]):
+        out[i][4] = place + 1
+    return sorted(map(tuple, out.values()), key=str)
+
+
+def phrases(docs, support=30, first=2000):
+    """Rows (lang, rank, phrase, a, l, r, n, score) from docs(lang, text)."""
+    f, n = Counter(), Counter()
+    for lang, text in docs:
+        lang = lang or "und"
+        for piece in re.split(r"[.,;:!?\x0A-\x0D]", _low(text)):
+            w = re.findall(r"[^\x20\x09]+", piece)
+            n[lang] += len(w)
+            f.update((lang, tuple(w[i:i + k])) for k in range(1, 5) for i in range(len(w) - k + 1))
+    many = {x: a for x, a in f.items() if a >= support}
+    dropped = {(lang, w[i:i + m]) for (lang, w), a in many.items() for m in range(2, len(w)) for i in range(len(w) - m + 1)
+               if 100 * a >= 80 * f[lang, w[i:i + m]]}
+    out = defaultdict(list)
+    for (lang, w), a in many.items():
+        if len(w) > 1 and (lang, w) not in dropped:
+            score, _, left, right = min((2_000_000 * a // (f[lang, w[:k]] + f[lang, w[k:]]), k, f[lang, w[:k]], f[lang, w[k:]]) for k in range(1, len(w)))
+            out[lang].append((-score, -a, " ".join(w).encode(), left, right))
+    return sorted((lang, i + 1, p.decode(), -a, left, right, n[lang], -score) for lang, rows in out.items()
+                  for i, (score, a, p, left, right) in enumerate(sorted(rows)[:first]))

@@ -74,6 +74,37 @@ def test_quality(spark, docs, rows, edge, labels):
         assert tuple(int(x[0]) for x in quality.Batch([raw]).base_counts()) == brute.quality(text)
 
 
+def test_quality_features(rows):
+    """Each text's features are its own, whatever stands beside it."""
+    texts = [t for _, t in rows] + [t for _, t, _, _ in EDGE] + ["", "a", "abc", "abcd", "日本語日本", "é" * 9, None, "abcd"]
+    raw = [None if t is None else t.encode() for t in texts]
+    for layout in (raw, raw[::-1]):
+        slot, owner, n = quality.Batch(layout).features()
+        for i, text in enumerate(layout):
+            text = (text or b"").decode()
+            assert n[i] == len(brute.quality_features(text))
+            alone = quality.Batch([layout[i]]).features()
+            assert (slot[owner == i] == alone[0]).all()
+    for text in texts[-8:]:
+        found, want = quality.Batch([(text or "").encode()]).features()[0], brute.quality_features(text or "")
+        # equal features have equal slots, in the same order
+        assert [found.tolist().index(x) for x in found.tolist()] == [want.index(x) for x in want]
+
+
+def test_quality_of_equal_texts(spark, docs, labels):
+    """Bitwise equal probabilities in any order and partitioning."""
+    model = quality.train(docs, spark.read.parquet(f"{FOLDER}/labels.parquet"))
+    assert model.weights is not None
+    one = {(r["doc_id"], r["probability"]) for r in quality.judge(docs.repartition(7), model).collect()}
+    two = {(r["doc_id"], r["probability"]) for r in quality.judge(docs.orderBy(F.desc("doc_id")).coalesce(1), model).collect()}
+    assert one == two and len({p for _, p in one}) > 50
+    again = quality.train(docs.repartition(5).orderBy(F.desc("doc_id")), spark.read.parquet(f"{FOLDER}/labels.parquet").repartition(3))
+    assert (again.weights == model.weights).all() and (again.slope, again.shift) == (model.slope, model.shift)
+    # one labelled id in very many rows does not pass the bound
+    many = spark.range(200).select(F.lit(3).alias("doc_id"), F.concat(F.lit("text number "), "id").alias("text"))
+    assert quality.train(many, labels, rows=20).weights is None
+
+
 def test_quality_held_out():
     con = duckdb.connect()
     table = con.execute("SELECT text, quality > 0 FROM '/root/testdata/sf0.1/documents.parquet' JOIN "
@@ -113,6 +144,22 @@ def test_mix_targets(docs):
     assert sorted(map(tuple, out.collect())) == sorted(map(tuple, mixing.mix_digest(docs).collect()))
 
 
+def test_mix_takes_rows(spark):
+    """What the digest takes of each source is in the mix: NULL ids, repeated ids, repeated rows, clashing names."""
+    rows = [(i if i % 3 else None, " ".join(["word"] * (i % 17)), "ab"[i % 2] if i % 5 else None) for i in range(300)]
+    rows += [(7, f"same id other text {i}", "a") for i in range(30)] + [(8, "same row", "b")] * 30
+    table = spark.createDataFrame(rows, "doc_id long, text string, source string").withColumn("size", F.lit("x")).withColumn("key", F.lit(1))
+    want = {r["source_size"]: r["n"] for r in mixing.mix_digest(table).groupBy("source_size").agg(F.sum("taken").alias("n")).collect()}
+    out = mixing.mix(table)
+    assert out.columns == table.columns
+    size = {r["source"]: r["n"] for r in table.groupBy("source").agg(F.sum(mixing.n_words(F.col("text"))).alias("n")).collect()}
+    got = {size[r["source"]]: r["n"] for r in out.groupBy("source").agg(F.sum(mixing.n_words(F.col("text"))).alias("n")).collect()}
+    assert got == want and out.where("doc_id IS NULL").count() > 0
+    # no row more than three times; rows without id are spread over the line
+    assert max(r["count"] for r in out.where("doc_id IS NOT NULL AND doc_id > 8").groupBy(*out.columns).count().collect()) <= 3
+    assert sorted(map(str, out.collect())) == sorted(map(str, mixing.mix(table.repartition(5)).collect()))
+
+
 def test_personal_data(docs, rows, edge):
     for table, plain in ((docs, rows), (edge, [(d, t) for d, t, _, _ in EDGE])):
         got = [(r["n_email"], r["n_ip"], r["n_card"], r["n_phone"], r["base_sha256"]) for r in pii.span_digest(table).collect()]
@@ -339,4 +386,4 @@ def test_transforms_invert(seed):
 
 
 def test_every_operator_is_registered():
-    assert [k.split("_")[0] for k in queries.queries()] == [f"op{i}" for i in range(1, 11)]
+    assert [k.split("_")[0] for k in queries.queries()] == [f"op{i}" for i in range(1, 14)]
