@@ -5,7 +5,7 @@ import importlib
 
 from . import base
 
-MODULES = ["scans", "encodings", "composites", "blocks", "accuracy", "spatial", "focal", "planning", "radar", "raw_scenes",
+MODULES = ["scans", "encodings", "composites", "blocks", "accuracy", "spatial", "focal", "planning", "radar", "raw_scenes", "overlays",
            "incremental", "scoring", "streams"]
 
 

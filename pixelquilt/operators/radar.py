@@ -10,6 +10,7 @@ from ..scale import numbered, spread
 from ..session import stash
 from .composite import counted_median
 from .focal import boxcar, boxcar_and_terrain
+from .overlay import overlaps
 
 # fixed values: filter-set recipe
 IMAGES, NEAREST, OVERLAP_SHARE, FIRST_DAY = 10, 50, 0.95, "2014-01-01"
@@ -65,10 +66,42 @@ def _covered(pairs: DataFrame, scenes: DataFrame, cand: DataFrame) -> DataFrame:
     return rated.where(share > OVERLAP_SHARE).select(*pairs.columns)
 
 
-def filter_sets(scenes: DataFrame, images: int = IMAGES, nearest: int = NEAREST) -> DataFrame:
+def _covered_by_area(pairs: DataFrame, scenes: DataFrame, frames: DataFrame) -> DataFrame:
+    """As _covered, with footprints as polygons: scenes carry the id of their frame, frames: frame, x1, y1, x2, y2.
+
+    What a pair asks is how much of one frame a set of frames covers; passes repeat their frames, so each such question
+    is answered once, by the overlap area with the dissolved set. The frames that one orbit sees in a day travel as an
+    array."""
+    looks = (scenes.where("mode = 'IW'").where(F.col("t") >= F.lit(FIRST_DAY).cast("timestamp_ntz"))
+             .select(F.col("orbit_stop").alias("orbit"), F.explode("pols").alias("pol"), F.to_date("t").alias("day"), "frame", "t"))
+    spans = (looks.groupBy("orbit", "pol", "day", "frame").agg(F.min("t").alias("lo"), F.max("t").alias("hi"))
+             .groupBy("orbit", "pol", "day").agg(F.collect_list(F.struct("frame", "lo", "hi")).alias("here")))
+    after = spans.select("orbit", "pol", F.date_sub("day", 1).alias("day"), F.col("here").alias("next"))
+    days = spans.join(after, ["orbit", "pol", "day"], "full_outer")
+    own = scenes.select(F.col("id").alias("i"), F.element_at("pols", -1).alias("pol"), "frame",
+                        F.array_distinct(F.array("orbit_stop", "orbit_start")).alias("orbits"))
+    # one row per orbit that the acquisition looks at, and one again when the frames they see are put together
+    asked = (pairs.withColumn("day", F.to_date("tj")).join(own, "i").withColumn("orbit", F.explode("orbits"))
+             .join(days, ["orbit", "pol", "day"]))
+    end = F.col("tj") + F.expr("INTERVAL 1 DAY")
+    none = F.array().cast("array<struct<frame:bigint,lo:timestamp_ntz,hi:timestamp_ntz>>")
+    seen = F.concat(F.filter(F.coalesce("here", none), lambda x: x["hi"] >= F.col("tj")), F.filter(F.coalesce("next", none), lambda x: x["lo"] < end))
+    sets = stash(asked.withColumn("_f", F.transform(seen, lambda x: x["frame"])).groupBy(*pairs.columns, "frame")
+                 .agg(F.array_sort(F.array_distinct(F.flatten(F.collect_list("_f")))).alias("seen")), "sets")     # two orbits at most
+    planes = sets.select("frame", "seen").distinct().withColumn("k", F.concat_ws(":", F.col("frame").cast("string"), F.array_join(F.col("seen").cast("array<string>"), ",")))
+    xy = ["x1", "y1", "x2", "y2"]
+    asking = planes.select("k", "frame").join(frames, "frame").select("k", F.col("frame").alias("id"), *xy)
+    others = planes.select("k", F.explode("seen").alias("frame")).join(frames, "frame").select("k", F.col("frame").alias("part"), *xy)
+    kept = (overlaps(asking, others).where(F.col("inside") > F.lit(OVERLAP_SHARE) * F.col("area")).join(planes, "k").select("frame", "seen"))
+    return sets.join(kept, ["frame", "seen"], "left_semi").select(*pairs.columns)
+
+
+def filter_sets(scenes: DataFrame, images: int = IMAGES, nearest: int = NEAREST, frames: DataFrame | None = None) -> DataFrame:
     """(id, members, dates): the multi-temporal filter set of every acquisition.
 
-    scenes: id, t, mode, orbit_start, orbit_stop, pols, slots (the footprint as ids of the grid tiles it covers).
+    scenes: id, t, mode, orbit_start, orbit_stop, pols, slots (ids of the grid tiles that the footprint touches).
+    frames: edges of the footprints (frame, x1, y1, x2, y2) by the `frame` of the scenes; with them covering is a
+    matter of area, without them of tiles.
     Candidates share the orbit (stop = stop or start), the last polarisation and a footprint tile. Of the `nearest`
     latest candidates less than a day after the acquisition, those whose orbit covers more than 95 % of the footprint
     within a day give their dates; with `images` dates the newest are taken, otherwise dates of the `nearest` next
@@ -119,7 +152,8 @@ def filter_sets(scenes: DataFrame, images: int = IMAGES, nearest: int = NEAREST)
     age = F.unix_micros(F.col("tj").cast("timestamp"))
     order = Window.partitionBy("i", "before").orderBy(F.when(F.col("before"), -age).otherwise(age), "j")
     picked = near.withColumn("rank", F.row_number().over(order)).where(F.col("rank") <= nearest)
-    dates = (_covered(picked, scenes, cand)
+    covered = _covered(picked, scenes, cand) if frames is None else _covered_by_area(picked, scenes, frames)
+    dates = (covered
              .groupBy("i", "before", F.to_date("tj").alias("date")).agg(F.min("rank").alias("rank")))
     dates = stash(dates, "dates")                       # at most 2 * nearest per acquisition from here on
     ordered = dates.withColumn("_n", F.sum(F.col("before").cast("int")).over(Window.partitionBy("i")))
