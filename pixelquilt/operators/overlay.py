@@ -198,6 +198,6 @@ def region_shares(areas: DataFrame, region: DataFrame, m: float | None = None) -
     (part, x1, y1, x2, y2), by area, and what it means."""
     share = F.least(F.greatest(F.col("inside") / F.col("area"), F.lit(0.0)), F.lit(1.0))
     note = F.when(F.col("inside") < TOLERANCE, "outside").when(F.col("inside") < 0.999, "partial").otherwise("inside")
-    plane = F.lit(0).alias("k")
-    both = overlaps(areas.select("*", plane), region.select("*", plane), m).drop("k").where("area > 0")
+    plane = [F.lit(0).alias("k"), "x1", "y1", "x2", "y2"]
+    both = overlaps(areas.select("id", *plane), region.select("part", *plane), m).drop("k").where("area > 0")
     return both.withColumn("inside", share).withColumn("note", note)

@@ -3,7 +3,7 @@ from __future__ import annotations
 
 from pyspark.sql import Column, DataFrame, Window, functions as F
 
-from ..schema import CELL_CATEGORIES, CELL_M, CELL_PX, RES
+from ..schema import CELL_CATEGORIES, CELL_PX
 from ..session import stash
 from ..sources.geojson import category
 
@@ -108,15 +108,3 @@ def category_counts(cells: DataFrame) -> DataFrame:
     every = cells.sparkSession.range(len(CELL_CATEGORIES)).select(
         F.col("id").alias("pos"), labels[F.col("id").cast("int")].alias("category"))
     return every.join(found, "category", "left").select("pos", "category", F.coalesce("n", F.lit(0)).alias("n"))
-
-
-def cell_bounds(cells: DataFrame) -> DataFrame:
-    return cells.withColumn("x1", F.col("x0") + CELL_M).withColumn("y0", F.col("y1") - CELL_M)
-
-
-def cell_pixels(cells: DataFrame, size: int = CELL_PX) -> DataFrame:
-    """Pixel centres of the cells."""
-    steps = F.sequence(F.lit(0), F.lit(size - 1))
-    return (cells.withColumn("r", F.explode(steps)).withColumn("c", F.explode(steps))
-            .withColumn("x", F.col("x0") + (F.col("c") + 0.5) * RES)
-            .withColumn("y", F.col("y1") - (F.col("r") + 0.5) * RES))

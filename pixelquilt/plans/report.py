@@ -127,7 +127,3 @@ def validation_scoring(predictions: DataFrame, labels: DataFrame, currency: Data
     on_chips = labels.join(chips, "chip", "left_semi").agg(
         F.count_if((F.col("label") > 0) & (F.col("label") <= LABEL_CAP)).alias("n_labels"), F.count_if(F.col("label") > LABEL_CAP).alias("n_over"))
     return scores, on_chips.withColumn("n_chips", chips.agg(F.count(F.lit(1))).scalar()).select("n_chips", "n_labels", "n_over")
-
-
-def skipped_models(currency: DataFrame) -> DataFrame:
-    return currency.where("NOT current").select("model", "reason")

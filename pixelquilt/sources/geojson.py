@@ -58,12 +58,6 @@ def scan_regions(docs: DataFrame, doc: str = "doc") -> DataFrame:
             .select("_p.*", F.get_json_object("_f", "$.geometry").alias("geometry")))
 
 
-def ring_text(points: list[tuple[Column, Column]]) -> Column:
-    """Polygon geometry text from corner columns (the first corner closes the ring)."""
-    pts = [F.array(x.cast("double"), y.cast("double")) for x, y in [*points, points[0]]]
-    return F.to_json(F.struct(F.lit("Polygon").alias("type"), F.array(F.array(*pts)).alias("coordinates")))
-
-
 def category(role: Column, use: Column) -> Column:
     """Map category of a planned cell."""
     return (F.when(role == "aoi", "aoi").when(F.coalesce(use, F.lit(True)), "ring").otherwise("dropped (water)"))

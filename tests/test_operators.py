@@ -17,7 +17,7 @@ from pixelquilt.operators.resample import bilinear, nearest_join
 from pixelquilt.operators.spatial import geodesic_area
 from pixelquilt.operators.tiles import covering, predict_blocks, predict_tiles, tile_origins, tile_scorer
 from pixelquilt.plans.report import reference_section
-from pixelquilt.schema import ANNUAL_BANDS, SEASONAL_BANDS, Settings, canonical, n_channels, needs_seasonal
+from pixelquilt.schema import ANNUAL_BANDS, SEASONAL_BANDS, canonical, n_channels, needs_seasonal
 
 
 def raster(spark, a, name="v", **extra):
@@ -68,9 +68,6 @@ def test_representations(spark):
     assert canonical("IE") == "AE" and canonical("I") == "A" and needs_seasonal("TE") and not needs_seasonal("AE")
     with pytest.raises(ValueError):
         canonical("X")
-    with pytest.raises(ValueError):
-        Settings.of(colour="red")
-    assert Settings.of(input="I").input == "A"
     one = spark.createDataFrame([("X", [1] * 76)], "n string, a array<int>")
     with pytest.raises(Exception, match="unknown representation"):
         one.select(enc.canonical_name(F.col("n"))).collect()
