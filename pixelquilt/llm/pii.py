@@ -14,7 +14,10 @@ Values that stand in the same texts have the same counts and are one class. As n
 n_t + PRIOR > (n + PRIOR) P(e)^DISCLOSURE cannot disclose, so only rarer words are paired with a class.
 
 Everything is Spark SQL: matches are wrapped in two private-use characters, the text is split there, and running
-lengths give the positions. Patterns are possessive, so they neither backtrack over long runs nor recurse.
+lengths give the positions. Patterns are possessive, so they neither backtrack over long runs nor recurse. Arrays of k
+matches are worked through in about sqrt(k) blocks of as many, so nothing is rebuilt per match: a running sum copies at
+most a block, and a cut reads at most a block's piece of the text. Terms of a text are looked up by hash bucket, and
+values of a single text, which all words of the text stand with once, are not paired with words at all.
 
 Defined results: NULL texts count as empty (sanitise keeps them NULL); spans of different kinds may overlap; term
 spans never overlap pattern spans; equal rows give equal spans; private-use marks in a text match nothing.
@@ -29,6 +32,7 @@ from .text import documents
 KINDS = ["email", "ip", "card", "phone"]
 LETTERS = 4             # least length of a term
 PRIOR = 1.0             # texts without a connection that every word counts besides its own
+TERM_BUCKETS = 64       # lists that the terms of a text are looked up in
 DISCLOSURE = 0.7        # least share of the value's information that the term reveals
 OPEN, CLOSE, OTHER = "", "", ""
 
@@ -74,17 +78,47 @@ def _marked(text: Column, pattern: Column) -> Column:
     return F.split(marked, f"[{OPEN}{CLOSE}]", -1)
 
 
+def _let(value: Column, body) -> Column:
+    """body(value) with the value computed once; inside a lambda it would be computed for every element."""
+    return F.get(F.transform(F.array(value), body), F.lit(0))
+
+
+def _blocks(items: Column) -> Column:
+    """The array as an array of about sqrt(size) neighbouring pieces."""
+    def cut(x: Column) -> Column:
+        size = F.greatest(F.lit(16), F.ceil(F.sqrt(F.size(x))).cast("int"))
+        n = F.ceil(F.size(x) / size).cast("int")
+        return F.when(n > 0, F.transform(F.sequence(F.lit(0), F.greatest(n, F.lit(1)) - 1), lambda b: F.slice(x, b * size + 1, size))
+                      ).otherwise(F.slice(F.array(x), 1, 0))
+
+    return _let(items, cut)
+
+
+def _running(blocks: Column, of_block, join) -> Column:
+    """For every block what the blocks before it come to: of_block(block) put together by join, 0 for the first."""
+    return F.aggregate(F.transform(blocks, of_block), F.array(F.lit(0)), lambda acc, x: F.concat(acc, F.array(join(F.element_at(acc, -1), x))))
+
+
 def _positions(parts: Column, kind: int, valid) -> Column:
-    """Spans of the matches among `parts` that pass `valid`."""
-    start = F.struct(F.lit(0).alias("at"), F.lit(False).alias("odd"), F.array().cast(SPAN).alias("spans"))
+    """Spans of the matches among `parts`, every second one, that pass `valid`."""
+    def found(block: Column, before: Column, odd: Column) -> Column:
+        start = F.struct(before.alias("at"), odd.alias("odd"), F.array().cast(SPAN).alias("spans"))
+
+        def step(acc: Column, part: Column) -> Column:
+            end = acc["at"] + F.char_length(part)
+            span = F.array(F.struct(acc["at"].alias("start"), F.lit(kind).alias("kind"), end.alias("end")))
+            return F.struct(end.alias("at"), (~acc["odd"]).alias("odd"),
+                            F.when(acc["odd"] & valid(part), F.concat(acc["spans"], span)).otherwise(acc["spans"]).alias("spans"))
 
-    def step(acc: Column, part: Column) -> Column:
-        end = acc["at"] + F.char_length(part)
-        span = F.array(F.struct(acc["at"].alias("start"), F.lit(kind).alias("kind"), end.alias("end")))
-        return F.struct(end.alias("at"), (~acc["odd"]).alias("odd"),
-                        F.when(acc["odd"] & valid(part), F.concat(acc["spans"], span)).otherwise(acc["spans"]).alias("spans"))
+        return F.aggregate(block, start, step, lambda acc: acc["spans"])
 
-    return F.aggregate(parts, start, step, lambda acc: acc["spans"])
+    def over(blocks: Column) -> Column:
+        chars = _running(blocks, lambda b: F.aggregate(b, F.lit(0), lambda n, part: n + F.char_length(part)), lambda x, y: x + y)
+        size = F.size(F.get(blocks, F.lit(0)))
+        return _let(chars, lambda before: F.flatten(F.transform(
+            blocks, lambda b, i: found(b, F.get(before, i), (i * size) % 2 == 1))))
+
+    return _let(_blocks(parts), over)
 
 
 def pattern_spans(text: Column) -> Column:
@@ -98,8 +132,36 @@ def pattern_spans(text: Column) -> Column:
     return F.when(text.contains("@") | text.rlike("[0-9]"), F.array_sort(F.concat(*found))).otherwise(none)
 
 
-def _cut(text: Column, span: Column) -> Column:
-    return F.substring(text, span["start"] + 1, span["end"] - span["start"])
+def _pieces(text: Column, spans: Column, piece) -> Column:
+    """piece(cut, span, at) of every span in order: cut(start, end) is the text there, at the furthest end before it."""
+    def of_block(block: Column, before: Column) -> Column:
+        first = F.least(before, F.get(block, F.lit(0))["start"])
+        last = F.greatest(before, F.array_max(F.transform(block, lambda s: s["end"])))
+        ends = F.aggregate(block, F.array(before), lambda acc, s: F.concat(acc, F.array(F.greatest(F.element_at(acc, -1), s["end"]))))
+        part = F.struct(first.alias("first"), F.substring(text, first + 1, last - first).alias("text"), ends.alias("ends"), block.alias("spans"))
+
+        def inside(p: Column) -> Column:
+            def cut(start: Column, end: Column) -> Column:
+                return F.substring(p["text"], start - p["first"] + 1, F.greatest(end - start, F.lit(0)))
+            return F.transform(p["spans"], lambda s, i: piece(cut, s, F.get(p["ends"], i)))
+
+        return _let(part, inside)
+
+    def over(blocks: Column) -> Column:
+        ends = _running(blocks, lambda b: F.array_max(F.transform(b, lambda s: s["end"])), F.greatest)
+        return _let(ends, lambda before: F.flatten(F.transform(blocks, lambda b, i: of_block(b, F.get(before, i)))))
+
+    return _let(_blocks(spans), over)
+
+
+def _replaced(text: Column, spans: Column, written) -> Column:
+    """The text with written(span, at) in place of every span; what spans cover goes, at is the furthest end before."""
+    def piece(cut, s: Column, at: Column) -> Column:
+        return F.concat(cut(at, s["start"]), written(s, at))
+
+    rest = _let(F.coalesce(F.array_max(F.transform(spans, lambda s: s["end"])), F.lit(0)),
+                lambda end: F.substring(text, end + 1, F.greatest(F.char_length(text) - end, F.lit(0))))
+    return F.concat(F.array_join(_pieces(text, spans, piece), ""), rest)
 
 
 def _words(c: Column) -> Column:
@@ -110,19 +172,11 @@ def _words(c: Column) -> Column:
 
 def _masked(text: Column, spans: Column) -> Column:
     """The text with every code point of a span replaced by OTHER, so positions stay."""
-    start = F.struct(F.lit("").alias("out"), F.lit(0).alias("at"))
-
-    def step(acc: Column, s: Column) -> Column:
-        between = F.substring(text, acc["at"] + 1, s["start"] - acc["at"])
-        hidden = F.repeat(F.lit(OTHER), s["end"] - F.greatest(acc["at"], s["start"]))
-        return F.struct(F.concat(acc["out"], between, hidden).alias("out"), F.greatest(acc["at"], s["end"]).alias("at"))
-
-    return F.aggregate(spans, start, step, lambda acc: F.concat(
-        acc["out"], F.substring(text, acc["at"] + 1, F.greatest(F.char_length(text) - acc["at"], F.lit(0)))))
+    return _replaced(text, spans, lambda s, at: F.repeat(F.lit(OTHER), F.greatest(s["end"] - F.greatest(at, s["start"]), F.lit(0))))
 
 
 def disclosing_terms(values: DataFrame, texts: DataFrame) -> DataFrame:
-    """text_hash, terms: the words of a text that reveal too much of a value in it.
+    """text_hash, terms: the words of a text that reveal too much of a value in it, in TERM_BUCKETS lists by hash.
 
     values(entity, text_hash) and texts(text_hash, words): different rows, texts of all documents."""
     per_class = ["n_e", "_a", "_b"]                     # two hashes of the set of texts
@@ -130,19 +184,29 @@ def disclosing_terms(values: DataFrame, texts: DataFrame) -> DataFrame:
                                             F.bit_xor(F.xxhash64("text_hash")).alias("_b"))
     held = stash(values.join(entities, "entity").select("text_hash", *per_class).distinct(), "classes")
     n = float(max(texts.count(), 1))
-    own = F.log(F.lit(n) / F.col("n_e"))
     most = (n + PRIOR) * F.pow(F.col("n_e") / n, F.lit(DISCLOSURE)) * (1 + 1e-9)
     largest = held.agg(F.max(most).alias("most")).first()["most"] or 0.0
     words = (texts.select(F.explode("words").alias("term")).groupBy("term").agg(F.count(F.lit(1)).alias("n_t"))
              .where(F.col("n_t") + PRIOR <= largest))
-    rare = (texts.join(held.select("text_hash").distinct(), "text_hash", "left_semi")
-            .select("text_hash", F.explode("words").alias("term")).join(words, "term"))
-    near = stash(rare.join(held, "text_hash").where(F.col("n_t") + PRIOR <= most), "near")
-    given = (F.col("n_te") + PRIOR * F.col("n_e") / n) / (F.col("n_t") + PRIOR)
-    pmi = F.log(given * n / F.col("n_e"))
+    rare = stash(texts.join(held.select("text_hash").distinct(), "text_hash", "left_semi")
+                 .select("text_hash", F.explode("words").alias("term")).join(words, "term"), "rare")
+
+    def tells(n_te: Column, n_e: Column) -> Column:
+        given = (n_te + PRIOR * n_e / n) / (F.col("n_t") + PRIOR)
+        information = F.log(F.lit(n) / n_e)
+        return (information > 0) & (F.log(given * n / n_e) >= DISCLOSURE * information)
+
+    # a value of one text stands with each of its words once: no pairs to count
+    alone = (rare.join(held.where("n_e = 1").select("text_hash").distinct(), "text_hash", "left_semi")
+             .where(tells(F.lit(1), F.lit(1))).select("text_hash", "term"))
+    near = stash(rare.join(held.where("n_e > 1"), "text_hash").where(F.col("n_t") + PRIOR <= most), "near")
     told = (near.groupBy(*per_class, "term", "n_t").agg(F.count(F.lit(1)).alias("n_te"))
-            .where((own > 0) & (pmi >= DISCLOSURE * own)).select(*per_class, "term"))
-    return near.join(told, [*per_class, "term"]).groupBy("text_hash").agg(F.sort_array(F.collect_set("term")).alias("terms"))
+            .where(tells(F.col("n_te"), F.col("n_e"))).select(*per_class, "term"))
+    both = alone.unionByName(near.join(told, [*per_class, "term"]).select("text_hash", "term")).distinct()
+    bucket = F.pmod(F.xxhash64("term"), F.lit(TERM_BUCKETS)).cast("int")
+    lists = (both.groupBy("text_hash", bucket.alias("b")).agg(F.sort_array(F.collect_list("term")).alias("t"))
+             .groupBy("text_hash").agg(F.map_from_entries(F.collect_list(F.struct("b", "t"))).alias("m")))
+    return lists.select("text_hash", F.transform(F.sequence(F.lit(0), F.lit(TERM_BUCKETS - 1)), lambda b: F.element_at("m", b)).alias("terms"))
 
 
 def annotate(docs: DataFrame) -> DataFrame:
@@ -152,15 +216,15 @@ def annotate(docs: DataFrame) -> DataFrame:
     rest = spotted.where(F.size("_spans") == 0).drop("_hash")
     found = stash(spotted.where(F.size("_spans") > 0), "found")
     masked = _masked(F.translate("text", OPEN + CLOSE, OTHER * 2), F.col("_spans"))
-    entity = F.lower(_cut(F.col("text"), F.col("s")))
-    values = stash(found.select(F.col("_hash").alias("text_hash"), "text", F.explode("_spans").alias("s"))
-                   .select("text_hash", entity.alias("entity")).distinct(), "values")
+    entities = F.array_distinct(_pieces(F.col("text"), F.col("_spans"), lambda cut, s, at: F.lower(cut(s["start"], s["end"]))))
+    values = stash(found.select(F.col("_hash").alias("text_hash"), F.explode(entities).alias("entity")).distinct(), "values")
     words = [found.select("_hash", _words(masked).alias("words")), rest.select(F.xxhash64(text).alias("_hash"), _words(text).alias("words"))]
     texts = stash(words[0].unionByName(words[1]).groupBy(F.col("_hash").alias("text_hash")).agg(F.first("words").alias("words")), "texts")
     terms = disclosing_terms(values, texts).select(F.col("text_hash").alias("_hash"), F.col("terms").alias("_terms"))
     word = F.lit(rf"(?<!\p{{L}})\p{{L}}{{{LETTERS},}}+")
     extra = F.when(F.col("_terms").isNotNull(), _positions(
-        _marked(masked, word), len(KINDS), lambda m: F.array_contains("_terms", F.lower(m))))
+        _marked(masked, word), len(KINDS), lambda m: F.coalesce(F.array_contains(
+            F.get("_terms", F.pmod(F.xxhash64(F.lower(m)), F.lit(TERM_BUCKETS)).cast("int")), F.lower(m)), F.lit(False))))
     full = found.join(terms, "_hash", "left").withColumn(
         "_spans", F.array_sort(F.concat("_spans", F.coalesce(extra, F.array().cast(SPAN)))))
     return full.drop("_hash", "_terms").unionByName(rest)
@@ -183,15 +247,8 @@ def span_digest(docs: DataFrame) -> DataFrame:
 def sanitise(docs: DataFrame) -> DataFrame:
     """`docs` with every span in the texts replaced by its kind in brackets; n_chars, if there, follows."""
     tags = F.array(*[F.lit(f"[{k.upper()}]") for k in [*KINDS, "term"]])
-    start = F.struct(F.lit("").alias("out"), F.lit(0).alias("at"))
-
-    def step(acc: Column, s: Column) -> Column:
-        kept = F.concat(acc["out"], F.substring(F.col("text"), acc["at"] + 1, s["start"] - acc["at"]), F.get(tags, s["kind"]))
-        return F.struct(F.when(s["start"] >= acc["at"], kept).otherwise(acc["out"]).alias("out"),
-                        F.greatest(acc["at"], s["end"]).alias("at"))
-
-    new = F.aggregate("_spans", start, step, lambda acc: F.concat(
-        acc["out"], F.substring(F.col("text"), acc["at"] + 1, F.greatest(F.char_length("text") - acc["at"], F.lit(0)))))
+    # a span that begins inside an earlier one has no tag of its own
+    new = _replaced(F.col("text"), F.col("_spans"), lambda s, at: F.when(s["start"] >= at, F.get(tags, s["kind"])).otherwise(""))
     out = annotate(docs).withColumn("text", F.when(F.size("_spans") > 0, new).otherwise(F.col("text")))
     if "n_chars" in docs.columns:
         out = out.withColumn("n_chars", F.when(F.size("_spans") > 0, F.char_length("text").cast("long")).otherwise(F.col("n_chars")))

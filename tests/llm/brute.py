@@ -156,3 +156,23 @@ def phrases(docs, support=30, first=2000):
             out[lang].append((-score, -a, " ".join(w).encode(), left, right))
     return sorted((lang, i + 1, p.decode(), -a, left, right, n[lang], -score) for lang, rows in out.items()
                   for i, (score, a, p, left, right) in enumerate(sorted(rows)[:first]))
+
+
+def terms(rows, spans_of, letters=4, prior=1.0, disclosure=0.7):
+    """{text: set of disclosing words} by the definition; spans_of(text): (start, end) of the pattern spans."""
+    texts = {t or "" for _, t in rows}
+    found, words_of = {}, {}
+    for t in texts:
+        chars = list(t)
+        for a, b in spans_of(t):
+            chars[a:b] = "\ue002" * (b - a)
+        found[t] = {t[a:b].lower() for a, b in spans_of(t)}
+        words_of[t] = {w.lower() for w in re.findall(r"[^\W\d_]+", "".join(chars)) if len(w) >= letters}
+    n, n_t, n_e, n_te = len(texts), Counter(), Counter(), Counter()
+    for t in texts:
+        n_t.update(words_of[t]), n_e.update(found[t]), n_te.update((w, e) for w in words_of[t] for e in found[t])
+    out = {}
+    for t in texts:
+        out[t] = {w for w in words_of[t] for e in found[t] if n > n_e[e] and math.log(
+            (n_te[w, e] + prior * n_e[e] / n) / (n_t[w] + prior) * n / n_e[e]) >= disclosure * math.log(n / n_e[e])}
+    return out

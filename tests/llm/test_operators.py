@@ -1,6 +1,7 @@
 """The operators against brute force, on the smallest tables and on awkward rows."""
 import hashlib
 import random
+import re
 import zlib
 from array import array
 
@@ -187,6 +188,42 @@ def test_disclosing_terms_of_single_texts(spark):
     assert pii.sanitise(table).where("doc_id = 1").first()["text"].startswith("[TERM]2 please")
 
 
+def test_terms_against_brute_force(spark):
+    """Values of one and of several texts, copies, texts with several values; every term span and no other."""
+    rng = random.Random(9)
+    words = [f"word{chr(97 + i)}{chr(97 + j)}" for i in range(12) for j in range(6)]
+    values = [f"u{i}@host{i % 7}.org" for i in range(25)] + ["10.1.2.3"]
+    plain = []
+    for i in range(160):
+        held = rng.sample(range(len(values)), rng.choice([0, 0, 1, 1, 3]))
+        text = rng.choices(words, [1 + k for k in range(len(words))], k=rng.randrange(12)) + [values[k] for k in held]
+        text += [f"name{chr(97 + k)}" for k in held if rng.random() < 0.9] + ["rare" + chr(97 + i % 26) + chr(97 + i // 26)] * (i % 3 == 0)
+        rng.shuffle(text)
+        plain.append((i, " ".join(text)))
+    plain += [(200 + i, plain[3][1]) for i in range(5)]
+    got = {r["doc_id"]: r["spans"] for r in pii.span_digest(spark.createDataFrame(plain, "doc_id long, text string")).collect()}
+
+    def spans(text):
+        return [(m.start(), m.end()) for m in re.finditer(r"[a-z0-9]+@[a-z0-9]+\.org|10\.1\.2\.3", text)]
+    want = brute.terms(plain, spans)
+    assert sum(map(len, want.values())) > 20
+    for d, text in plain:
+        found = [x.split(":") for x in got[d].split(",") if x.startswith("term:")]
+        inside = [(m.start(), m.end()) for m in re.finditer(r"[a-z]+", text) if m[0] in want[text] and not any(a <= m.start() < b for a, b in spans(text))]
+        assert [(int(a), int(b)) for _, a, b in found] == inside
+
+
+def test_personal_data_of_long_texts(spark):
+    """Very many matches in one text: nothing is rebuilt per match."""
+    n = 12_000
+    text = " ".join(f"write to user{i}@host{i}.example.org" for i in range(n))
+    table = spark.createDataFrame([(1, text), (2, "nothing to see")] + [(3 + i, f"write to number {i}") for i in range(30)], "doc_id long, text string")
+    row = pii.span_digest(table).where("doc_id = 1").first()
+    assert (row["n_email"], row["base_sha256"]) == (n, brute.pii(text)[4])
+    clean = pii.sanitise(table).where("doc_id = 1").first()["text"]
+    assert clean == " ".join(["write to [EMAIL]"] * n)
+
+
 def test_ngram_classes(docs, rows, edge):
     got = {r["doc_id"]: (r["n_shingles"], r["component_id"]) for r in ngram_join.classes(docs).collect()}
     assert got == brute.classes(rows, 4, 85)
