@@ -176,3 +176,39 @@ def terms(rows, spans_of, letters=4, prior=1.0, disclosure=0.7):
         out[t] = {w for w in words_of[t] for e in found[t] if n > n_e[e] and math.log(
             (n_te[w, e] + prior * n_e[e] / n) / (n_t[w] + prior) * n / n_e[e]) >= disclosure * math.log(n / n_e[e])}
     return out
+
+
+def url_tokens(url):
+    found = re.match(r"(?s)^.*?://([^/?#]*)([^?#]*)", url or "")
+    host, path = (re.sub("[A-Z]", lambda m: m[0].lower(), found[1]), found[2]) if found else ("", "")
+    parts = [x for x in host.split(".") if x]
+    out = {f"host {x}" for x in parts} | {f"part {y}" for x in parts if "-" in x for y in x.split("-")}
+    out |= {f"path {x}" for x in path.split("/") if x and not re.fullmatch("[0-9]+", x)} | {f"key {k}" for k in re.findall(r"[?&]([^=&#]+)", url or "")}
+    suffix = re.search(r"\.([A-Za-z]+)$", path)
+    return frozenset(out | ({f"file {suffix[1].lower()}"} if suffix else set()))
+
+
+def url_verdicts(urls, labelled, least=5, floor=0.5, z=1.28):
+    """{url: verdict or None} by every combination of tokens of labelled [(url, label)]."""
+    def subsets(tokens):
+        tokens = sorted(tokens)
+        return [tuple(t for i, t in enumerate(tokens) if bits >> i & 1) for bits in range(1, 1 << len(tokens))]
+
+    n, k, of = Counter(), Counter(), Counter(label for _, label in labelled)
+    for url, label in labelled:
+        for s in subsets(url_tokens(url)):
+            n[s] += 1
+            k[s, label] += 1
+    rules = {}
+    for (s, label), a in k.items():
+        p, m = a / n[s], n[s]
+        bound = (p + z * z / (2 * m) - z * math.sqrt(p * (1 - p) / m + z * z / (4 * m * m))) / (1 + z * z / m)
+        if a >= least and bound >= floor and bound > of[label] / len(labelled):
+            rules[s, label] = bound
+    kept = {(s, label): b for (s, label), b in rules.items() if not any(rules.get((t, label), 0) >= b for t in subsets(s) if t != s)}
+    out = {}
+    for url in urls:
+        tokens = url_tokens(url)
+        fit = [(-b, -n[s], len(s), list(s), label) for (s, label), b in kept.items() if set(s) <= tokens]
+        out[url] = min(fit)[4] if fit else None
+    return out

@@ -299,11 +299,44 @@ def test_url_rules(spark, labels):
     assert url_rules.judge(pages.limit(0), labels).count() == 0
 
 
-def test_mined_rules_follow_tokens(spark, labels):
-    rows = [(i, f"http://ads-{i % 5}.shop.com/en/{i}") for i in range(100)] + [(100 + i, f"http://news.site.net/de/{i}") for i in range(100)]
-    pages = spark.createDataFrame(rows + [(900, "http://ads-1.shop.com/fr/1"), (901, "http://news.site.net/fr/1")], "page_id long, url string")
-    got = {r["page_id"]: r["verdict"] for r in url_rules.judge(pages, labels.limit(0)).where("page_id >= 900").collect()}
-    assert got == {900: "block", 901: "allow"}
+def _url_labels(spark, bad):
+    return spark.createDataFrame([(i, int(not b), int(b)) for i, b in bad], "doc_id long, quality int, toxic int")
+
+
+def test_mined_rules_against_brute_force(spark):
+    """All combinations of tokens counted by hand; fixed verdicts are no labels."""
+    rng = random.Random(6)
+    urls = []
+    for i in range(400):
+        host, lang = rng.choice(["ads-x.a.com", "ads-y.b.net", "news.c.net", "blog.d.org", "blog.e.edu"]), rng.choice(["fr", "it", "en"])
+        urls.append((i, f"http://{host}/{lang}/{i % 50}" + rng.choice(["", "?page=2", "?ref=x&page=1", "/v2/a.html"])))
+    urls += [(500, None), (501, "no scheme"), (502, urls[0][1]), (503, urls[0][1])]
+    bad = [(i, rng.random() < (0.85 if "ads-" in u else 0.1 if "blog" in u else 0.5)) for i, u in urls[:300]]
+    pages = spark.createDataFrame(urls, "page_id long, url string").withColumn("row", F.lit("clash")).withColumn("anchor", F.lit("clash"))
+    got = url_rules.judge(pages, _url_labels(spark, bad)).collect()
+    assert len(got) == len(urls)
+    fixed = {r["page_id"]: r["rule"] for r in got}
+    text, flags = dict(urls), dict(bad)
+    want = brute.url_verdicts(list(text.values()), [(text[i], "block" if flags[i] else "allow") for i, _ in urls[:300] if fixed[i] is None])
+    assert {"block", "allow", None} <= set(want.values())
+    for r in got:
+        if r["rule"] is None:
+            assert r["verdict"] == (want[text[r["page_id"]]] or "allow") and r["mined"] == (want[text[r["page_id"]]] is not None)
+
+
+def test_rare_hosts_in_large_tables(spark):
+    """The support of a rule is a number of pages: a rare host is learned beside very many others."""
+    rows = [(i, f"http://h{i % 40}.site.edu/fr/{i}") for i in range(4000)] + [(9000 + i, f"http://rare-spam.site.edu/fr/{i}") for i in range(12)]
+    pages, table = spark.createDataFrame(rows, "page_id long, url string"), _url_labels(spark, [(i, False) for i in range(4000)] + [(9000 + i, True) for i in range(10)])
+    got = {r["page_id"]: r["verdict"] for r in url_rules.judge(pages, table).where("page_id >= 9000").collect()}
+    assert set(got.values()) == {"block"} and len(got) == 12
+
+
+def test_url_labels_empty_and_clashing(spark, labels):
+    pages = spark.createDataFrame([(3, "http://a.edu/fr"), (None, "http://a.edu/fr")], "page_id long, url string")
+    empty = labels.limit(0).withColumn("page_id", F.lit(1)).withColumn("url", F.lit("clash")).withColumn("items", F.lit("clash"))
+    for table in (empty, labels.withColumn("url", F.lit("clash"))):
+        assert [(r["verdict"], r["mined"]) for r in url_rules.judge(pages, table).collect()] == [("allow", False)] * 2
 
 
 def test_common_lines():
