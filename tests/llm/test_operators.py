@@ -371,6 +371,60 @@ def test_page_text(spark):
     assert html_diff.extract(table).count() == len(pages) and html_diff.extract(table.limit(0)).count() == 0
 
 
+def test_template_inside_articles(spark):
+    """A line on most pages of a host goes from its articles; a passage that some of them quote stays."""
+    quote = "<p>A passage that two articles quote</p>"
+    pages = [(i, f"http://t.org/a/{i:02d}", f"<article><p>Read more stories on this site</p><p>Own words {'n' * (i + 3)}</p>{quote if i in (2, 3) else ''}"
+                                            f"<p>Written by the staff</p></article>") for i in range(8)]
+    pages += [(20 + i, f"http://few.org/{i}", f"<article><p>Same line of few pages</p><p>Own {'m' * (i + 3)}</p></article>") for i in range(3)]
+    out = html_diff.extract(spark.createDataFrame(pages, "page_id long, url string, html string"))
+    got = {r["page_id"]: r for r in out.collect()}
+    for i in range(8):
+        assert got[i]["text"] == f"Own words {'n' * (i + 3)}" + (" A passage that two articles quote" if i in (2, 3) else "")
+        assert (got[i]["n_template"], got[i]["n_open"]) == (2, 2)
+    assert all(got[20 + i]["text"] == f"Same line of few pages Own {'m' * (i + 3)}" for i in range(3))
+
+
+@pytest.mark.parametrize("partitions", [1, 8])
+def test_hosts_of_copies(spark, partitions):
+    """Copies beside each other count as one page; the next different page decides, in any cut of the order."""
+    page = "<p>Short menu line of this host</p><p>Short footer</p><p>{0}</p>"
+    pages = [(i, f"http://c.org/b/{i:03d}", page.format("the copied text of all of these")) for i in range(6)]
+    pages += [(100, "http://c.org/a", page.format("first own text")), (101, "http://c.org/c", page.format("last own text"))]
+    table = spark.createDataFrame(pages, "page_id long, url string, html string")
+    spark.conf.set("spark.sql.shuffle.partitions", partitions)
+    try:
+        got = {r["page_id"]: r["text"] for r in html_diff.extract(table).collect()}
+    finally:
+        spark.conf.set("spark.sql.shuffle.partitions", 8)
+    assert got[100] == "first own text" and got[101] == "last own text" and len(got) == len(pages)
+    assert {got[i] for i in range(6)} == {"the copied text of all of these"}
+
+
+def test_lines_of_a_brute_force_alignment(spark):
+    """The lines left on random hosts, against an alignment table and counts written out."""
+    rng = random.Random(8)
+    lines = [f"line {chr(97 + i) * (4 + i)}" for i in range(14)]
+    pages = [(i, f"http://h{i % 3}.org/{i:03d}", "".join(f"<p>{x}</p>" for x in ["menu of the host"] + rng.choices(lines, k=rng.randrange(3, 9)) + [f"own {i}"])) for i in range(60)]
+    got = {r["page_id"]: r["text"] for r in html_diff.extract(spark.createDataFrame(pages, "page_id long, url string, html string")).collect()}
+    for h in range(3):
+        host = [(i, u, re.findall("<p>(.*?)</p>", t)) for i, u, t in pages if i % 3 == h]
+        template = {x for x in {y for *_, ls in host for y in ls} if sum(x in ls for *_, ls in host) >= max(5, len(host) / 2)}
+        for at, (i, url, ls) in enumerate(host):
+            around = [host[j] for j in (at - 1, at + 1) if 0 <= j < len(host)]
+            path = url[len("http://h0.org"):]
+            around.sort(key=lambda p: -next((k for k in range(4) if p[1][len("http://h0.org"):][k] != path[k]), 4))
+            gone = None
+            for n, (_, _, other) in enumerate(around):
+                shared = html_diff.common(ls, other)
+                if n == 0:
+                    gone = {k for k in shared if ls[k] in template}
+                if sum(len(ls[k]) for k in shared if ls[k] not in template) < html_diff.COPY_SHARE * max(1, sum(len(x) for x in ls if x not in template)):
+                    gone = set(shared)
+                    break
+            assert got[i] == " ".join(x for k, x in enumerate(ls) if k not in gone)
+
+
 def test_media_round_trip(rows):
     texts = [(t or "").encode() for _, t in rows] + [(t or "").encode() for _, t, _, _ in EDGE] + [bytes(range(256)) * 300, b"abc\n" * 40000, b"ab" * 500]
     payloads = [webp.padded(t) for t in texts]
