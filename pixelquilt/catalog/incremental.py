@@ -5,6 +5,7 @@ from pyspark.sql import functions as F
 
 from ..plans import incremental as I
 from .base import Tables, query
+from .planning import NEWEST, newest
 
 
 def _sets(t: Tables):
@@ -42,12 +43,12 @@ def left_over_parts(t: Tables):
     return I.left_over(present, t.read("customer").where("c_mktsegment = 'BUILDING'").select(F.col("c_custkey").alias("part")))
 
 
-EXIST = "(SELECT DISTINCT l_suppkey AS cell, l_linenumber AS layer FROM lineitem WHERE l_discount = 0.05 AND l_tax = 0.04)"
+EXIST = f"(SELECT l_suppkey AS cell, l_linenumber AS layer FROM {NEWEST} WHERE l_quantity <= 40)"
 
 
 @query("C17", f"""SELECT s_suppkey AS cell, s_suppkey IN (SELECT cell FROM {EXIST} WHERE layer <= 3 GROUP BY cell HAVING count(*) = 3) AS complete FROM supplier""")
 def complete_cells(t: Tables):
-    have = t.read("lineitem").where("l_discount = 0.05D AND l_tax = 0.04D").select(F.col("l_suppkey").alias("cell"), F.col("l_linenumber").cast("string").alias("layer"))
+    have = newest(t).where("quantity <= 40").select("cell", F.col("line").cast("string").alias("layer"))
     cells = t.read("supplier").select(F.col("s_suppkey").alias("cell"))
     need = ["1", "2", "3"]
     full = cells.join(I.complete_cells(have, need), "cell", "left_semi").withColumn("complete", F.lit(True))

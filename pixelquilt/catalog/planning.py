@@ -61,18 +61,26 @@ def cell_categories(t: Tables):
     return C.category_counts(C.plan_cells(_area(t), TARGET, 20.0, WMAX)).select(F.col("pos").cast("int").alias("pos"), "category", "n")
 
 
-EXISTING_SQL = """(SELECT DISTINCT l_suppkey AS cell, CASE l_linenumber WHEN 1 THEN 'Embedding' WHEN 2 THEN 'S1' WHEN 3 THEN 'S2' WHEN 4 THEN 'DEM'
- WHEN 5 THEN 'GEDI' WHEN 6 THEN 'Tolan_1m' ELSE 'ETH' END AS layer FROM lineitem WHERE l_discount = 0.1 AND l_tax = 0.08)"""
+# a layer of a cell is there if the newest of its rows says so
+NEWEST = "(SELECT * FROM lineitem QUALIFY row_number() OVER (PARTITION BY l_suppkey, l_linenumber ORDER BY l_shipdate DESC, l_orderkey DESC) = 1)"
+EXISTING_SQL = f"""(SELECT l_suppkey AS cell, CASE l_linenumber WHEN 1 THEN 'Embedding' WHEN 2 THEN 'S1' WHEN 3 THEN 'S2' WHEN 4 THEN 'DEM'
+ WHEN 5 THEN 'GEDI' WHEN 6 THEN 'Tolan_1m' ELSE 'ETH' END AS layer FROM {NEWEST} WHERE l_quantity <= 25)"""
 JOB_CELLS_SQL = f"(SELECT ord AS cell, CASE WHEN col < 4 THEN 'aoi' ELSE 'ring' END AS role, water < 0.9 AS use FROM {CELLS})"
 MISSING_SQL = f"""(SELECT c.cell, c.role, w.layer FROM {JOB_CELLS_SQL} c
  JOIN (SELECT unnest(['Embedding', 'DEM', 'S1', 'S2', 'GEDI', 'Tolan_1m', 'UMD', 'ETH']) AS layer) w
  ON c.role = 'aoi' OR w.layer NOT IN ('Tolan_1m', 'UMD', 'ETH') ANTI JOIN {EXISTING_SQL} e ON e.cell = c.cell AND e.layer = w.layer)"""
 
 
+def newest(t: Tables) -> DataFrame:
+    """cell, line, quantity: the newest row of every cell and line number."""
+    last = F.struct("l_shipdate", "l_orderkey")
+    return (t.read("lineitem").groupBy(F.col("l_suppkey").alias("cell"), F.col("l_linenumber").alias("line"))
+            .agg(F.max_by("l_quantity", last).alias("quantity")))
+
+
 def _existing(t: Tables) -> DataFrame:
     names = F.array(*[F.lit(x) for x in ("Embedding", "S1", "S2", "DEM", "GEDI", "Tolan_1m", "ETH")])
-    return t.read("lineitem").where("l_discount = 0.1D AND l_tax = 0.08D").select(
-        F.col("l_suppkey").alias("cell"), names[F.least("l_linenumber", F.lit(7)) - 1].alias("layer")).distinct()
+    return newest(t).where("quantity <= 25").select("cell", names[F.least("line", F.lit(7)) - 1].alias("layer"))
 
 
 def _missing(t: Tables) -> DataFrame:

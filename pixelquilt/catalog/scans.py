@@ -251,16 +251,12 @@ def labelled_tiles(t: Tables):
     return index.join(sums, "chip").select(*big("chip"), "x", "y", "n", "pixels", "labelled", "total")
 
 
-@query("A13 E32 U1", """WITH cache AS (SELECT l_suppkey AS cell, arg_max(l_quantity / 100, l_orderkey * 100 + l_linenumber * 10000000000 + l_partkey)
-  AS water FROM lineitem WHERE l_discount = 0.1 AND l_tax = 0.08 AND l_returnflag = 'A' AND l_linestatus = 'F' GROUP BY l_suppkey)
- SELECT cell, water FROM cache UNION ALL SELECT s_suppkey, 0.5 FROM supplier WHERE s_suppkey NOT IN (SELECT cell FROM cache)""")
+@query("A13 E32 U1", """WITH cache AS (SELECT o_custkey AS cell, arg_max(o_totalprice / 1000000, o_orderkey) AS water FROM orders GROUP BY o_custkey)
+ SELECT cell, water FROM cache UNION ALL SELECT c_custkey * 2, 0.5 FROM customer WHERE c_custkey * 2 NOT IN (SELECT cell FROM cache)""")
 def landcover_cache(t: Tables):
-    order = F.col("l_orderkey") * 100 + F.col("l_linenumber") * F.lit(10000000000) + F.col("l_partkey")
-    cache = t.read("lineitem").where(
-        "l_discount = 0.1D AND l_tax = 0.08D AND l_returnflag = 'A' AND l_linestatus = 'F'").select(
-        F.col("l_suppkey").alias("cell"), (F.col("l_quantity") / 100).alias("water"), F.lit(0.0).alias("built"),
-        F.lit(0.0).alias("tree"), order.alias("ord"))
-    cells = t.read("supplier").select(F.col("s_suppkey").alias("cell"))
+    cache = t.read("orders").select(F.col("o_custkey").alias("cell"), (F.col("o_totalprice") / 1000000).alias("water"), F.lit(0.0).alias("built"),
+                                    F.lit(0.0).alias("tree"), F.col("o_orderkey").alias("ord"))
+    cells = t.read("customer").select((F.col("c_custkey") * 2).alias("cell"))       # half of them are not in the cache
     lookup = cells.select("cell", F.lit(0.5).alias("water"), F.lit(0.0).alias("built"), F.lit(0.0).alias("tree"))
     return upsert_landcover(cache, lookup, cells).select("cell", "water")
 
