@@ -37,3 +37,11 @@ def forest_accuracy(t: Tables):
 def forest_prediction(t: Tables):
     px, (model, _) = _forest(t)
     return forest_map(model, px, px.where("label > 2").select("r", "c"))
+
+
+@query("F6 F7", f"SELECT r, c, true AS within FROM {EMB} WHERE label > 2 AND len(list_filter(embedding, lambda x: x <> 0)) > 0")
+def forest_scored_pixels(t: Tables):
+    """Which pixels the forest scores, and that each score lies between the labels it was trained on."""
+    px, (model, _) = _forest(t)
+    lowest, highest = (px.where("label > 0").agg(f("label")).scalar() for f in (F.min, F.max))
+    return forest_map(model, px, px.where("label > 2").select("r", "c")).select("r", "c", F.col("p").between(lowest, highest).alias("within"))

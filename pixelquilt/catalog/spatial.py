@@ -30,6 +30,12 @@ def area_mask(t: Tables):
     return t.raster.join(any_part, ["r", "c"], "left").select("r", "c", "v", F.coalesce("_in", F.lit(False)).alias("inside"))
 
 
+@query("A17 B14", f"SELECT r, c, v, class FROM {RASTER} p SEMI JOIN {INSIDE} i ON i.r = p.r AND i.c = p.c")
+def clipped_layer(t: Tables):
+    """A layer restricted to the study areas by the runs of their rows."""
+    return S.clip(t.raster, area_edges(t), 0.0, 0.0)
+
+
 @query("C19 I1 E32", f"SELECT r, count(DISTINCT c) AS n FROM {INSIDE} GROUP BY r")
 def dissolved_area(t: Tables):
     rows = t.raster.agg(F.max("r").alias("r")).scalar()

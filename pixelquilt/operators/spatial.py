@@ -64,6 +64,21 @@ def pixels_in_polygon(px: DataFrame, edges: DataFrame, x0: float, y1: float, res
     return px.join(span_pixels(polygon_spans(edges, x0, y1, res, key), keys=[key]), ["r", "c"])
 
 
+def clip_to_runs(layer: DataFrame, runs: DataFrame, keys: list[str] = ()) -> DataFrame:
+    """Layer pixels (keys, r, c, ...) inside runs (keys, r, c0, c1) that do not overlap in a row: an as-of look at the run
+    that began last in the row. No pixel of the mask is made; the layer is shuffled once, by its rows."""
+    marks = runs.select(*keys, F.col("r"), F.col("c0").alias("c"), F.col("c1").alias("_end"), F.lit(True).alias("_run"))
+    both = layer.withColumn("_run", F.lit(False)).unionByName(marks, allowMissingColumns=True)
+    # a run stands before the pixel it begins with
+    upto = Window.partitionBy(*keys, "r").orderBy("c", F.col("_run").desc()).rowsBetween(Window.unboundedPreceding, 0)
+    return both.withColumn("_end", F.last("_end", True).over(upto)).where(~F.col("_run") & (F.col("_end") >= F.col("c"))).drop("_end", "_run")
+
+
+def clip(layer: DataFrame, edges: DataFrame, x0: float, y1: float, res: float = RES) -> DataFrame:
+    """Pixels (r, c, ...) of a layer on the grid of (x0, y1) whose centres lie in any of the polygons."""
+    return clip_to_runs(layer, dissolve(polygon_spans(edges, x0, y1, res)))
+
+
 def covers_pixels(edges: DataFrame, x0: float, y1: float, need: int, res: float = RES) -> bool:
     """Does the area contain at least `need` pixel centres; stops counting there."""
     return span_pixels(polygon_spans(edges, x0, y1, res), keys=[]).limit(need).count() >= need
@@ -240,5 +255,5 @@ def region_share(area_px: DataFrame, region_px: DataFrame) -> DataFrame:
     return share.select("inside", note.alias("note"))
 
 
-__all__ = ["polygon_spans", "dissolve", "span_pixels", "pixels_in_polygon", "covers_pixels", "study_grid", "polygon_area",
+__all__ = ["polygon_spans", "dissolve", "span_pixels", "pixels_in_polygon", "clip", "clip_to_runs", "covers_pixels", "study_grid", "polygon_area",
            "polygon_centroid", "cells_in_area", "footprint_pairs", "region_share"]

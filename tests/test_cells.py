@@ -5,7 +5,7 @@ import numpy as np
 import pytest
 from pyspark.sql import functions as F
 
-from pixelquilt.operators.spatial import (cells_in_area, covers_pixels, footprint_pairs, polygon_area, polygon_spans,
+from pixelquilt.operators.spatial import (cells_in_area, clip, clip_to_runs, covers_pixels, footprint_pairs, polygon_area, polygon_spans,
                                           region_share, span_pixels, study_grid)
 from pixelquilt.plans import cells as C
 from pixelquilt.plans import downloads as D
@@ -180,6 +180,21 @@ def test_pixel_masks(spark):
     assert covers_pixels(e, 0.0, 0.0, 10) and not covers_pixels(edges(spark, [(box(1.0, -4.0, 3.0, -2.0), False)]), 0.0, 0.0, 1)
 
 
+def test_clip_by_runs(spark):
+    """The run clip keeps what the pixel mask keeps, for overlapping parts and pixels beyond them, and makes no pixel."""
+    rng = np.random.default_rng(3)
+    e = edges(spark, [(star(rng, 30, 400.0, -300.0, 300.0), False, "a"), (star(rng, 9, 600.0, -400.0, 250.0), False, "b"), (box(20.0, -90.0, 95.0, -15.0), False, "c")])
+    layer = spark.range(120 * 90).select(F.floor(F.col("id") / 120).alias("r"), (F.col("id") % 120).alias("c"), F.col("id").alias("v"))
+    want = {(r["r"], r["c"]) for r in span_pixels(polygon_spans(e, 0.0, 0.0), 90, 120, []).collect()}
+    rows = clip(layer, e, 0.0, 0.0).collect()
+    assert {(r["r"], r["c"]) for r in rows} == want and len(rows) == len(want) > 500
+    assert all(r["v"] == r["r"] * 120 + r["c"] for r in rows)
+    runs = spark.createDataFrame([(0, 3, 5), (0, 9, 9), (2, 0, 119)], "r long, c0 long, c1 long")
+    cut = clip_to_runs(layer, runs)
+    assert sorted((r["r"], r["c"]) for r in cut.collect()) == [(0, 3), (0, 4), (0, 5), (0, 9)] + [(2, c) for c in range(120)]
+    assert "Generate" not in cut._jdf.queryExecution().executedPlan().toString() and clip_to_runs(layer, runs.limit(0)).count() == 0
+
+
 def test_region_share(spark):
     px = spark.range(1000).select((F.col("id") % 10).alias("c"), F.floor(F.col("id") / 10).alias("r"))
     for cut, note in ((10, "inside"), (4, "partial"), (0, "outside")):
