@@ -49,35 +49,43 @@ def _interpolated(values: Column, n: Column, q: float) -> Column:
 def _split_quantiles(df: DataFrame, keys: list[str], spec: dict, biggest: int, limit: int) -> DataFrame:
     """Exact interpolated percentiles of groups of any size.
 
-    Equal values are counted first (their copies collapse before the shuffle), a mergeable sketch cuts every group
-    into value ranges of about `limit` distinct values, the counts of the ranges tell which range holds each wanted
-    rank, and only those ranges are sorted. The sketch decides the balance, never the result.
+    Equal values are counted first (their copies collapse before the shuffle). If no group has more than `limit` different
+    ones, a running count finds the ranks. Otherwise a mergeable sketch cuts every group into value ranges of about
+    `limit` distinct values, the counts of the ranges tell which range holds each wanted rank, and only those ranges are
+    sorted. The sketch decides the balance, never the result.
     """
     columns = sorted({c for c, _ in spec.values()})
     by = [*keys, "_col"]
     pairs = F.array(*[F.struct(F.lit(c).alias("_col"), F.col(c).cast("double").alias("_v")) for c in columns])
     counts = stash(df.select(*keys, F.explode(pairs).alias("_p")).select(*keys, "_p.*").where("_v IS NOT NULL")
                    .groupBy(*by, "_v").agg(F.count(F.lit(1)).alias("_n")), "counts")
-    slots = min(MAX_SLOTS, max(2, math.ceil(biggest / limit)))
-    cuts = F.percentile_approx("_v", F.array(*[F.lit(i / slots) for i in range(1, slots)]), max(10_000, 20 * slots))
-    bounds = counts.groupBy(*by).agg(cuts.alias("_cuts"), F.sum("_n").alias("_total"))
-    placed = counts.join(bounds, by).withColumn(
-        "_slot", F.size(F.filter("_cuts", lambda c: c < F.col("_v")))).drop("_cuts")
-    before = Window.partitionBy(*by).orderBy("_slot").rowsBetween(Window.unboundedPreceding, -1)
     ranks = F.array_distinct(F.flatten(F.array(*[
         F.array(F.floor(F.lit(q) * (F.col("_total") - 1)).cast("long"),
                 F.ceil(F.lit(q) * (F.col("_total") - 1)).cast("long"))
         for q in sorted({q for _, q in spec.values()})])))
-    wanted = (placed.groupBy(*by, "_slot").agg(F.sum("_n").alias("_rows"), F.first("_total").alias("_total"))
-              .withColumn("_before", F.coalesce(F.sum("_rows").over(before), F.lit(0)))
-              .withColumn("_ranks", F.filter(ranks, lambda r: (r >= F.col("_before"))
-                                             & (r < F.col("_before") + F.col("_rows"))))
-              .where(F.size("_ranks") > 0).drop("_rows", "_total"))
-    within = Window.partitionBy(*by, "_slot").orderBy("_v").rowsBetween(Window.unboundedPreceding, 0)
-    found = (placed.join(wanted, [*by, "_slot"])
-             .withColumn("_end", F.col("_before") + F.sum("_n").over(within))
-             .withColumn("_rank", F.explode("_ranks"))
-             .where((F.col("_rank") >= F.col("_end") - F.col("_n")) & (F.col("_rank") < F.col("_end"))))
+    if (counts.groupBy(*by).count().agg(F.max("count")).first()[0] or 0) <= limit:
+        # few distinct values in every group, however many rows: ranks straight from the running counts
+        group = Window.partitionBy(*by)
+        upto = group.orderBy("_v").rowsBetween(Window.unboundedPreceding, 0)
+        found = (counts.withColumn("_total", F.sum("_n").over(group)).withColumn("_end", F.sum("_n").over(upto))
+                 .withColumn("_rank", F.explode(F.filter(ranks, lambda r: (r >= F.col("_end") - F.col("_n")) & (r < F.col("_end"))))))
+    else:
+        slots = min(MAX_SLOTS, max(2, math.ceil(biggest / limit)))
+        cuts = F.percentile_approx("_v", F.array(*[F.lit(i / slots) for i in range(1, slots)]), max(10_000, 20 * slots))
+        bounds = counts.groupBy(*by).agg(cuts.alias("_cuts"), F.sum("_n").alias("_total"))
+        placed = counts.join(bounds, by).withColumn(
+            "_slot", F.size(F.filter("_cuts", lambda c: c < F.col("_v")))).drop("_cuts")
+        before = Window.partitionBy(*by).orderBy("_slot").rowsBetween(Window.unboundedPreceding, -1)
+        wanted = (placed.groupBy(*by, "_slot").agg(F.sum("_n").alias("_rows"), F.first("_total").alias("_total"))
+                  .withColumn("_before", F.coalesce(F.sum("_rows").over(before), F.lit(0)))
+                  .withColumn("_ranks", F.filter(ranks, lambda r: (r >= F.col("_before"))
+                                                 & (r < F.col("_before") + F.col("_rows"))))
+                  .where(F.size("_ranks") > 0).drop("_rows", "_total"))
+        within = Window.partitionBy(*by, "_slot").orderBy("_v").rowsBetween(Window.unboundedPreceding, 0)
+        found = (placed.join(wanted, [*by, "_slot"])
+                 .withColumn("_end", F.col("_before") + F.sum("_n").over(within))
+                 .withColumn("_rank", F.explode("_ranks"))
+                 .where((F.col("_rank") >= F.col("_end") - F.col("_n")) & (F.col("_rank") < F.col("_end"))))
     per_column = found.groupBy(*keys).agg(*[
         item for c in columns for item in (
             # at most two ranks per wanted percentile
