@@ -255,9 +255,8 @@ def test_scores(docs, rows):
         assert r["base_score"] == pytest.approx(want[4], rel=1e-9) and r["score"] == pytest.approx(want[5], rel=1e-7)
 
 
-def test_scores_keep_all_pairs(docs, rows, monkeypatch):
-    """The model has no size above which pairs go."""
-    monkeypatch.setattr(ppm, "NODES", 64, raising=False)
+def test_scores_of_a_subset(docs, rows):
+    """The model holds all pairs of the texts it is given, and of no others."""
     part = sorted(rows)[:30]
     table = docs.where(F.col("doc_id").isin([d for d, _ in part]))
     want = brute.unigrams_and_ppm(part)
