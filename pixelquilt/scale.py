@@ -7,6 +7,8 @@ group) and global numbering (an unpartitioned window is one task). Both are solv
 from __future__ import annotations
 
 import math
+from functools import reduce
+from operator import and_
 
 from pyspark.sql import Column, DataFrame, Window, functions as F
 
@@ -30,6 +32,13 @@ def hot_groups(df: DataFrame, keys: list[str], limit: int):
     return rows, max((r["_n"] for r in rows), default=0)
 
 
+def null_safe_join(left: DataFrame, right: DataFrame, keys: list[str], how: str = "inner") -> DataFrame:
+    """Join by name in which a NULL key meets a NULL key."""
+    named = right.withColumnsRenamed({k: f"_on_{k}" for k in keys})
+    same = reduce(and_, (F.col(k).eqNullSafe(F.col(f"_on_{k}")) for k in keys))
+    return left.join(named, same, how).drop(*[f"_on_{k}" for k in keys])
+
+
 def quantile_of_sorted(values: Column, q: float) -> Column:
     """Linearly interpolated percentile of a sorted array; NULL when it is empty."""
     pos = F.lit(float(q)) * (F.size(values) - 1)
@@ -73,7 +82,7 @@ def _split_quantiles(df: DataFrame, keys: list[str], spec: dict, biggest: int, l
         slots = min(MAX_SLOTS, max(2, math.ceil(biggest / limit)))
         cuts = F.percentile_approx("_v", F.array(*[F.lit(i / slots) for i in range(1, slots)]), max(10_000, 20 * slots))
         bounds = counts.groupBy(*by).agg(cuts.alias("_cuts"), F.sum("_n").alias("_total"))
-        placed = counts.join(bounds, by).withColumn(
+        placed = null_safe_join(counts, bounds, by).withColumn(
             "_slot", F.size(F.filter("_cuts", lambda c: c < F.col("_v")))).drop("_cuts")
         before = Window.partitionBy(*by).orderBy("_slot").rowsBetween(Window.unboundedPreceding, -1)
         wanted = (placed.groupBy(*by, "_slot").agg(F.sum("_n").alias("_rows"), F.first("_total").alias("_total"))
@@ -82,7 +91,7 @@ def _split_quantiles(df: DataFrame, keys: list[str], spec: dict, biggest: int, l
                                                  & (r < F.col("_before") + F.col("_rows"))))
                   .where(F.size("_ranks") > 0).drop("_rows", "_total"))
         within = Window.partitionBy(*by, "_slot").orderBy("_v").rowsBetween(Window.unboundedPreceding, 0)
-        found = (placed.join(wanted, [*by, "_slot"])
+        found = (null_safe_join(placed, wanted, [*by, "_slot"])
                  .withColumn("_end", F.col("_before") + F.sum("_n").over(within))
                  .withColumn("_rank", F.explode("_ranks"))
                  .where((F.col("_rank") >= F.col("_end") - F.col("_n")) & (F.col("_rank") < F.col("_end"))))
@@ -103,7 +112,7 @@ def group_quantiles(df: DataFrame, keys: list[str], spec: dict, aggregates: list
 
     spec: {output name: (column, q in 0..1)}; aggregates: further constant-size aggregates of the same groups.
     Groups of at most `limit` rows are collected and sorted in one aggregation (about twice as fast as the percentile
-    aggregate, whose buffers are hash maps); larger ones are split by value (_split_quantiles). Keys must not be NULL. probe: a cheaper table that bounds the group sizes from above (for instance the unfiltered scan), counted by
+    aggregate, whose buffers are hash maps); larger ones are split by value (_split_quantiles). NULL keys are groups. probe: a cheaper table that bounds the group sizes from above (for instance the unfiltered scan), counted by
     probe_keys, a subset of the keys.
     """
     keys = list(keys)
@@ -128,7 +137,7 @@ def group_quantiles(df: DataFrame, keys: list[str], spec: dict, aggregates: list
         else:
             rest = part.select(*keys).distinct()
         extra = [c for c in rest.columns if c not in keys]
-        return rest.join(quantiles, keys, "left").select(*keys, *spec, *extra)
+        return null_safe_join(rest, quantiles, keys, "left").select(*keys, *spec, *extra)
 
     if rows == []:
         return plain(df)
@@ -136,8 +145,8 @@ def group_quantiles(df: DataFrame, keys: list[str], spec: dict, aggregates: list
         return split(df)
     listed = df.sparkSession.createDataFrame([tuple(r)[:-1] for r in rows], df.select(*on).schema)
     hot = F.broadcast(listed)                           # at most HOT_GROUPS rows
-    return (plain(df.join(hot, on, "left_anti"))
-            .unionByName(split(df.join(hot, on, "left_semi"))))
+    return (plain(null_safe_join(df, hot, on, "left_anti"))
+            .unionByName(split(null_safe_join(df, hot, on, "left_semi"))))
 
 
 def numbered(df: DataFrame, order: list, name: str = "ord") -> DataFrame:

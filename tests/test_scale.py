@@ -117,3 +117,18 @@ def test_every_nth_and_top_k(spark):
     assert sorted(r["id"] for r in every_nth(df, ["id"], 7).collect()) == list(range(0, 50, 7))
     top = top_k(df, ["g"], [F.desc("id")], 2).collect()
     assert sorted(r["id"] for r in top) == list(range(42, 50))
+
+
+@pytest.mark.parametrize("distinct", [50, 5000])
+def test_hot_null_keys(spark, distinct):
+    """A NULL key is a group like others, split when it is hot."""
+    df = spark.range(9000).select(F.when(F.col("id") % 3 > 0, F.col("id") % 3).alias("k"), F.when(F.col("id") % 2 == 0, "x").alias("h"),
+                                  (F.col("id") * 7919 % distinct).cast("double").alias("v"))
+    rows = df.collect()
+    for limit in (10_000, 1000, 100):
+        got = {(r["k"], r["h"]): (r["q"], r["n"]) for r in group_quantiles(df, ["k", "h"], {"q": ("v", 0.3)}, [F.count(F.lit(1)).alias("n")], limit=limit).collect()}
+        want = {}
+        for key in {(r["k"], r["h"]) for r in rows}:
+            values = [r["v"] for r in rows if (r["k"], r["h"]) == key]
+            want[key] = (pytest.approx(np.percentile(values, 30)), len(values))
+        assert got == want and (None, None) in got
