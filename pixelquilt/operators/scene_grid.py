@@ -50,15 +50,18 @@ def target_pixels(cells: DataFrame, pairs: DataFrame, scenes: DataFrame, n: int,
 
     cells: cell, epsg, x0, y1 (corner of the cell without halo); pairs: sid, cell; scenes: sid, epsg, affine."""
     m = n + 2 * halo
-    rows = (cells.select("cell", F.col("epsg").cast("int").alias("epsg"), "x0", "y1").withColumn("r", F.explode(F.sequence(F.lit(0), F.lit(m - 1)))))
+    # the scenes of a cell travel with its rows, so the pixels of the grid meet no table
+    seen = (pairs.join(scenes.select("sid", F.col("epsg").cast("int").alias("_zone"), "affine"), "sid")
+            .groupBy("cell").agg(F.collect_list(F.struct("sid", "_zone", "affine")).alias("_s")))
+    rows = (cells.select("cell", F.col("epsg").cast("int").alias("epsg"), "x0", "y1").join(seen, "cell")
+            .withColumn("r", F.explode(F.sequence(F.lit(0), F.lit(m - 1)))))
     grid = spread(rows, "cell", "r").withColumn("c", F.explode(F.sequence(F.lit(0), F.lit(m - 1))))
     x = pixel_centre(F.col("x0") - halo * res, F.col("c"), res)
     y = pixel_centre(F.col("y1") + halo * res, F.col("r"), res, downwards=True)
-    centres = grid.select("cell", "epsg", "r", "c", x.alias("x"), y.alias("y"))
+    centres = grid.select("cell", "epsg", "r", "c", x.alias("x"), y.alias("y"), "_s")
     lon, lat = utm_inverse(F.col("x"), F.col("y"), F.col("epsg"))
     named = centres.withColumn("_lon", lon).withColumn("_lat", lat)            # once a pixel, not once a scene
-    seen = pairs.join(scenes.select("sid", F.col("epsg").cast("int").alias("_zone"), "affine"), "sid")
-    each = named.join(seen, "cell")
+    each = named.withColumn("_s", F.explode("_s")).select("cell", "epsg", "r", "c", "x", "y", "_lon", "_lat", "_s.*")
     other = F.col("_zone") != F.col("epsg")
     fx, fy = utm_forward(F.col("_lon"), F.col("_lat"), F.col("_zone"))
     there = (each.withColumn("_x", F.when(other, fx).otherwise(F.col("x"))).withColumn("_y", F.when(other, fy).otherwise(F.col("y"))))
@@ -67,10 +70,11 @@ def target_pixels(cells: DataFrame, pairs: DataFrame, scenes: DataFrame, n: int,
 
 
 def on_targets(targets: DataFrame, quad: DataFrame) -> DataFrame:
-    """Targets with their quad k; NULL outside the scene."""
+    """Targets with their quad k; NULL outside the scene. Both sides have a row a pixel, however small the tables are that
+    Spark derives their sizes from: neither may be broadcast."""
     t = targets.withColumn("_sr", F.floor("w")).withColumn("_sc", F.floor("u"))
     q = quad.select("sid", F.col("r").alias("_sr"), F.col("c").alias("_sc"), "k")
-    return t.join(q, ["sid", "_sr", "_sc"], "left").drop("_sr", "_sc")
+    return t.join(q.hint("merge"), ["sid", "_sr", "_sc"], "left").drop("_sr", "_sc")
 
 
 def _shares() -> list[Column]:
@@ -116,7 +120,7 @@ def scene_decibels(pixels: DataFrame, scenes: DataFrame, acquisitions: DataFrame
     sums = member_join(acquisitions, ratios, ["sid", "cell"], bands)
     taken = nearest_values(at, [*bands, "m", "elev", "tv"])
     sx, sy, rot = terrain_geometry(F.col("x"), F.col("y"), F.col("epsg"), res)
-    px = (taken.join(angles, ["sid", "cell", "r", "c"]).join(acquisitions.select(F.col("id").alias("sid"), "t", "heading"), "sid")
+    px = (taken.join(angles.hint("merge"), ["sid", "cell", "r", "c"]).join(acquisitions.select(F.col("id").alias("sid"), "t", "heading"), "sid")
           .select(F.col("sid").alias("id"), "cell", "t", "heading", "r", "c", *bands, F.coalesce("m", F.lit(0)).alias("m"), "angle", "foot",
                   F.coalesce("elev", F.lit(0.0)).alias("elev"), F.coalesce("tv", F.lit(0)).alias("tv"),
                   sx.alias("sx"), sy.alias("sy"), rot.alias("rot")))
