@@ -33,3 +33,11 @@ def test_scene_pixels_stay_in_their_block(spark, name):
     text = entry.queries()[name](spark, FOLDER)._jdf.queryExecution().executedPlan().toString()
     above = text[:text.index("Generate explode(Subquery")]
     assert "Exchange" not in above and "Join" not in above
+
+
+def test_cell_corners_far_down_the_plan(spark, tmp_path):
+    """The ring of a cell lies where the plan puts it, whatever row that is."""
+    keys = spark.createDataFrame([(k, "s", 1, 2000.0) for k in (0, 1330, 5999, 59999)], "s_suppkey bigint, s_name string, s_nationkey int, s_acctbal double")
+    keys.write.parquet(f"{tmp_path}/supplier.parquet")
+    rows = entry.queries()["cell_features"](spark, str(tmp_path)).collect()
+    assert len(rows) == 4 and all(r["near"] and r["closed"] for r in rows)
