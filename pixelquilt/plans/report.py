@@ -5,6 +5,7 @@ from pyspark.sql import Column, DataFrame, functions as F
 
 from ..operators.metrics import (chip_accuracy, chip_keep, chip_summary, finish_paired, paired_accuracy, paired_sums,
                                  zonal_statistics)
+from ..scale import small
 from ..schema import CELL_PX, LABEL_CAP, METRIC_COLUMNS
 from ..session import stash
 from .incremental import held_out
@@ -78,12 +79,14 @@ def validation_section(predictions: DataFrame, validation: DataFrame, labels: Da
                        currency: DataFrame) -> DataFrame:
     """Accuracy of every current model on the labels (0, 80] of the validation chips; missing predictions are dropped.
 
-    predictions: model, chip, r, c, pred; labels: chip, r, c, label; currency: model, current, reason.
+    predictions: model, chip, r, c, pred; labels: chip, r, c, label; currency: model, current, reason. Chips
+    and current models are written and counted: up to SMALL_ROWS are broadcast, so no prediction is shuffled by its model,
+    and none of another chip at all.
     """
-    lab = (labels.join(validation.select("chip").distinct(), "chip", "left_semi")
-           .where((F.col("label") > 0) & (F.col("label") <= LABEL_CAP)))
-    current = currency.where("current").select("model")
-    pairs = (predictions.join(current, "model", "left_semi").join(lab, ["chip", "r", "c"])
+    chips = small(stash(validation.select("chip").distinct(), "chips"))
+    lab = labels.join(chips, "chip", "left_semi").where((F.col("label") > 0) & (F.col("label") <= LABEL_CAP))
+    current = small(stash(currency.where("current").select("model"), "current"))
+    pairs = (predictions.join(current, "model", "left_semi").join(chips, "chip", "left_semi").join(lab, ["chip", "r", "c"])
              .select("model", "pred", F.col("label").alias("ref")))
     scored = paired_accuracy(pairs, ["model"]).withColumnRenamed("model", "layer").withColumn("note", F.lit(""))
     return _rows(scored, "gedi_val")

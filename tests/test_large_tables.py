@@ -41,3 +41,12 @@ def test_cell_corners_far_down_the_plan(spark, tmp_path):
     keys.write.parquet(f"{tmp_path}/supplier.parquet")
     rows = entry.queries()["cell_features"](spark, str(tmp_path)).collect()
     assert len(rows) == 4 and all(r["near"] and r["closed"] for r in rows)
+
+
+@pytest.mark.parametrize("name", ["validation_scores", "validation_scores_by_recipe"])
+def test_predictions_are_not_shuffled_by_model(spark, name):
+    """What follows the rows of every model is the join with the labels, on the keys that they have."""
+    text = entry.queries()[name](spark, FOLDER)._jdf.queryExecution().executedPlan().toString()
+    above = text[:text.index("Generate explode([m1")].splitlines()
+    chain = [line for line in above[max(i for i, line in enumerate(above) if "Join [chip" in line and "Inner" in line):]]
+    assert not any("Exchange" in line for line in chain)
