@@ -82,11 +82,11 @@ def drop_built_up(labels: DataFrame, landcover: DataFrame, keys: list[str]) -> D
 
 
 def counted_median(values: DataFrame, keys: list[str], value: str, limit: int = GROUP_ROWS,
-                   probe: DataFrame | None = None, probe_keys: list[str] | None = None) -> DataFrame:
+                   probe: DataFrame | None = None, probe_keys: list[str] | None = None, probe_each: int = 1) -> DataFrame:
     """(keys, median, n): exact median and number of the values of a group of any size, NULLs ignored; a group without
-    values gives no row. probe: a cheaper table whose counts by probe_keys (a subset of the keys) bound the sizes."""
+    values gives no row. probe: a cheaper table whose counts by probe_keys (a subset of the keys), times probe_each, bound the sizes."""
     v = values.where(F.col(value).isNotNull()).select(*keys, F.col(value).cast("double").alias("_v"))
-    return group_quantiles(v, keys, {"median": ("_v", 0.5)}, [F.count(F.lit(1)).alias("n")], limit, probe, probe_keys)
+    return group_quantiles(v, keys, {"median": ("_v", 0.5)}, [F.count(F.lit(1)).alias("n")], limit, probe, probe_keys, probe_each)
 
 
 def acquisition_counts(obs: DataFrame, keys: list[str]) -> DataFrame:

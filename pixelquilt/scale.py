@@ -107,20 +107,21 @@ def _split_quantiles(df: DataFrame, keys: list[str], spec: dict, biggest: int, l
 
 def group_quantiles(df: DataFrame, keys: list[str], spec: dict, aggregates: list[Column] = (),
                     limit: int = GROUP_ROWS, probe: DataFrame | None = None,
-                    probe_keys: list[str] | None = None) -> DataFrame:
+                    probe_keys: list[str] | None = None, probe_each: int = 1) -> DataFrame:
     """Exact linearly interpolated percentiles per group, NULLs ignored.
 
     spec: {output name: (column, q in 0..1)}; aggregates: further constant-size aggregates of the same groups.
     Groups of at most `limit` rows are collected and sorted in one aggregation (about twice as fast as the percentile
     aggregate, whose buffers are hash maps); larger ones are split by value (_split_quantiles). NULL keys are groups. probe: a cheaper table that bounds the group sizes from above (for instance the unfiltered scan), counted by
-    probe_keys, a subset of the keys.
+    probe_keys, a subset of the keys; each of its rows stands for at most probe_each rows.
     """
     keys = list(keys)
     if not keys:
         out = group_quantiles(df.withColumn("_all", F.lit(0)), ["_all"], spec, aggregates, limit)
         return out.drop("_all")
     on = list(probe_keys or keys)
-    rows, biggest = hot_groups(df if probe is None else probe, on, limit)
+    rows, biggest = hot_groups(df if probe is None else probe, on, limit // probe_each)
+    biggest = (biggest or 0) * probe_each
     columns = sorted({c for c, _ in spec.values()})
 
     def plain(part: DataFrame) -> DataFrame:

@@ -8,6 +8,7 @@ from pixelquilt.functions import encode as enc
 from pixelquilt.functions.geodesy import utm_forward, utm_inverse
 from pixelquilt.functions.nodata import encode_label, to_null
 from pixelquilt.operators import metrics as M
+from pixelquilt import scale
 from pixelquilt.operators import radar as A
 from pixelquilt.operators.blocks import block_percentile, height_reference
 from pixelquilt.operators import focal
@@ -398,3 +399,16 @@ def test_filter_set_of_a_simple_series(spark):
     assert got[102]["members"] == [102]                     # the only one with its polarisation
     assert got[103]["members"] == [6, 103]                  # no other date covers it; all scenes of that date belong
     assert 101 in got[101]["members"] and len(got[101]["members"]) == 1
+
+
+def test_radar_medians_are_bounded_by_their_acquisitions(spark, monkeypatch):
+    """A probe row stands for all acquisitions of a pixel: the limit holds for their number, not for the rows of the probe."""
+    db = spark.range(7).select(F.lit("2020-01-01").cast("timestamp_ntz").alias("t"), F.lit(0).alias("r"), F.lit(0).alias("c"),
+                               F.col("id").cast("double").alias("vv"), F.col("id").cast("double").alias("vh"))
+    seen, whole = [], scale._split_quantiles
+    monkeypatch.setattr(scale, "_split_quantiles", lambda df, keys, spec, biggest, limit: seen.append(biggest) or whole(df, keys, spec, biggest, limit))
+    pixel = spark.createDataFrame([(0, 0)], "r int, c int")
+    for limit, split in ((7, []), (6, [7])):
+        out = scale.group_quantiles(db, ["r", "c"], {"m": ("vv", 0.5)}, limit=limit, probe=pixel, probe_each=7).collect()
+        assert [r["m"] for r in out] == [3.0] and seen == split
+    assert {r["median"] for r in A.radar_composite(db, probe=pixel, acquisitions=7).collect()} == {3.0}
