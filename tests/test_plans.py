@@ -67,7 +67,7 @@ def test_no_python_in_the_hot_path(spark):
         assert "Python" not in text and "ArrowEval" not in text, name
 
 
-@pytest.mark.parametrize("name", ["annual_radar"])
+@pytest.mark.parametrize("name", ["annual_radar", "seasonal_radar"])
 def test_radar_scenes_are_put_together_once(spark, name):
     """The pixels take their scenes from one written row: no join is planned, and none broadcast, for the chain."""
     text = entry.queries()[name](spark, FOLDER)._jdf.queryExecution().toString()
