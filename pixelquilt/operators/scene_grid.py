@@ -251,10 +251,12 @@ def scene_decibels(pixels: DataFrame, scenes: DataFrame, acquisitions: DataFrame
 def scene_composite(pixels: DataFrame, scenes: DataFrame, acquisitions: DataFrame, cells: DataFrame, pairs: DataFrame,
                     angles: DataFrame, n: int, halo: int = HALO, res: float = RES, seasonal: bool = False) -> DataFrame:
     """(cell, [season,] r, c, band, median, n) from raw scenes: see scene_decibels."""
-    db = scene_decibels(pixels, scenes, acquisitions, cells, pairs, angles, n, halo, res)
+    db = _block_decibels(pixels, scenes, acquisitions, cells, pairs, angles, n, halo, res)
     # a pixel of a cell has at most one value of each acquisition of the cell
-    probe = pairs.join(acquisitions.select(F.col("id").alias("sid")), "sid").select("cell", F.lit(0).alias("r"), F.lit(0).alias("c"))
-    return radar_composite(db, ["cell"], list(BANDS), seasonal, probe)
+    none = F.lit(0).cast("long")
+    probe = (pairs.join(acquisitions.select(F.col("id").alias("sid")), "sid")
+             .select("cell", *[none.alias(b) for b in AT], F.lit(0).alias("r"), F.lit(0).alias("c")))
+    return radar_composite(db, PLACE, list(BANDS), seasonal, probe).drop(*AT)
 
 
 __all__ = ["HALO", "REACH", "PLACE", "grid_parts", "by_blocks", "quads", "target_pixels", "on_targets", "bilinear_values", "nearest_values", "scene_roles",

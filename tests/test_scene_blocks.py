@@ -19,7 +19,7 @@ def shuffled_parts(df) -> list[str]:
             for i, line in enumerate(lines) if re.search(r"[- ]Exchange (hash|range|Round|Single)", line)]
 
 
-@pytest.mark.parametrize("name", ["raw_scene_decibels"])
+@pytest.mark.parametrize("name", ["raw_scene_decibels", "raw_scene_composite"])
 def test_scene_pixels_are_not_shuffled(spark, name):
     """Scenes, grids and angles are dealt out by block before they become pixels; a block is one row of a literal list."""
     parts = shuffled_parts(entry.queries()[name](spark, FOLDER))
